@@ -45,3 +45,8 @@ def lowered(text: Column) -> Column:
 def words(text: Column) -> Column:
     """The words of a text; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
+
+
+def pinned(df: DataFrame) -> DataFrame:
+    """df with its columns computed once per row: projections above are not merged into it, which would evaluate them again for each use inside a lambda."""
+    return df.select(F.explode(F.array(F.struct("*"))).alias("pinned")).select("pinned.*")

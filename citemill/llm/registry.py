@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import sentencepiece_codec, token_counts
+from . import decontaminate, line_dedup, sentencepiece_codec, simhash, token_counts
 
 
 def queries() -> dict:
     return {
         "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
+        "op2_line_dedup": line_dedup.op2_line_dedup,
         "op3_token_counts": token_counts.op3_token_counts,
+        "op8_simhash": simhash.op8_simhash,
+        "op9_decontaminate": decontaminate.op9_decontaminate,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_line_dedup": line_dedup.SQL, "op9_decontaminate": decontaminate.SQL}
