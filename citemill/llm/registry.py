@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, quality, secret_scan, sentencepiece_codec, simhash, token_counts
+from . import decontaminate, line_dedup, quality, secret_scan, sentencepiece_codec, simhash, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
         "op2_line_dedup": line_dedup.op2_line_dedup,
         "op3_token_counts": token_counts.op3_token_counts,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op6_quality_rules": quality.op6_quality_rules,
         "op8_simhash": simhash.op8_simhash,
         "op9_decontaminate": decontaminate.op9_decontaminate,

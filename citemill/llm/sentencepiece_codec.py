@@ -25,6 +25,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
+from ..runtime import ship
 from .common import table
 
 TABLE_CHUNKS = 400_000
@@ -137,6 +138,8 @@ def encode_decode(docs: DataFrame, model: str, full: bool = False) -> DataFrame:
     full adds the ids and the decoded text themselves. The model's file is read on each executor.
     """
 
+    ship(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
         for batch in batches:

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..runtime import ship
 from .common import settled, table
 from .components import components
 
@@ -53,6 +54,8 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """doc_id and fp (the fingerprint as a signed long) of every row of docs (doc_id, text)."""
 
+    ship(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t.as_py(), width) for t in batch.column(1)], np.uint64).view(np.int64)

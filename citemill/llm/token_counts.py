@@ -20,6 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from ..runtime import ship
 from .common import table
 
 TABLE_WORDS = 500_000
@@ -137,6 +138,8 @@ _counters: dict[str, Counter] = {}
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every row of docs (doc_id, text)."""
 
+    ship(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if vocabulary not in _counters:
             _counters[vocabulary] = Counter(vocabulary)
