@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, quality, secret_scan, sentencepiece_codec, simhash, token_counts, toxicity
+from . import decontaminate, language, line_dedup, quality, secret_scan, sentencepiece_codec, simhash, token_counts, toxicity, warc
 
 
 def queries() -> dict:
@@ -11,7 +11,9 @@ def queries() -> dict:
         "op2_line_dedup": line_dedup.op2_line_dedup,
         "op3_token_counts": token_counts.op3_token_counts,
         "op4_toxicity": toxicity.op4_toxicity,
+        "op5_warc": warc.op5_warc,
         "op6_quality_rules": quality.op6_quality_rules,
+        "op7_language": language.op7_language,
         "op8_simhash": simhash.op8_simhash,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_secrets": secret_scan.op10_secrets,
@@ -19,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup.SQL, "op9_decontaminate": decontaminate.SQL}
+    return {"op2_line_dedup": line_dedup.SQL, "op5_warc": warc.SQL, "op9_decontaminate": decontaminate.SQL}

@@ -52,16 +52,16 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row of docs (doc_id, text)."""
+    """doc_id, th (hash of the text) and fp (the fingerprint as a signed long) of every row of docs (doc_id, text)."""
 
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t.as_py(), width) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "fp"])
+            found = np.array([fingerprint(t.as_py(), width) for t in batch.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], ["doc_id", "th", "fp"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "xxhash64(text) th", "text").mapInArrow(run, "doc_id long, th long, fp long")
 
 
 def ball(radius: int) -> list[int]:
@@ -74,24 +74,33 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     """Links a > b between different fingerprints within radius bits, enough of them to connect all such fingerprints."""
     if radius < 1:
         return distinct.selectExpr("fp a", "fp b").where("false")
-    masks = F.array(*[F.lit(m).cast("long") for m in ball((radius + 1) // 2)])
+    if radius % 2:
+        raise ValueError("an odd radius would need every pair that meets; use an even one")
+    masks = F.array(*[F.lit(m).cast("long") for m in ball(radius // 2)])
     variants = distinct.select("fp", F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m))).alias("variant"))
     meeting = Window.partitionBy("variant").orderBy("fp")
     linked = variants.select("fp", F.lag("fp").over(meeting).alias("other")).where("other is not null")
-    if radius % 2:
-        raise ValueError("an odd radius would need every pair that meets; use an even one")
     return linked.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius).selectExpr("fp a", "other b").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id reachable over links) of every row of docs (doc_id, text)."""
+    """doc_id, th (hash of the text), fp and component_id (the smallest doc_id reachable over links) of every row of docs (doc_id, text)."""
     rows = settled(fingerprints(docs, width))
     classes = settled(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     found = components(links(classes.select("fp"), radius))
     rooted = classes.join(found, classes.fp == found.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(least, "root").select(F.col("fp").alias("own"), "component_id")
-    return rows.join(named, rows.fp == named.own).select("doc_id", "fp", "component_id")
+    return rows.join(named, rows.fp == named.own).select("doc_id", "th", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
+    """The rows of docs that are the smallest doc_id of their component, once each; where a component has no doc_id, all its different texts."""
+    found = near_duplicates(docs, width, radius)
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("s_id"), F.col("th").alias("s_th")).distinct()
+    rows = docs.select(F.struct("*").alias("row"))
+    kept = rows.join(stay, F.col("row.doc_id").eqNullSafe(F.col("s_id")) & (F.xxhash64("row.text") == F.col("s_th")))
+    return kept.dropDuplicates(["s_id", "s_th"]).select("row.*")
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:

@@ -36,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..runtime import ship
 from .common import settled, table
@@ -204,10 +205,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return model
 
 
-def toxicity(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """doc_id, score, predicted and segments (first and after: token places; score; significance) of every row of docs (doc_id, text)."""
-
+def toxicity(docs: DataFrame, model: Model, threshold: float = 0.5, carry: bool = False) -> DataFrame:
+    """doc_id, score, predicted and segments (first and after: token places; score; significance) of every row of docs (doc_id, text); carry gives row, a struct of all columns of docs, instead of doc_id."""
     ship(docs.sparkSession)
+    key = "row" if carry else "doc_id"
+    rows = docs.select(F.struct("*").alias("row"), "text") if carry else docs.selectExpr("cast(doc_id as long) doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
@@ -219,10 +221,10 @@ def toxicity(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame
                 level = model.place + model.slope * math.log(n + 1)
                 passages.append([{"first": f, "after": a, "score": s, "significance": (s - level) / model.scale} for s, f, a in own if s > level])
             kind = pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64()), ("score", pa.float64()), ("significance", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(passages, kind)], ["doc_id", "score", "predicted", "segments"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(passages, kind)], [key, "score", "predicted", "segments"])
 
-    schema = "doc_id long, score double, predicted int, segments array<struct<first:long,after:long,score:double,significance:double>>"
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema)
+    fields = "score double, predicted int, segments array<struct<first:long,after:long,score:double,significance:double>>"
+    return rows.mapInArrow(run, T.StructType([rows.schema[0], *T._parse_datatype_string(fields).fields]))
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
