@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import publication, publication_sql
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(publication.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(publication_sql.SQL)
