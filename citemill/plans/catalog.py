@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import publication, publication_sql
+from . import publication, publication_sql, scalars
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return dict(publication.QUERIES)
+    return publication.QUERIES | scalars.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(publication_sql.SQL)
+    return publication_sql.SQL | scalars.SQL
