@@ -81,7 +81,7 @@ def _vote(rule: tuple) -> Column:
 
 def fit(patterns: dict[tuple[int, ...], int]) -> tuple[float, list[dict[int, tuple[float, float]]]]:
     """Share of good texts, and for each rule the chance of each vote given good and given bad, by EM over counts of vote patterns."""
-    n_rules = len(next(iter(patterns), ()))
+    n_rules = len(next(iter(patterns), RULES))
     good = {p: 0.05 if min(p) < 0 else 0.95 for p in patterns}  # bad votes are rare, so one outweighs the usual good ones
     share, chances = 0.5, [{v: (1.0, 1.0) for v in (-1, 0, 1)} for _ in range(n_rules)]
     for _ in range(EM_ROUNDS if patterns else 0):

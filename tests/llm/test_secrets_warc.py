@@ -1,0 +1,89 @@
+import gzip
+import math
+import random
+import re
+
+import pytest
+from citemill.llm import secret_scan as S
+from citemill.llm import warc as W
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def brute(text):
+    text = text or ""
+    found = [(m.start(), 1, "assign", m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    found += [(m.start(), 2, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [(m.start(), 3, "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    for m in re.finditer(S.RUN, text):
+        run, n = m[0], S.WINDOW
+        if any(re.fullmatch(a, run) for a in S.ALLOWED):
+            continue
+        limit = next(bits for _, p, bits in S.CLASSES if re.fullmatch(p, run))
+        entropy = lambda w: -sum(w.count(c) / n * math.log2(w.count(c) / n) for c in set(w))  # noqa: E731, B023
+        if hits := [i for i in range(len(run) - n + 1) if entropy(run[i : i + n]) > limit]:
+            found.append((m.start() + hits[0], 4, "entropy", m.start() + hits[-1] + n))
+    return sorted(found)
+
+
+def test_spans_equal_brute_force(spark, some_docs, odd_docs, no_docs):
+    rng = random.Random(3)
+    parts = ["token", "=", ": ", "'", '"', "abc", "password", "secret", "apikey", "API_KEY", "AKIA", "ABCDEFGH12345678ZZ", "deadbeef0123456789abcdef", " ", "🙂é", "\n", "x1Y2z3W4q5R6t7U8i9O0", "a", "0", "KKey", "aGVsbG8gd29ybGQhIQ==", "550e8400-e29b-41d4-a716-446655440000", "."]
+    docs = some_docs + [(10**6 + i, "".join(rng.choices(parts, k=rng.randint(0, 25)))) for i in range(300)] + [(5 * 10**6, None), (5 * 10**6 + 1, "")]
+    found = {r.doc_id: [(s.start, s.k, s.kind, s.end) for s in r.spans] for r in S.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for doc_id, text in docs:
+        assert found.get(doc_id, []) == brute(text)
+    assert [r.doc_id for r in S.scan(odd_docs).collect()] == [7]
+    assert S.scan(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("run", ["550e8400-e29b-41d4-a716-446655440000", "internationalization", "CamelCaseIdentifierName", "release-notes-20240101", "abcdefghijklmnopqrst0", "01234567890123456789"])
+def test_allowed(run):
+    assert any(re.fullmatch(a, run) for a in S.ALLOWED)
+
+
+PAGES = [(1, "u\n1", "a"), (2, None, "a"), (3, "x", None), (4, "é", "ü" * 50_000), (None, "z", "a"), (4, "é", "ü" * 50_000), (6, "y", "")]
+
+
+@pytest.fixture(scope="module")
+def archive(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("warc") / "out")
+    W.archive(spark.createDataFrame(PAGES, "page_id long, url string, html string").selectExpr("*", "1 AS digest", "2 AS size"), path)
+    return path
+
+
+def test_records(spark, archive):
+    got = sorted((r.headers.get("x-page-id") or "", r.record_type, r.uri, len(r.payload)) for r in W.read(spark, archive).collect())
+    assert got == [("", "revisit", "z", 0), ("1", "response", "u%0A1", 1), ("2", "revisit", None, 0), ("3", "response", "x", 0), ("4", "response", "é", 100_000), ("4", "response", "é", 100_000), ("6", "revisit", "y", 0)]
+
+
+def test_pushed_predicates(spark, archive):
+    found = W.read(spark, archive)
+    assert found.where("record_type = 'revisit'").count() == 3
+    assert found.where("record_type IN ('revisit', 'request')").count() == 3
+    assert [len(r.payload) for r in found.where("uri = 'é'").collect()] == [100_000] * 2
+    assert {r.payload for r in W.read(spark, archive, payload="false").collect()} == {None}
+    reader = W.WarcReader({"path": archive})
+    from pyspark.sql.datasource import EqualTo
+
+    assert list(reader.pushFilters([EqualTo(("record_type",), "revisit"), EqualTo(("payload",), b"x")])) == [EqualTo(("payload",), b"x")]
+    assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 3
+
+
+def test_plain_archives_and_foreign_gzip(spark, archive, tmp_path):
+    import glob
+
+    data = b"".join(gzip.open(f).read() for f in glob.glob(f"{archive}/*.warc.gz"))
+    (tmp_path / "a.warc").write_bytes(data)
+    records = [b"WARC/1.1\r\n" + r for r in data.split(b"WARC/1.1\r\n")[1:]]
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records))
+    for where in ("true", "record_type = 'response'"):
+        want = sorted((r.record_id, bytes(r.payload)) for r in W.read(spark, archive).where(where).collect())
+        got = sorted((r.record_id, bytes(r.payload)) for r in W.read(spark, str(tmp_path)).where(where).collect())
+        assert got == sorted(want * 2)
+
+
+def test_empty_table(spark, tmp_path):
+    path = str(tmp_path / "none")
+    W.archive(spark.createDataFrame([], "page_id long, url string, html string"), path)
+    assert W.read(spark, path).count() == 0
