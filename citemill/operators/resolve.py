@@ -20,45 +20,46 @@ def context(mentions: DataFrame) -> DataFrame:
     return mentions.withColumn("context", F.array_distinct(F.flatten(F.transform("blocks", I.systems))))
 
 
+def _pinned(df: DataFrame) -> DataFrame:
+    """df with its columns computed once per row; projections above are not merged into it."""
+    return df.select(F.explode(F.array(F.struct("*"))).alias("pinned")).select("pinned.*")
+
+
 def resolve(blocks: DataFrame, registry: DataFrame) -> DataFrame:
     """block, context and institutions of the distinct rows of blocks (block, context).
 
     Everything to look up goes through one equi-join with the registry on (kind, key). Of a GRID's or
-    an e-mail's candidates the first that is known counts.
+    an e-mail's candidates the first that is known counts. Rules run only on rows that no tier before
+    them answered.
     """
-    rows = blocks.select(F.trim("block").alias("block"), F.coalesce("context", F.array().cast("array<string>")).alias("context")).distinct().withColumn("id", F.xxhash64("block", F.array_join("context", "|")))
-    asked = rows.where(~I.narrative(F.col("block")) & (F.col("block") != ""))
-    ask = lambda kind, tier, group, of: F.transform(group, lambda x, i: F.transform(of(x), lambda k, j: F.struct(F.lit(tier).alias("tier"), i.alias("i"), j.alias("j"), F.lit(kind).alias("kind"), k.alias("key"))))
+    empty = F.array().cast("array<string>")
+    rows = blocks.select(F.trim("block").alias("block"), F.coalesce("context", empty).alias("context")).distinct()
+    rows = rows.withColumn("id", F.xxhash64("block", F.array_join("context", "|")))
     b = F.col("block")
-    label = F.coalesce(I.system_label(b, F.col("context")), I.state_label(b))
+    ruled = F.coalesce(I.system_label(b, F.col("context")), I.state_label(b))
+    asked = _pinned(rows.where(~I.narrative(b) & (b != "")).withColumn("label", ruled))
+    ask = lambda kind, tier, group, of: F.transform(group, lambda x, i: F.transform(of(x), lambda k, j: F.struct(F.lit(tier).alias("tier"), i.alias("i"), j.alias("j"), F.lit(kind).alias("kind"), k.alias("key"))))
     wanted = F.flatten(F.concat(
         ask("ror", 1, I.ror_ids(b), lambda x: F.array(x)),
         ask("grid", 2, I.grid_ids(b), I.grid_candidates),
         ask("email", 3, I.emails(b), I.email_domains),
         ask("text", 4, I.candidates(b), lambda x: F.array(text.institution_key(x))),
-        ask("text", 5, F.array_compact(F.array(label)), lambda x: F.array(text.institution_key(x))),
+        ask("text", 5, F.array_compact(F.array("label")), lambda x: F.array(text.institution_key(x))),
     ))
     probes = asked.select("id", F.explode(wanted).alias("w")).select("id", "w.*")
     known = registry.select(F.col("kind").alias("k_kind"), F.col("key").alias("k_key"), "canonical").groupBy("k_kind", "k_key").agg(F.min("canonical").alias("canonical"))
     hits = probes.join(known, (F.col("kind") == F.col("k_kind")) & (F.col("key") == F.col("k_key")))
     first = hits.groupBy("id", "tier", "i").agg(F.min_by("canonical", "j").alias("canonical"))
-    listed = first.groupBy(F.col("id").alias("h_id")).agg(F.array_sort(F.collect_list(F.struct("tier", "i", "canonical"))).alias("hits"))
-    joined = rows.join(listed, F.col("id") == F.col("h_id"), "left")
-    of = lambda *tiers: I.distinct_by_key(F.transform(F.filter(F.coalesce("hits", F.array().cast("array<struct<tier:int,i:int,canonical:string>>")), lambda h: h["tier"].isin(*tiers)), lambda h: text.institution_label(h["canonical"])))
-    kept, base = I.kept_state_label(b), I.state_base(b)
-    by_text = F.transform(of(4), lambda x: F.when(kept.isNotNull() & (text.institution_key(x) == text.institution_key(base)), kept).otherwise(x))
-    looked = of(5)
-    ruled = F.when(F.size(looked) > 0, looked).otherwise(F.array(text.institution_label(label)))
-    literal, company = I.literal_labels(b), I.company_label(b)
-    none = F.array().cast("array<string>")
-    found = (
-        F.when(I.narrative(b) | (b == ""), none)
-        .when(F.size(of(1, 2)) > 0, of(1, 2))
-        .when(F.size(of(3)) > 0, of(3))
-        .when(F.size(of(4)) > 0, I.distinct_by_key(by_text))
-        .when(label.isNotNull(), ruled)
-        .when(F.size(literal) > 0, literal)
-        .when(company.isNotNull(), F.array(company))
-        .otherwise(none)
-    )
-    return joined.select("block", "context", I.with_country(found, b).alias("institutions"))
+    named = first.select("id", F.when(F.col("tier") <= 2, 1).otherwise(F.col("tier")).alias("tier"), F.struct("tier", "i", text.institution_label(F.col("canonical")).alias("name")).alias("hit"))
+    tiers = named.groupBy(F.col("id").alias("h_id")).agg(*[F.transform(F.array_sort(F.collect_list(F.when(F.col("tier") == t, F.col("hit")))), lambda h: h["name"]).alias(f"t{t}") for t in (1, 3, 4, 5)])
+    joined = asked.join(tiers, F.col("id") == F.col("h_id"), "left")
+    kept = joined.withColumns({f"t{t}": F.coalesce(f"t{t}", empty) for t in (1, 3, 4, 5)})
+    looked = F.when(F.size("t1") > 0, F.col("t1")).when(F.size("t3") > 0, F.col("t3")).otherwise(F.col("t4"))
+    from_text = (F.size("t1") == 0) & (F.size("t3") == 0) & (F.size("t4") > 0)
+    by_rule = F.when(F.size("t5") > 0, F.col("t5")).when(F.col("label").isNotNull(), F.array(text.institution_label(F.col("label")))).otherwise(empty)
+    answered = _pinned(kept.select("id", "block", F.when(F.size(looked) > 0, looked).otherwise(by_rule).alias("names"), F.when(from_text, I.kept_state_label(b)).alias("kept"), F.when(from_text, text.institution_key(I.state_base(b))).alias("base")))
+    swapped = F.transform("names", lambda x: F.when(F.col("kept").isNotNull() & (text.institution_key(x) == F.col("base")), F.col("kept")).otherwise(x))
+    literal = _pinned(answered.select("id", "block", F.when(F.size("names") > 0, I.distinct_by_key(swapped)).otherwise(I.literal_labels(b)).alias("names")))
+    found = _pinned(literal.select("id", "block", F.when(F.size("names") > 0, F.col("names")).otherwise(F.array_compact(F.array(I.company_label(b)))).alias("names")))
+    done = found.select(F.col("id").alias("d_id"), I.with_country(F.col("names"), b).alias("institutions"))
+    return rows.join(done, F.col("id") == F.col("d_id"), "left").select("block", "context", F.coalesce("institutions", empty).alias("institutions"))
