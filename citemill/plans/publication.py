@@ -17,9 +17,10 @@ TERMS = ("preprint",)
 
 
 def _mentions(spark: SparkSession, sf_dir: str, target: names.Target) -> DataFrame:
-    """Mentions of one target with merged clusters; a block's text is its institution."""
+    """Mentions of one target with merged clusters; a block's text is its institution. Kept, as one report reads them several times."""
     found = identity.mentions(view.authors(spark, sf_dir), F.broadcast(identity.targets(spark, {"t": target})))  # one target
-    return identity.merged(identity.with_cluster(found.withColumn("institutions", F.col("blocks"))))
+    own = identity.with_cluster(found.withColumn("institutions", F.col("blocks"))).persist()
+    return identity.merged(own)
 
 
 def _cites(spark: SparkSession, sf_dir: str) -> DataFrame:
