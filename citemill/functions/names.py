@@ -63,19 +63,28 @@ def surname_keys(last_name: Column) -> Column:
 
 def match_method(author: dict[str, Column], target: dict[str, Column]) -> Column:
     """orcid, given, initials, or null: how author (last_name, fore_name, initials, orcid) matches target (surname, given, initials, style, orcid)."""
-    own_orcid = text.orcid(F.coalesce(author["orcid"], F.lit("")))
-    surname = F.array_contains(surname_keys(F.coalesce(author["last_name"], F.lit(""))), target["surname"])
-    short = F.coalesce(F.nullif(text.token(author["initials"]), F.lit("")), text.initials(author["fore_name"]), F.lit(""))
-    wanted = target["initials"]
-    both = (short != "") & (wanted != "")
-    first = text.token(F.split_part(text.squash(F.coalesce(author["fore_name"], F.lit(""))), F.lit(" "), F.lit(1)))
-    wanted_first = text.token(F.split_part(target["given"], F.lit(" "), F.lit(1)))
-    has_given = (text.squash(F.coalesce(author["fore_name"], F.lit(""))) != "") & (target["given"] != "")
-    return (
-        F.when((target["orcid"] != "") & (own_orcid != ""), F.when(own_orcid == target["orcid"], "orcid"))
-        .when(~surname, None)
-        .when(target["style"] == "initials", F.when(both & (short.startswith(wanted) | wanted.startswith(short)), "initials"))
-        .when(has_given & (first != "") & (first == wanted_first), "given")
-        .when(has_given & (F.length(first) > 1), None)
-        .when(both & short.startswith(F.left(wanted, F.lit(1))), "initials")
+    fore = text.squash(F.coalesce(author["fore_name"], F.lit("")))
+    own = F.struct(
+        text.orcid(F.coalesce(author["orcid"], F.lit(""))).alias("orcid"),
+        F.array_contains(surname_keys(F.coalesce(author["last_name"], F.lit(""))), target["surname"]).alias("surname"),
+        F.coalesce(F.nullif(text.token(author["initials"]), F.lit("")), text.initials(author["fore_name"]), F.lit("")).alias("short"),
+        fore.alias("fore"),
+        text.token(F.split_part(fore, F.lit(" "), F.lit(1))).alias("first"),
+        text.token(F.split_part(target["given"], F.lit(" "), F.lit(1))).alias("wanted"),
     )
+
+    def method(o: Column) -> Column:
+        wanted = target["initials"]
+        both = (o["short"] != "") & (wanted != "")
+        has_given = (o["fore"] != "") & (target["given"] != "")
+        return (
+            F.when((target["orcid"] != "") & (o["orcid"] != ""), F.when(o["orcid"] == target["orcid"], "orcid"))
+            .when(~o["surname"], None)
+            .when(target["style"] == "initials", F.when(both & (o["short"].startswith(wanted) | wanted.startswith(o["short"])), "initials"))
+            .when(has_given & (o["first"] != "") & (o["first"] == o["wanted"]), "given")
+            .when(has_given & (F.length(o["first"]) > 1), None)
+            .when(both & o["short"].startswith(F.left(wanted, F.lit(1))), "initials")
+        )
+
+    # the normal forms are used several times each, so they are computed in a struct of their own
+    return F.get(F.transform(F.array(own), method), 0)
