@@ -1,9 +1,9 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
-Weights. Tokens fall into 2 ** BITS hash buckets, which bounds every table here whatever the
+Weights. Each token counts once a text, as its repetitions are no evidence. Tokens fall into 2 ** BITS hash buckets, which bounds every table here whatever the
 corpus. For each bucket the log-odds of toxic against other labelled texts use an informative
 Dirichlet prior, proportional to the bucket's count over all documents; only what lies Z standard
-errors from zero counts, less a constant drift so that common text scores below zero. A token
+errors and LEAST from zero counts, less a constant drift so that common text scores below zero. A token
 without a weight of its own takes that of its longest beginning (PIECES characters) that has one.
 
 Segments. A linear scan (Ruzzo and Tompa) over a text's weights finds all maximal-scoring
@@ -14,9 +14,12 @@ whose place grows with the logarithm of the length; it is fitted to labelled tex
 weights did not see. A segment's excess over its text's place is its significance. A logistic
 function of the best and the summed excess, fitted on the same texts, gives the score.
 
-Learning uses labelled rows with crc32(doc_id as text) mod 5 in 1 to 3 for weights and those
-with 4 for calibration, of the latter at most CALIBRATION_ROWS (a bound on rows sent to the
-driver; a fair share by hash is taken beyond it). Rows with 0 are held out.
+Learning uses labelled rows with crc32(doc_id as text) mod 5 in 1 to 3 for weights, at most about
+WEIGHT_ROWS, and those with 4 for calibration, at most about CALIBRATION_ROWS (bounds on rows a
+classifier is fitted on; beyond them a fair share by hash of doc_id). Rows with 0 are held out. Of
+texts with nearly the same set of tokens one is learned from, so that copies do not pass for evidence.
+The sampled labels are so few that they go to every executor, and no text is shuffled. The prior's
+counts cover all documents, for the buckets that the labelled ones make candidates.
 
 Null and empty texts have no tokens and get the score of a text without segments. Repeated rows
 get equal results; labels repeated with both values count as toxic; null labels are ignored. With
@@ -43,9 +46,12 @@ from .common import settled, table
 
 BITS = 22
 #: PRIOR: size of the prior as a share of the labelled tokens.
-Z, DRIFT, PRIOR = 3.0, 0.05, 0.1
+#: LEAST: log-odds that matter, however sure.
+Z, LEAST, DRIFT, PRIOR = 3.3, 1.0, 0.05, 0.1
 PIECES = (8, 7, 6, 5, 4)
-CALIBRATION_ROWS = 20_000
+WEIGHT_ROWS, CALIBRATION_ROWS = 20_000, 8_000
+#: Standard errors by which a bucket's raw counts must differ to be a candidate.
+CANDIDATE_Z = 2.5
 TOKEN = re.compile(r"\w+")
 
 
@@ -62,48 +68,86 @@ def names(token: str) -> list[str]:
     return [token, *[token[:k] + "*" for k in PIECES if len(token) > k]]
 
 
-def bucket_counts(docs: DataFrame) -> DataFrame:
-    """bucket and its counts in all texts (n), in toxic (n1) and in other labelled texts (n0); docs has text and toxic (null: not labelled)."""
-
+def labelled_counts(docs: DataFrame) -> DataFrame:
+    """bucket and the number of toxic (n1) and other (n0) texts that have it; docs has text and toxic."""
     ship(docs.sparkSession)
 
-    def add(counts: np.ndarray, pending: list[Counter]) -> None:
-        for k, counter in enumerate(pending):
-            for token, n in counter.items():
-                for name in names(token):
-                    counts[k, bucket(name)] += n
-            counter.clear()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, pending = np.zeros((3, 1 << BITS), np.int32), [Counter(), Counter(), Counter()]
+        counts, pending = (Counter(), Counter()), (Counter(), Counter())
+
+        def add() -> None:
+            for total, counter in zip(counts, pending, strict=True):
+                for token, n in counter.items():
+                    for name in names(token):
+                        total[bucket(name)] += n
+                counter.clear()
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            add()
+            at = sorted(counts[0].keys() | counts[1].keys())
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *[pa.array([c[b] for b in at], pa.int64()) for c in counts]], ["bucket", "n1", "n0"])
+            for c in counts:
+                c.clear()
+
         for batch in batches:
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                pending[0 if toxic is None else 1 if toxic else 2].update(tokens(text.as_py()))
-                if sum(map(len, pending)) > 300_000:
-                    add(counts, pending)
-        add(counts, pending)
-        counts[0] += counts[1] + counts[2]
-        at = np.flatnonzero(counts[0])
-        for i in range(0, len(at), 100_000):
-            part = at[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), *[pa.array(c[part].astype(np.int64)) for c in counts]], ["bucket", "n", "n1", "n0"])
+                pending[0 if toxic else 1].update(set(tokens(text.as_py())))
+                if sum(map(len, pending)) > 100_000:
+                    add()
+                if sum(map(len, counts)) > 400_000:
+                    yield from rows()
+        yield from rows()
 
-    found = docs.select("text", "toxic").mapInArrow(run, "bucket long, n long, n1 long, n0 long")
-    return found.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("n", "n1", "n0")])
+    found = docs.select("text", "toxic").mapInArrow(run, "bucket long, n1 long, n0 long")
+    return found.groupBy("bucket").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
 
 
-def weights(counts: DataFrame) -> dict[int, float]:
+def corpus_counts(docs: DataFrame, wanted: list[int]) -> dict[int, int]:
+    """Texts that have each wanted bucket, over all texts; at -1 the sum over all tokens and their beginnings."""
+    ship(docs.sparkSession)
+    chosen = docs.sparkSession.sparkContext.broadcast(frozenset(wanted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, total = Counter(), 0
+        known: dict[str, tuple[int, ...]] = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                pending = Counter()
+                for text in batch.column(0).slice(at, 500):
+                    pending.update(set(tokens(text.as_py())))
+                if len(known) > 150_000:
+                    known.clear()
+                for token, n in pending.items():
+                    total += n * (1 + sum(len(token) > k for k in PIECES))
+                    if (hit := known.get(token)) is None:
+                        hit = known[token] = tuple(b for b in map(bucket, names(token)) if b in chosen.value)
+                    for b in hit:
+                        own[b] += n
+        own[-1] = total
+        yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.array(list(own.values()), pa.int64())], ["bucket", "n"])
+
+    found = docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    return {row["bucket"]: row["n"] for row in found.collect()}
+
+
+def weights(counts: DataFrame, docs: DataFrame) -> dict[int, float]:
     """Weight of each bucket that differs between the classes by more than chance; at most 2 ** BITS."""
-    total, t1, t0 = (x or 0 for x in counts.agg(F.sum("n"), F.sum("n1"), F.sum("n0")).first())
+    t1, t0 = (x or 0 for x in counts.agg(F.sum("n1"), F.sum("n0")).first())
     if not t1 or not t0:
         return {}
+    a, b = F.col("n1") + 0.5, F.col("n0") + 0.5
+    raw = F.abs(F.log(a / t1) - F.log(b / t0)) / F.sqrt(1 / a + 1 / b)
+    candidates = counts.where(raw > CANDIDATE_Z).collect()
+    prior = corpus_counts(docs, [r["bucket"] for r in candidates])
     size = PRIOR * (t1 + t0)
-    prior = F.col("n") * (size / total)
-    odds = lambda y, t: F.log((F.col(y) + prior) / (t + size - F.col(y) - prior))
-    delta = odds("n1", t1) - odds("n0", t0)
-    error = F.sqrt(1 / (F.col("n1") + prior) + 1 / (F.col("n0") + prior))
-    kept = counts.where("n1 + n0 > 0").select("bucket", delta.alias("d"), error.alias("e")).where(F.abs("d") > Z * F.col("e"))
-    return {row["bucket"]: row["d"] for row in kept.collect()}
+    found = {}
+    for r in candidates:
+        share = size * max(prior.get(r["bucket"], 0), r["n1"] + r["n0"]) / max(prior[-1], t1 + t0)
+        y1, y0 = r["n1"] + share, r["n0"] + share
+        delta = math.log(y1 / (t1 + size - y1)) - math.log(y0 / (t0 + size - y0))
+        if abs(delta) > max(LEAST, Z * math.sqrt(1 / y1 + 1 / y0)):
+            found[r["bucket"]] = delta
+    return found
 
 
 def segments(at: np.ndarray, weight: np.ndarray) -> list[tuple[float, int, int]]:
@@ -129,6 +173,27 @@ def segments(at: np.ndarray, weight: np.ndarray) -> list[tuple[float, int, int]]
     return [(r - l, f, a) for l, r, f, a, _ in kept]
 
 
+class Known:
+    """Tokens met by a task: those without a weight, and the weights of the others; emptied when large."""
+
+    def __init__(self):
+        self.light: set[str] = set()
+        self.heavy: dict[str, float] = {}
+
+    def learn(self, distinct: set[str], weight: dict[int, float]) -> None:
+        if len(self.light) > 200_000:
+            self.light.clear()
+        for t in distinct - self.light:
+            if t not in self.heavy:
+                found = next((w for w in map(weight.get, map(bucket, names(t))) if w is not None), 0.0)
+                if found:
+                    self.heavy[t] = found
+                elif len(t) < 64:
+                    self.light.add(t)
+        if len(self.heavy) > 200_000:
+            self.heavy = {t: self.heavy[t] for t in distinct if t in self.heavy}
+
+
 class Model:
     """Weights by bucket, the extreme-value law and the logistic function."""
 
@@ -137,17 +202,16 @@ class Model:
         self.place, self.scale, self.slope = 0.0, 1.0, 0.0
         self.logit = np.zeros(3)
 
-    def found(self, text: str | None, known: dict[str, float]) -> tuple[int, list[tuple[float, int, int]]]:
-        """Number of tokens, and the segments. known keeps the weights of tokens met, and is emptied when large."""
+    def found(self, text: str | None, known: Known) -> tuple[int, list[tuple[float, int, int]]]:
+        """Number of tokens, and the segments."""
         own = tokens(text)
-        if len(known) > 500_000:
-            known.clear()
-        for t in set(own):
-            if t not in known:
-                known[t] = next((w for w in map(self.weight.get, map(bucket, names(t))) if w is not None), 0.0)
-        weight = np.array([known[t] for t in own])
-        at = np.flatnonzero(weight)
-        return len(own), segments(at, weight[at])
+        distinct = set(own)
+        known.learn(distinct, self.weight)
+        heavy = known.heavy
+        if distinct.isdisjoint(heavy):
+            return len(own), []
+        at = [i for i, t in enumerate(own) if t in heavy]
+        return len(own), segments(np.array(at), np.array([heavy[own[i]] for i in at]))
 
     def features(self, n: int, scores: list[float]) -> tuple[float, float]:
         """Excess of the best segment, and the sum of all significant ones, in units of the law's scale."""
@@ -182,20 +246,53 @@ class Model:
         self.logit = beta
 
 
+def signatures(docs: DataFrame) -> DataFrame:
+    """doc_id, fold, toxic and k0 to k2: keys that texts with nearly the same set of tokens share, each of four minima over hashed tokens."""
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng = np.random.default_rng(7)
+        factor, shift = rng.integers(1, 1 << 31, 12, np.uint64) | np.uint64(1), rng.integers(0, 1 << 31, 12, np.uint64)
+        for batch in batches:
+            keys: list[list[str]] = [[], [], []]
+            for text in batch.column(3):
+                own = np.array([zlib.crc32(t.encode("utf-8", "replace")) for t in set(tokens(text.as_py()))] or [0], np.uint64)
+                least = np.array([((own * f + c) & np.uint64(0xFFFFFFFF)).min() for f, c in zip(factor, shift, strict=True)])
+                for k in range(3):
+                    keys[k].append(least[4 * k : 4 * k + 4].tobytes().hex())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *map(pa.array, keys)], ["doc_id", "fold", "toxic", "k0", "k1", "k2"])
+
+    rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(fold as long) fold", "cast(toxic as int) toxic", "text")
+    return rows.mapInArrow(run, "doc_id long, fold long, toxic int, k0 string, k1 string, k2 string")
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from docs (doc_id, text) and labels (doc_id, toxic)."""
-    marked = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").alias("l_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
-    all_rows = docs.select("doc_id", "text").join(marked, F.col("doc_id") == F.col("l_id"), "left").withColumn("fold", fold)
-    counts = settled(bucket_counts(all_rows.select("text", F.when(F.col("fold").isin(1, 2, 3), F.col("toxic") > 0).alias("toxic"))))
-    model = Model(weights(counts))
-    rest = all_rows.where("fold = 4 and toxic is not null")
-    n = rest.count()
-    share = F.lit(1.0) if n <= CALIBRATION_ROWS else F.lit(CALIBRATION_ROWS / n)
-    rows = rest.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003)) / 1_000_003.0 < share).select("text", "toxic")
+    usable = labels.where("toxic is not null and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"), fold.alias("fold"))
+    sizes = {r["fold"]: r["count"] for r in usable.groupBy("fold").count().collect()}
+    share = lambda bound, *folds: min(1.0, bound / max(1, sum(sizes.get(k, 0) for k in folds)))
+    part = F.when(F.col("fold") == 4, share(CALIBRATION_ROWS, 4)).when(F.col("fold") > 0, share(WEIGHT_ROWS, 1, 2, 3)).otherwise(0.0)
+    chosen = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0 < part)
+
+    def of(marks: DataFrame) -> DataFrame:
+        """The texts of marks (doc_id, fold, toxic), which are as few as the bounds say, with their columns."""
+        own = F.broadcast(marks.withColumnRenamed("doc_id", "l_id"))
+        return docs.select("doc_id", "text").join(own, F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "fold", "toxic")
+
+    found = signatures(of(chosen.groupBy("doc_id", "fold").agg(F.max("toxic").alias("toxic"))))
+    for k in ("k0", "k1", "k2"):
+        found = found.groupBy(k).agg(F.min(F.struct("doc_id", "fold", "toxic", "k0", "k1", "k2")).alias("one")).select("one.*")
+    marks = settled(found.select("doc_id", "fold", "toxic"))
+
+    def sample(condition: str) -> DataFrame:
+        return of(marks.where(condition)).select("text", (F.col("toxic") > 0).alias("toxic"))
+
+    model = Model(weights(settled(labelled_counts(sample("fold <> 4"))), docs))
+    rows = sample("fold = 4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, float] = {}
+        known = Known()
         for batch in batches:
             found = [model.found(t.as_py(), known) for t in batch.column(0)]
             top = [sorted((s for s, *_ in own), reverse=True) for _, own in found]
@@ -212,7 +309,7 @@ def toxicity(docs: DataFrame, model: Model, threshold: float = 0.5, carry: bool
     rows = docs.select(F.struct("*").alias("row"), "text") if carry else docs.selectExpr("cast(doc_id as long) doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, float] = {}
+        known = Known()
         for batch in batches:
             scores, passages = [], []
             for text in batch.column(1):
