@@ -66,9 +66,12 @@ def removals(docs: DataFrame) -> DataFrame:
         F.explode(F.transform("chunks", lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), F.md5(_text(F.col("lines"), c).cast("binary")).alias("digest")))).alias("at"),
     ).select("doc_id", "th", "at.*")
     hits = settled(placed.join(repeated, "digest"))
+    # Only the document that keeps a passage needs to know which of its places stays, so the many others meet no join.
     own = F.col("doc_id").eqNullSafe(F.col("first"))
-    kept = hits.where(own).groupBy("digest").agg(F.min(F.struct("th", "start")).alias("stays"))
-    gone = hits.join(kept, "digest").where(~(own & (F.struct("th", "start") == F.col("stays"))))
+    mine, place = hits.where(own), F.struct("th", "start")
+    kept = mine.groupBy(F.col("digest").alias("k_digest")).agg(F.min(place).alias("stays"))
+    repeats = mine.join(kept, (F.col("digest") == F.col("k_digest")) & (place != F.col("stays")))
+    gone = hits.where(~own).select("doc_id", "th", "start", "n").union(repeats.select("doc_id", "th", "start", "n"))
     return gone.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("start", "n"))).alias("cuts"))
 
 
