@@ -56,10 +56,11 @@ def _found(rows: DataFrame, kind: str, pattern: str) -> DataFrame:
     hit = rows.where(F.col("text").rlike(pattern))
     cut = pinned(hit.select("key", F.split("text", pattern, -1).alias("pieces"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("matches")))
     each = cut.select("key", F.posexplode(F.arrays_zip("pieces", "matches")).alias("i", "at")).where("at.matches is not null")
+    # The running sum takes each place of a text once, so rows of one key (equal texts) come in once.
+    once = each.select("key", "i", F.length("at.pieces").alias("skipped"), F.col("at.matches").alias("match")).distinct()
     before = Window.partitionBy("key").orderBy("i")
-    length = F.length("at.pieces") + F.length("at.matches")
-    start = F.sum(length).over(before.rowsBetween(Window.unboundedPreceding, 0)) - F.length("at.matches")
-    return each.select("key", F.lit(kind).alias("kind"), start.cast("long").alias("start"), F.col("at.matches").alias("match"))
+    start = F.sum(F.col("skipped") + F.length("match")).over(before.rowsBetween(Window.unboundedPreceding, 0)) - F.length("match")
+    return once.select("key", F.lit(kind).alias("kind"), start.cast("long").alias("start"), "match")
 
 
 def _limit(run: Column) -> Column:
