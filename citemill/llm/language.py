@@ -8,8 +8,9 @@ probabilities and back-off weights lie in sorted arrays of keys. A text's langua
 the lowest cross-entropy a character. Texts whose cross-entropy exceeds what REJECT of the
 calibration texts of the language reach are marked as rejected: none of the languages fits.
 
-Learning takes texts with a language and crc32(doc_id as text) mod 4 other than 2, of each
-language at most about SAMPLE_TEXTS (a bound; beyond it a fair share by hash of the text).
+Learning takes all texts with a language and crc32(doc_id as text) mod 4 other than 2, each
+different text of a language once; n-grams are counted in a grouped sum. A fifth of them, by hash
+of the text, calibrates instead, unless the language has fewer than 10.
 Scoring is over whole texts. Distinct n-grams of a block of texts are looked up once.
 
 Null texts and texts without a letter give `und` with score 0. Repeated rows get equal results;
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from ..runtime import ship
 from .common import table
 
-ORDER, SAMPLE_TEXTS, REJECT = 4, 500, 0.999
+ORDER, REJECT = 4, 0.999
 UNIFORM = 1 / 2000
 #: Characters scored at a time.
 BLOCK = 3_000_000
@@ -81,9 +82,9 @@ def _at(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: float
 
 
 class LanguageModel:
-    def __init__(self, keys: np.ndarray):
-        """From the keys of all n-grams of highest order, repeats included."""
-        found, counts = np.unique(keys, return_counts=True)
+    def __init__(self, keys: np.ndarray, counts: np.ndarray | None = None):
+        """From the keys of all n-grams of highest order, repeats included; or from sorted different keys with their counts."""
+        found, counts = np.unique(keys, return_counts=True) if counts is None else (keys, counts)
         self.orders: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         for order in range(ORDER, 0, -1):
             if order < ORDER:
@@ -157,45 +158,83 @@ class Identifier:
         return result
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE_TEXTS) -> Identifier:
-    """From labelled (text, lang): a model per language from four fifths of the sample, rejection bounds from the rest."""
+def _packed(model: LanguageModel) -> list[bytes]:
+    return [a.tobytes() for order in model.orders for a in order]
+
+
+def _unpacked(arrays: list[bytes]) -> LanguageModel:
+    model, kinds = LanguageModel.__new__(LanguageModel), (np.uint64, np.float64, np.uint64, np.float64)
+    model.orders = [tuple(np.frombuffer(bytes(arrays[4 * k + i]), kind) for i, kind in enumerate(kinds)) for k in range(ORDER)]
+    return model
+
+
+def _counted(texts: DataFrame) -> DataFrame:
+    """lang, key and n: how often each n-gram of highest order stands in texts (lang, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[np.ndarray]] = {}
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, keys in held.items():
+                found, n = np.unique(np.concatenate(keys), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "key", "n"])
+            held.clear()
+
+        for batch in batches:
+            for lang, text in zip(batch.column(0), batch.column(1), strict=True):
+                codes = characters(text.as_py())
+                for at in range(0, len(codes), BLOCK):
+                    keys = grams(codes[max(0, at - ORDER + 1) : at + BLOCK])[min(at, ORDER - 1) :]
+                    held.setdefault(lang.as_py(), []).append(keys)
+                    size += len(keys)
+                    if size >= 2 * BLOCK:
+                        yield from flush()
+                        size = 0
+        yield from flush()
+
+    return texts.select("lang", "text").mapInArrow(run, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+
+
+def train(labelled: DataFrame) -> Identifier:
+    """From labelled (text, lang): a model per language from four fifths of its different texts (all where it has under 10), rejection bounds from the rest."""
     ship(labelled.sparkSession)
-    rows = labelled.where("text is not null and lang is not null").select("text", "lang", F.pmod(F.xxhash64("text"), F.lit(1_000_003)).alias("h"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not counts:
+    known = labelled.where("text is not null and lang is not null").select("text", "lang", F.xxhash64("text").alias("th"))
+    sizes = known.select("lang", "th").distinct().groupBy("lang").count().collect()
+    if not sizes:
         return Identifier({})
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, sample / n))])
-    chosen = rows.where(F.col("h") / 1_000_003.0 < F.element_at(share, F.col("lang")))
+    few = F.array(F.lit(""), *[F.lit(r["lang"]) for r in sizes if r["count"] < 10])
+    apart = F.pmod("th", F.lit(5)) == 0
+    distinct = known.where(~apart | F.array_contains(few, F.col("lang"))).groupBy("lang", "th").agg(F.first("text").alias("text"))
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf.sort_values(["h", "text"])
-        # at most about `sample` texts; equal texts count once
-        own = own.drop_duplicates("text")
-        keys = [grams(characters(t)) for t, h in zip(own["text"], own["h"], strict=True) if h % 5 or len(own) < 10]
-        model = LanguageModel(np.concatenate([np.zeros(0, np.uint64), *keys]))
-        rest = [t for t, h in zip(own["text"], own["h"], strict=True) if h % 5 == 0]
-        sizes, bits = Identifier({"": model}).entropies(rest)
-        seen = bits[sizes >= 20, 0] if len(rest) else np.zeros(0)
-        bound = float(np.quantile(seen, REJECT)) * 1.1 if len(seen) else float("inf")
-        flat = [a.tobytes() for order in model.orders for a in order]
-        return pd.DataFrame({"lang": [own["lang"].iloc[0]], "bound": [bound], "arrays": [flat]})
-
-    learned = chosen.groupBy("lang").applyInPandas(learn, "lang string, bound double, arrays array<binary>").collect()
-    models, bounds = {}, {}
-    for row in learned:
-        model = LanguageModel.__new__(LanguageModel)
-        kinds = (np.uint64, np.float64, np.uint64, np.float64)
-        model.orders = [tuple(np.frombuffer(bytes(row["arrays"][4 * k + i]), kind) for i, kind in enumerate(kinds)) for k in range(ORDER)]
-        models[row["lang"]], bounds[row["lang"]] = model, row["bound"]
-    found = Identifier(models)
-    found.bounds = np.array([bounds[x] for x in found.languages])
+        own = pdf.sort_values("key", key=lambda k: k.to_numpy().view(np.uint64))
+        return pd.DataFrame({"lang": [own["lang"].iloc[0]], "arrays": [_packed(LanguageModel(own["key"].to_numpy().view(np.uint64), own["n"].to_numpy()))]})
+
+    learned = _counted(distinct).groupBy("lang").applyInPandas(learn, "lang string, arrays array<binary>").collect()
+    found = Identifier({r["lang"]: _unpacked(r["arrays"]) for r in learned})
+    shared = labelled.sparkSession.sparkContext.broadcast(found)
+
+    def calibrate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = {x: Identifier({x: m}) for x, m in zip(shared.value.languages, shared.value.models, strict=True)}
+        for batch in batches:
+            pdf = batch.to_pandas()
+            for lang, part in pdf[pdf["lang"].isin(own)].groupby("lang"):
+                n, bits = own[lang].entropies(part["text"].tolist())
+                seen = n >= 20
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * int(seen.sum()), pa.string()), pa.array(part["th"].to_numpy()[seen]), pa.array(bits[seen, 0])], ["lang", "th", "bits"])
+
+    scored = known.where(apart).select("lang", "th", "text").mapInArrow(calibrate, "lang string, th long, bits double")
+    reached = scored.groupBy("lang", "th").agg(F.min("bits").alias("bits")).groupBy("lang").agg(F.percentile("bits", F.lit(REJECT)).alias("bound"))
+    bounds = {r["lang"]: r["bound"] * 1.1 for r in reached.collect()}
+    found.bounds = np.array([bounds.get(x, np.inf) for x in found.languages])
     return found
 
 
 def identify(docs: DataFrame, model: Identifier) -> DataFrame:
     """doc_id, lang_pred, score, bits_per_char and rejected of every row of docs (doc_id, text)."""
     ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most SAMPLE_TEXTS texts a language went into it
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is that of the different n-grams of the languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -88,6 +88,15 @@ def test_language_of_odd_rows(spark, odd_docs, no_docs):
     assert {r.lang_pred for r in language.identify(odd_docs, language.train(no_docs.select("text", "lang"))).collect()} == {"und"}
 
 
+def test_languages_of_few_often_copied_texts_are_learned(spark):
+    rows = [(f"{word} {k} {word[::-1]}", lang) for lang, word in (("en", "house"), ("es", "perro"), ("fr", "chien"), ("de", "katze")) for k in ("ab", "cd") for _ in range(1500)]
+    learned = language.train(spark.createDataFrame(rows, "text string, lang string"))
+    assert learned.languages == ["de", "en", "es", "fr"]
+    want = language.LanguageModel(np.concatenate([language.grams(language.characters(f"house {k} esuoh")) for k in ("ab", "cd")]))
+    own = learned.models[1].orders[0]
+    assert all(np.array_equal(x, y) for x, y in zip(own, want.orders[0], strict=True))
+
+
 def test_blocks_of_characters_change_nothing(monkeypatch):
     model = language.LanguageModel(language.grams(language.characters("the cat sat on the mat " * 20)))
     own = language.Identifier({"en": model})
