@@ -11,6 +11,12 @@ Texts: A to Z are lower-cased; words are runs without white space; shingles are
 repeats included; fewer words are one shingle; no words (null, empty, blank) give fingerprint
 zero, which links like any other. Repeated rows get the same answer; an empty table gives no
 rows; other columns are ignored. A null doc_id is never the representative unless all are null.
+
+Copies of a given Jaccard similarity mostly differ in more bits than a ball can hold (about 10 of
+64 at 0.8), so near_copies looks for them otherwise: texts that share the fingerprint or one of
+BANDS hashes of ROWS minima of their shingles (MinHash) are candidates, each with the NEXT before
+it in the group, and the exact share of their distinct shingles decides. Two texts of similarity s
+share no band with chance (1 - s ** ROWS) ** BANDS, which is 7e-5 at 0.8.
 """
 
 from __future__ import annotations
@@ -26,31 +32,61 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..runtime import ship
-from .common import settled, table
+from .common import lowered, pinned, settled, table, words
 from .components import components
 
+BANDS, ROWS, NEXT = 24, 5, 3
+_RANDOM = np.random.default_rng(42)
+_FACTOR, _SHIFT = (_RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64) for _ in range(2))
+_FACTOR = _FACTOR * np.uint64(2) + np.uint64(1)
 #: Shingles whose bits are counted at a time.
 BLOCK = 1 << 16
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """64 bits, each set where more than half of the shingles' XXH64 (seed 42) have it."""
-    words = (text or "").encode().lower().split()  # of bytes, both concern ASCII alone
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    n = max(1, len(words) - width + 1)
+def shingle_hashes(text: str | None, width: int) -> Iterator[np.ndarray]:
+    """The shingles' XXH64 (seed 42), a block at a time; none without words."""
+    found = (text or "").encode().lower().split()  # of bytes, both concern ASCII alone
+    if not found:
+        return
+    joined = b" ".join(found)
+    ends = np.cumsum([len(w) + 1 for w in found]) - 1
+    n = max(1, len(found) - width + 1)
     starts = np.r_[0, ends + 1][:n].tolist()
-    lasts = ends[min(width, len(words)) - 1 :].tolist()
+    lasts = ends[min(width, len(found)) - 1 :].tolist()
     hashed = xxhash.xxh64_intdigest
-    counts = np.zeros(64, np.int64)
     for at in range(0, n, BLOCK):
-        h = np.array([hashed(joined[a:b], 42) for a, b in zip(starts[at : at + BLOCK], lasts[at : at + BLOCK], strict=True)], ">u8")
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        yield np.array([hashed(joined[a:b], 42) for a, b in zip(starts[at : at + BLOCK], lasts[at : at + BLOCK], strict=True)], np.uint64)
+
+
+def _fingerprint(blocks: list[np.ndarray] | Iterator[np.ndarray]) -> int:
+    counts, n = np.zeros(64, np.int64), 0
+    for h in blocks:
+        counts += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        n += len(h)
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """64 bits, each set where more than half of the shingles' XXH64 (seed 42) have it."""
+    return _fingerprint(shingle_hashes(text, width))
+
+
+def meeting_points(text: str | None, width: int) -> list[int]:
+    """The fingerprint and the band hashes by which a text meets candidates, as signed longs; none without words."""
+    blocks = list(shingle_hashes(text, width))
+    if not blocks:
+        return []
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for h in blocks:
+        for at in range(0, len(h), 2048):
+            least = np.minimum(least, (h[at : at + 2048, None] * _FACTOR + _SHIFT).min(axis=0))
+    band = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for row in least.reshape(ROWS, BANDS):
+        band = (band ^ row) * np.uint64(0x9E3779B97F4A7C15)
+        band ^= band >> np.uint64(29)
+    return np.r_[np.array([_fingerprint(blocks)], np.uint64), band].view(np.int64).tolist()
+
+
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """doc_id, th (hash of the text) and fp (the fingerprint as a signed long) of every row of docs (doc_id, text)."""
 
@@ -96,13 +132,54 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
 
 def one_of_each(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     """The rows of docs that are the smallest doc_id of their component, once each; where a component has no doc_id, all its different texts."""
-    found = near_duplicates(docs, width, radius)
+    return _smallest(docs, near_duplicates(docs, width, radius))
+
+
+def _smallest(docs: DataFrame, found: DataFrame) -> DataFrame:
     stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("s_id"), F.col("th").alias("s_th")).distinct()
     rows = docs.select(F.struct("*").alias("row"))
     kept = rows.join(stay, F.col("row.doc_id").eqNullSafe(F.col("s_id")) & (F.xxhash64("row.text") == F.col("s_th")))
     return kept.dropDuplicates(["s_id", "s_th"]).select("row.*")
 
 
+def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """doc_id, th (hash of the text) and component_id (the smallest doc_id reachable over texts whose distinct shingles have a Jaccard similarity of least or more) of every row of docs (doc_id, text)."""
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            same = [xxhash.xxh64_intdigest(b" ".join((t or "").encode().lower().split()), 42) for t in texts]
+            points = pa.array([meeting_points(t, width) for t in texts], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(same, np.uint64).view(np.int64)), points], ["doc_id", "th", "same", "points"])
+
+    hashed = docs.selectExpr("cast(doc_id as long) doc_id", "xxhash64(text) th", "text")
+    rows = settled(hashed.mapInArrow(run, "doc_id long, th long, same long, points array<long>"))
+    # Texts of the same words are one class, which has one of them (the smallest hash) compared.
+    classes = settled(rows.groupBy("same").agg(F.min("doc_id").alias("first"), F.min("th").alias("shown"), F.first("points").alias("points")))
+    meeting = Window.partitionBy("point").orderBy("same")
+    met = classes.select("same", F.explode("points").alias("point")).select("same", F.array(*[F.lag("same", k).over(meeting) for k in range(1, NEXT + 1)]).alias("others"))
+    pairs = settled(met.select("same", F.explode("others").alias("other")).where("other <> same").distinct())
+    needed = pairs.select("same").union(pairs.select("other")).distinct()
+    shown = classes.join(needed, "same").select("same", F.col("shown").alias("th"))
+    texts = docs.select(F.xxhash64("text").alias("th"), "text").groupBy("th").agg(F.first("text").alias("text")).join(shown, "th")
+    own = pinned(texts.select("same", words(lowered(F.col("text"))).alias("w")))
+    shingle = lambda at: F.xxhash64(F.array_join(F.slice("w", at, width), " "))
+    sets = settled(own.select("same", F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - width + 1, F.lit(1))), shingle)).alias("has")))
+    both = pairs.join(sets, "same").join(sets.select(F.col("same").alias("other"), F.col("has").alias("other_has")), "other")
+    shared = both.select("same", "other", F.size(F.array_intersect("has", "other_has")).alias("n"), (F.size("has") + F.size("other_has")).alias("total"))
+    found = components(shared.where(F.col("n") >= F.lit(least) * (F.col("total") - F.col("n"))).selectExpr("same a", "other b"))
+    rooted = classes.join(found, classes.same == found.node, "left").select("same", "first", F.coalesce("root", "same").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = rooted.join(smallest, "root").select(F.col("same").alias("own"), "component_id")
+    return rows.join(named, rows.same == named.own).select("doc_id", "th", "component_id")
+
+
+def one_of_near_copies(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """Like one_of_each, with the components of near_copies."""
+    return _smallest(docs, near_copies(docs, width, least))
+
+
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

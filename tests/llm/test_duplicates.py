@@ -1,5 +1,7 @@
+import random
 import re
 
+import corpus_pipeline
 import duckdb
 import pytest
 import xxhash
@@ -75,6 +77,22 @@ def test_near_duplicates_of_odd_rows(odd_docs, no_docs):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id) == [1, 4, 5, 7]
 
 
+def test_the_stage_links_near_copies_of_similarity_0_8(spark, no_docs, odd_docs):
+    rng, docs, near, far = random.Random(5), [], set(), set()
+    sets = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    for k in range(120):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice((60, 150, 400, 1000)))]
+        changed = [f"z{rng.randrange(5000)}" if rng.random() < (0.005, 0.01, 0.02, 0.06)[k % 4] else w for w in words]
+        a, b = sets(words), sets(changed)
+        (near if len(a & b) >= 0.8 * len(a | b) else far).add(2 * k + 1)
+        docs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(changed))]
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(docs, "doc_id long, text string"), D).collect()}
+    assert len(near) > 60 and len(far) > 20
+    assert not near & kept and far <= kept and {2 * k for k in range(120)} <= kept
+    assert sorted(r.doc_id for r in simhash.one_of_near_copies(odd_docs).collect() if r.doc_id) == [1, 4, 5, 7]
+    assert simhash.one_of_near_copies(no_docs).count() == 0
+
+
 WHOLE = " ".join(f"long{k}" for k in range(60))
 
 
