@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,12 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (one machine)."""
+    """The folder that driver and executors share; where none is set, a temporary one on a local master and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext
         found = context.getCheckpointDir()
         if not found:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="citemill-checkpoint-"))
             found = context.getCheckpointDir()
     elif not spark.sparkContext.getCheckpointDir():
@@ -50,3 +53,23 @@ def words(text: Column) -> Column:
 def pinned(df: DataFrame) -> DataFrame:
     """df with its columns computed once per row: projections above are not merged into it, which would evaluate them again for each use inside a lambda."""
     return df.select(F.explode(F.array(F.struct("*"))).alias("pinned")).select("pinned.*")
+
+
+#: Shares into which spread_join cuts its rows: a key with more than one share is dealt over several tasks.
+SHARES = 1000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFrame:
+    """left and right joined on column key; right has each key once and in weight the number of its rows in left.
+
+    A key that holds more than 1/SHARES of left is dealt over as many tasks as it holds shares, and its row in right
+    repeated for each. There are fewer than SHARES such keys, whatever the data, so their list is broadcast.
+    """
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    share = max(1, math.ceil(total / SHARES))
+    parts = F.ceil(F.col(weight) / share).cast("int")
+    heavy = F.broadcast(right.where(F.col(weight) > share).select(F.col(key).alias("_heavy"), parts.alias("_parts")))
+    dealt = left.join(heavy, F.col(key) == F.col("_heavy"), "left").withColumn("_part", F.pmod(F.xxhash64(*left.columns), F.coalesce("_parts", F.lit(1))).cast("int"))
+    copies = right.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))).withColumnRenamed(key, "_key")
+    joined = dealt.join(copies, (F.col(key) == F.col("_key")) & (F.col("_part") == F.col("_copy")))
+    return joined.drop("_heavy", "_parts", "_part", "_copy", "_key")

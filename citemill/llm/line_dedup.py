@@ -1,17 +1,25 @@
-"""Line dedup by content-defined chunks of lines.
-
-A text's lines are cut into chunks where a rolling hash over the line hashes says so: the
-hash of a line and its predecessor, modulo LONG, falls below the line's number of words.
-Boundaries so depend on the lines around them alone and survive shifts; chunks have about
-LONG words; a line of LONG words or more is a chunk of its own. Chunks of two lines or more
-with at least LEAST words, and lines of LONG words or more, count as passages. Passages that
-occur more than once are grouped by their whole bytes, not by a digest; the occurrence with
-the smallest doc_id (then the smallest text hash and place) stays, the others' lines go.
-
-A null text has no lines and stays null. Empty lines belong to chunks like others. A text all
-of whose lines go becomes empty. Rows equal in doc_id and text are one document: each gets
-the same result. A null doc_id is never the one that stays unless all are null. An empty
-table gives no rows. The input's own columns come back unchanged but for text.
+"""Line dedup by content-defined chunks of lines, extended to whole passages.
+
+Lines with words are cut into chunks where a rolling hash over the hashes of a line and its
+predecessor, modulo FINE, falls below the line's number of words. Boundaries depend on the lines
+around them alone and so survive shifts; a line of FINE words or more is a chunk of its own. Chunks
+that occur more than once in the corpus anchor the search: they and BESIDE chunks on either side make up
+a document's suspected stretches (a passage's first and last lines lie in chunks that reach beyond
+it). From each line of a stretch the passage of LONG words or just over is taken forwards and
+backwards. Passages that occur more than once are removed but for the one with the smallest
+doc_id (then the smallest text hash and place), so a repeated run of LONG words or more goes line by
+line up to its ends, even if its parts were first seen in different documents.
+
+Every line's bytes are compared with those of all lines of the same hash, and passages are compared
+by the whole sequence of their lines' hashes, so passages that count as equal have equal lines. A
+line whose hash (60 bits) belongs to other bytes as well is never part of a removed passage.
+Passages of LONG words or more made of lines under FINE words are missed if no chunk begins and ends
+inside them: by computation 2 of 100 such passages at two words a line, 1 of 300 at five, none at ten.
+
+A null text has no lines and stays null. Lines without a word count for nothing, but go with a
+passage that they lie in. A text all of whose lines go becomes empty. Rows equal in doc_id and text
+are one document: each gets the same result. A null doc_id is never the one that stays unless all
+are null. An empty table gives no rows. The input's own columns come back unchanged but for text.
 """
 
 from __future__ import annotations
@@ -19,58 +27,86 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pinned, settled, table
+from .common import pinned, settled, spread_join, table
 
-LONG, LEAST = 50, 20
+LONG, FINE = 50, 10
+#: Chunks on either side of a repeated one that may hold a passage's ends: the first line of a passage can end a chunk in one document and not in another.
+BESIDE = 2
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def _line_hash(line: Column) -> Column:
-    """The first 32 bits of a line's MD5 as a number."""
-    return F.conv(F.substring(F.md5(line.cast("binary")), 1, 8), 16, 10).cast("long")
+    """The first 60 bits of a line's MD5 as a number."""
+    return F.conv(F.substring(F.md5(line.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def _chunked(docs: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text) and the lines of each text, with its chunks as structs of start, n and words."""
-    lined = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), F.split("text", "\n", -1).alias("lines"))
-    marked = pinned(pinned(lined).withColumn("marks", F.transform("lines", lambda x: F.struct(_line_hash(x).alias("v"), F.regexp_count(x, F.lit(WORD)).alias("w")))))
+def _lined(docs: DataFrame) -> DataFrame:
+    """doc_id, th (hash of the text), the lines with words (place, hash, number of words) and the chunks' last lines among them; one row a text."""
+    lines = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), F.split("text", "\n", -1).alias("lines"))
+    counted = pinned(lines.select("doc_id", "th", F.transform("lines", lambda x, i: F.struct(i.alias("at"), x.alias("line"), F.regexp_count(x, F.lit(WORD)).alias("w"))).alias("marks")))
+    worded = pinned(counted.select("doc_id", "th", F.filter("marks", lambda m: m["w"] > 0).alias("marks"))).where(F.size("marks") > 0)
+    parts = {"at": F.transform("marks", lambda m: m["at"]), "v": F.transform("marks", lambda m: _line_hash(m["line"])), "w": F.transform("marks", lambda m: m["w"])}
+    hashed = pinned(worded.select("doc_id", "th", *[c.alias(name) for name, c in parts.items()]))
 
     def ends(i: Column) -> Column:
-        mark, before, after = (F.get("marks", i + k) for k in (0, -1, 1))
-        rolled = (mark["v"] * 31 + F.coalesce(before["v"], F.lit(0))) % LONG
-        return (i == F.size("marks") - 1) | (F.coalesce(after["w"], F.lit(0)) >= LONG) | (rolled < mark["w"])
-
-    cut = pinned(marked.withColumn("ends", F.filter(F.sequence(F.lit(0), F.size("marks") - 1), ends)))
-
-    def chunk(end: Column, k: Column) -> Column:
-        start = F.when(k == 0, 0).otherwise(F.get("ends", k - 1) + 1)
-        count = F.aggregate(F.slice("marks", start + 1, end - start + 1), F.lit(0), lambda s, m: s + m["w"])
-        return F.struct(start.alias("start"), (end - start + 1).alias("n"), count.alias("words"))
-
-    chunks = F.filter(F.transform("ends", chunk), lambda c: ((c["n"] > 1) & (c["words"] >= LEAST)) | (c["words"] >= LONG))
-    return pinned(cut.select("doc_id", "th", "lines", chunks.alias("chunks")))
-
-
-def _text(lines: Column, c: Column) -> Column:
-    return F.array_join(F.slice(lines, c["start"] + 1, c["n"]), "\n")
+        rolled = (F.get("v", i) % 1009) * 31 + F.coalesce(F.get("v", i - 1) % 1009, F.lit(0))
+        return (i == F.size("v") - 1) | (F.get("w", i + 1) >= FINE) | (rolled % FINE < F.get("w", i))
+
+    return hashed.withColumn("ends", F.filter(F.sequence(F.lit(0), F.size("v") - 1), ends))
+
+
+def _clashes(docs: DataFrame) -> DataFrame:
+    """v of lines that share a hash but not their bytes; hardly ever a row."""
+    lines = docs.where("text is not null").select(F.explode(F.split("text", "\n", -1)).alias("line")).where(F.col("line").rlike(WORD))
+    return lines.groupBy("line").agg(F.lit(1).alias("one")).groupBy(_line_hash(F.col("line")).alias("clash")).agg(F.count("*").alias("c")).where("c > 1").select("clash")
+
+
+def _stretches(lined: DataFrame) -> DataFrame:
+    """doc_id, th, at, v and w of each suspected stretch of lines."""
+    start = lambda k: F.coalesce(F.get("ends", k - 1) + 1, F.lit(0))
+    keys = F.transform("ends", lambda end, k: F.xxhash64(F.slice("v", start(k) + 1, end - start(k) + 1)))
+    places = settled(lined.select("doc_id", "th", F.posexplode(keys).alias("k", "chunk")))
+    repeated = settled(places.groupBy("chunk").agg(F.count("*").alias("c")).where("c > 1"))
+    own = spread_join(places, repeated, "chunk", "c").groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("k")).alias("ks"))
+    found = own.select(F.col("doc_id").alias("own"), F.col("th").alias("own_th"), "ks")
+    joined = pinned(lined.join(found, F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("th") == F.col("own_th"))).drop("own", "own_th"))
+    # Repeated chunks whose neighbours touch share a stretch.
+    firsts = F.filter("ks", lambda k, i: F.coalesce(F.get("ks", i - 1) < k - 2 * BESIDE - 1, F.lit(True)))
+    lasts = F.filter("ks", lambda k, i: F.coalesce(F.get("ks", i + 1) > k + 2 * BESIDE + 1, F.lit(True)))
+    ranged = joined.select("doc_id", "th", "at", "v", "w", "ends", F.explode(F.arrays_zip(firsts.alias("first"), lasts.alias("last"))).alias("range"))
+    low = F.when(F.col("range.first") > BESIDE, F.get("ends", F.col("range.first") - BESIDE - 1) + 1).otherwise(0)
+    high = F.get("ends", F.least(F.col("range.last") + BESIDE, F.size("ends") - 1))
+    bounds = ranged.select("doc_id", "th", "at", "v", "w", low.alias("low"), (high - low + 1).alias("n"))
+    return pinned(bounds.select("doc_id", "th", *[F.slice(c, F.col("low") + 1, F.col("n")).alias(c) for c in ("at", "v", "w")]))
+
+
+def _passages(lined: DataFrame) -> DataFrame:
+    """doc_id, th, start and n (lines taken, those without words included) and key (the hashes of its lines) of every passage in a suspected stretch."""
+    # A passage has at most LONG lines with words: sum and number of lines share one number, sum * 64 + lines.
+    reach = lambda ws: F.aggregate(ws, F.lit(0).cast("long"), lambda s, w: F.when(s >= LONG * 64, s).otherwise(s + w * 64 + 1))
+    code = lambda first, s: F.when(s >= LONG * 64, first(s % 64) * 64 + s % 64)
+    places = F.sequence(F.lit(0), F.size("w") - 1)
+    forwards = F.transform(places, lambda i: code(lambda n: i.cast("long"), reach(F.slice("w", i + 1, F.lit(LONG)))))
+    low = lambda i: F.greatest(i - LONG + 1, F.lit(0))
+    backwards = F.transform(places, lambda i: code(lambda n: i - n + 1, reach(F.reverse(F.slice("w", low(i) + 1, i - low(i) + 1)))))
+    coded = pinned(_stretches(lined).withColumn("code", F.explode(F.array_distinct(F.filter(F.concat(forwards, backwards), lambda c: c.isNotNull())))))
+    first, n = F.floor(F.col("code") / 64).cast("int"), (F.col("code") % 64).cast("int")
+    at = F.get("at", first)
+    return coded.select("doc_id", "th", at.alias("start"), (F.get("at", first + n - 1) - at + 1).alias("n"), F.slice("v", first + 1, n).alias("key"))
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """doc_id, th and cuts (sorted structs of start and n, lines to take out) of texts that repeat passages; docs has doc_id and text."""
-    chunked = _chunked(docs)
-    texts = chunked.select("doc_id", F.explode(F.transform("chunks", lambda c: _text(F.col("lines"), c))).alias("passage"))
-    grouped = texts.groupBy("passage").agg(F.count("*").alias("c"), F.min("doc_id").alias("first")).where("c > 1")
-    repeated = grouped.groupBy(F.md5(F.col("passage").cast("binary")).alias("digest")).agg(F.count("*").alias("c"), F.first("first").alias("first")).where("c = 1").drop("c")
-    placed = chunked.select(
-        "doc_id", "th",
-        F.explode(F.transform("chunks", lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), F.md5(_text(F.col("lines"), c).cast("binary")).alias("digest")))).alias("at"),
-    ).select("doc_id", "th", "at.*")
-    hits = settled(placed.join(repeated, "digest"))
+    """doc_id, th and cuts (sorted structs of start and n, lines to take out; they may overlap) of texts that repeat passages; docs has doc_id and text."""
+    passages = settled(_passages(settled(_lined(docs))))
+    grouped = passages.groupBy("key").agg(F.count("*").alias("c"), F.min("doc_id").alias("first")).where("c > 1")
+    doubtful = grouped.select("key", F.explode("key").alias("v")).join(_clashes(docs), F.col("v") == F.col("clash")).select(F.col("key").alias("bad")).distinct()
+    repeated = settled(grouped.join(doubtful, F.col("key") == F.col("bad"), "left_anti"))
+    hits = settled(spread_join(passages, repeated, "key", "c"))
     # Only the document that keeps a passage needs to know which of its places stays, so the many others meet no join.
     own = F.col("doc_id").eqNullSafe(F.col("first"))
     mine, place = hits.where(own), F.struct("th", "start")
-    kept = mine.groupBy(F.col("digest").alias("k_digest")).agg(F.min(place).alias("stays"))
-    repeats = mine.join(kept, (F.col("digest") == F.col("k_digest")) & (place != F.col("stays")))
+    kept = mine.groupBy(F.col("key").alias("k_key")).agg(F.min(place).alias("stays"))
+    repeats = mine.join(kept, (F.col("key") == F.col("k_key")) & (place != F.col("stays")))
     gone = hits.where(~own).select("doc_id", "th", "start", "n").union(repeats.select("doc_id", "th", "start", "n"))
     return gone.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("start", "n"))).alias("cuts"))
 
@@ -83,17 +119,18 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     lined = pinned(joined.select("row", F.coalesce("cuts", F.array().cast("array<struct<start:int,n:int>>")).alias("cuts"), F.split("row.text", "\n", -1).alias("lines")))
 
     def stretch(k: Column) -> Column:
+        """The lines before cut k; where passages overlap, later ones end later, so only the cut before matters."""
         before, after = F.get("cuts", k - 1), F.get("cuts", k)
         start = F.coalesce(before["start"] + before["n"], F.lit(0))
-        return F.slice("lines", start + 1, F.coalesce(after["start"], F.size("lines")) - start)
+        return F.slice("lines", start + 1, F.greatest(F.coalesce(after["start"], F.size("lines")) - start, F.lit(0)))
 
     left = F.flatten(F.transform(F.sequence(F.lit(0), F.size("cuts")), stretch))
-    removed = F.aggregate("cuts", F.lit(0), lambda s, c: s + c["n"])
-    return lined.select(
+    cut = pinned(lined.withColumn("left", F.when(F.size("cuts") > 0, left)))
+    return cut.select(
         "row",
         F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"),
-        removed.cast("long").alias("n_removed"),
-        F.when(F.size("cuts") > 0, F.array_join(left, "\n")).otherwise(F.col("row.text")).alias("kept"),
+        F.when(F.size("cuts") > 0, F.size("lines") - F.size("left")).otherwise(0).cast("long").alias("n_removed"),
+        F.when(F.size("cuts") > 0, F.array_join("left", "\n")).otherwise(F.col("row.text")).alias("kept"),
     )
 
 
@@ -107,21 +144,34 @@ WITH l AS (
   SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i, unnest(string_split(text, chr(10))) AS line
   FROM documents WHERE text IS NOT NULL),
 m AS (
-  SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w, ('0x' || substr(md5(line), 1, 8))::BIGINT AS v FROM l),
+  SELECT *, ('0x' || substr(md5(line), 1, 15))::BIGINT AS v, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS j
+  FROM (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM l) WHERE w > 0),
 e AS (
-  SELECT *, lead(w) OVER d IS NULL OR lead(w) OVER d >= {LONG} OR (v * 31 + coalesce(lag(v) OVER d, 0)) % {LONG} < w AS ends
-  FROM m WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+  SELECT *, lead(j) OVER d IS NULL OR lead(w) OVER d >= {FINE} OR ((v % 1009) * 31 + coalesce(lag(v) OVER d % 1009, 0)) % {FINE} < w AS ends
+  FROM m WINDOW d AS (PARTITION BY doc_id ORDER BY j)),
 n AS (
-  SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM e),
-c AS (
-  SELECT doc_id, k, count(*) AS n, sum(w) AS words, string_agg(line, chr(10) ORDER BY i) AS passage FROM n GROUP BY doc_id, k),
-r AS (
-  SELECT doc_id, k, row_number() OVER (PARTITION BY passage ORDER BY doc_id, k) > 1 AS gone
-  FROM c WHERE (n > 1 AND words >= {LEAST}) OR words >= {LONG}),
+  SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM e),
+c AS (SELECT doc_id, k, string_agg(line, chr(10) ORDER BY j) AS chunk FROM n GROUP BY doc_id, k),
+h AS (SELECT doc_id, k, (count(*) OVER (PARTITION BY chunk) > 1)::INT AS hot FROM c),
+s AS (SELECT doc_id, k, max(hot) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN {BESIDE} PRECEDING AND {BESIDE} FOLLOWING) AS hot FROM h),
+g AS (SELECT doc_id, k, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS stretch FROM s WHERE hot = 1),
+x AS (
+  SELECT n.doc_id, stretch, i, j, line, w, sum(w) OVER (PARTITION BY n.doc_id, stretch ORDER BY j) AS total
+  FROM n JOIN g ON g.doc_id = n.doc_id AND g.k = n.k),
+p AS (
+  SELECT a.doc_id, a.j AS a, min(b.j) AS b FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.stretch = b.stretch AND b.j BETWEEN a.j AND a.j + {LONG - 1}
+  WHERE b.total - a.total + a.w >= {LONG} GROUP BY a.doc_id, a.j
+  UNION
+  SELECT b.doc_id, max(a.j), b.j FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.stretch = b.stretch AND b.j BETWEEN a.j AND a.j + {LONG - 1}
+  WHERE b.total - a.total + a.w >= {LONG} GROUP BY b.doc_id, b.j),
+t AS (
+  SELECT p.doc_id, a, min(x.i) AS i, max(x.i) AS last, string_agg(line, chr(10) ORDER BY x.j) AS passage
+  FROM p JOIN x ON x.doc_id = p.doc_id AND x.j BETWEEN p.a AND p.b GROUP BY p.doc_id, a, b),
+r AS (SELECT *, row_number() OVER (PARTITION BY passage ORDER BY doc_id, i) > 1 AS gone FROM t),
+q AS (SELECT DISTINCT l.doc_id, l.i FROM l JOIN r ON r.doc_id = l.doc_id AND gone AND l.i BETWEEN r.i AND r.last),
 o AS (
-  SELECT n.doc_id, count(*) AS n_lines, count(*) FILTER (r.gone) AS n_removed,
-         coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (r.gone IS NOT TRUE), '') AS text
-  FROM n LEFT JOIN r ON r.doc_id = n.doc_id AND r.k = n.k GROUP BY n.doc_id)
+  SELECT l.doc_id, count(*) AS n_lines, count(q.i) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (q.i IS NULL), '') AS text
+  FROM l LEFT JOIN q ON q.doc_id = l.doc_id AND q.i = l.i GROUP BY l.doc_id)
 SELECT doc_id, n_lines::BIGINT AS n_lines, n_removed::BIGINT AS n_removed, text FROM o
 UNION ALL SELECT doc_id, 0::BIGINT, 0::BIGINT, NULL FROM documents WHERE text IS NULL
 """

@@ -103,13 +103,48 @@ def test_repeated_passages_go_but_the_first_stays(spark, no_docs):
     assert line_dedup.line_dedup(no_docs).count() == 0
 
 
-def test_passages_of_short_lines_go_but_for_their_ends(spark):
+def test_passages_of_short_lines_go_whole(spark):
     lines = [" ".join(f"p{i}x{k}" for k in range(12)) for i in range(60)]
     docs = spark.createDataFrame([(i, "\n".join([*[f"own words {i} {k}" for k in range(i)], *lines, f"last words {i}"])) for i in range(1, 6)], "doc_id long, text string")
     got = {r.row.doc_id: r for r in line_dedup.line_dedup(docs).collect()}
     assert got[1].n_removed == 0
     for i in range(2, 6):
-        assert got[i].n_removed >= 45 and all(f"own words {i} {k}" in got[i].kept for k in range(i)) and f"last words {i}" in got[i].kept
+        assert got[i].n_removed == 60 and got[i].kept == "\n".join([*[f"own words {i} {k}" for k in range(i)], f"last words {i}"])
+
+
+def test_planted_passages_of_few_lines_go_whole_and_shorter_ones_stay(spark):
+    rng, docs, want = random.Random(3), [], {}
+    word = lambda: f"w{rng.randrange(100_000)}"
+    line = lambda n: " ".join(word() for _ in range(n))
+    shapes = [(6, 10), (10, 10), (5, 20), (2, 30), (4, 45), (9, 45), (40, 10), (11, 5), (1, 51), (3, 18), (4, 10), (2, 20)]
+    for k in range(8 * len(shapes)):
+        n, size = shapes[k % len(shapes)]
+        passage = [line(size) for _ in range(n)]
+        if k % 3 == 0:
+            passage.insert(1, "")  # a line without words inside the passage, if it has two lines
+        for copy in range(2):
+            before, after = [line(rng.randrange(3, 30)) for _ in range(rng.randrange(4))], [line(rng.randrange(3, 30)) for _ in range(rng.randrange(1, 4))]
+            docs.append((2 * k + copy, "\n".join([*before, *passage, *after])))
+            want[2 * k + copy] = "\n".join([*before, *([""] if n == 1 and k % 3 == 0 else []), *after]) if copy and n * size >= line_dedup.LONG else "\n".join([*before, *passage, *after])
+    got = {r.row.doc_id: r.kept for r in line_dedup.line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    wrong = [i for i in want if got[i] != want[i]]
+    assert len(wrong) <= 1, wrong  # passages of short lines may be missed now and then
+
+
+def test_a_passage_whose_parts_were_seen_apart_goes(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(30)) for c in "ab")
+    docs = spark.createDataFrame([(1, f"{a}\nonly one"), (2, f"{b}\nonly two"), (3, f"three\n{a}\n{b}"), (4, f"four\n{a}\n{b}"), (None, f"{a}\n{b}\nnone")], "doc_id long, text string")
+    got = {r.row.doc_id: r.kept for r in line_dedup.line_dedup(docs).collect()}
+    assert got == {1: f"{a}\nonly one", 2: f"{b}\nonly two", 3: f"three\n{a}\n{b}", 4: "four", None: "none"}
+
+
+def test_long_texts_ties_and_repeated_lines(spark):
+    long = "\n".join(f"line {i} of a long text" for i in range(20_000))
+    same = " ".join(["again"] * 12)
+    docs = spark.createDataFrame([(2, long), (1, long), (3, "\n".join([same] * 200)), (None, long)], "doc_id long, text string")
+    got = {r.row.doc_id: (r.kept, r.n_removed) for r in line_dedup.line_dedup(docs).collect()}
+    assert got[1] == (long, 0) and got[2] == ("", 20_000) and got[None] == ("", 20_000)
+    assert got[3] == (same, 199)
 
 
 def test_rows_equal_in_id_and_text_are_one_document(spark):
