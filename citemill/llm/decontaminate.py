@@ -1,70 +1,108 @@
 """Benchmark decontamination by size-partitioned MinHash containment search.
 
 Benchmark items are partitioned by their number of distinct word shingles, doubling from one
-partition to the next. An item's sketch is the SKETCH smallest hashes of its shingles (bottom-k
-MinHash); a partition's cut is the largest hash in its items' sketches. Long texts are not
-sketched to a fixed size, which would lose short items inside them: for each partition a text
-keeps all shingle hashes up to that partition's cut, so a sketch hash that the text contains is
-always seen, however long the text. A text and an item with a sketch hash in common are a
-candidate pair; a text holding a share c of an item's shingles escapes with chance
-(1 - c) ** SKETCH, which is 3e-6 at c = 0.8. Candidates are verified by the exact share of the
-item's distinct shingles that the text has.
+partition to the next. An item's sketch is the smallest hashes of its shingles (bottom-k MinHash):
+SKETCH of them, or fewer where fewer are sure to be hit, as a text that holds a share c of n
+shingles has one of any n - c * n + 1. A partition's cut is the largest hash in its own items'
+sketches. Long texts are not sketched to a fixed size, which would lose short items inside them:
+for each partition a text probes with all its shingle hashes up to that partition's cut, so a
+sketch hash that the text contains is always seen, however long the text. A tiny item raises the
+cut of its own partition alone. A text and an item that meet in a partition on a sketch hash are a
+candidate pair; a text holding the share 0.8 of an item escapes with chance
+(1 - 0.8) ** SKETCH, 3e-6, and never if the item has 35 shingles or fewer. Candidates are verified
+by the exact share of the item's distinct shingles that the text has.
+
+Texts meet the sketches' keys where they are read: the different keys are broadcast, in blocks of
+at most about BLOCK, each block meeting all texts. Only texts with a candidate are shuffled.
 
 Texts: A to Z in lower case, words without white space, shingles of WIDTH words (fewer words: all
 of them as one shingle; none: no shingle). Null and empty texts and items match nothing. Rows
 equal in doc_id and text give one result; equal items with different ids match each on its own;
-an empty table on either side gives no rows. Other columns are ignored. Null ids are kept.
+an item id with several texts has its best match; an empty table on either side gives no rows.
+Other columns are ignored. Null ids are kept. Texts of any length are searched whole.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lowered, pinned, settled, table, words
+from .common import lowered, pinned, settled, spread_join, table, words
 
 WIDTH, SHARE, SKETCH = 5, 0.8, 8
-#: Sketch rows up to which the sketches are sent to every executor (16 bytes a row); more are shuffled.
-BROADCAST_ROWS = 500_000
+#: Sketch keys sent to every executor at a time (8 bytes each).
+BLOCK = 1 << 20
+
+
+def _shingles(w: Column, width: int = WIDTH) -> Column:
+    """Shingles of a column of words."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - width + 1, F.lit(1))), lambda start: F.array_join(F.slice(w, start, width), " "))
+
+
+def _hashes(rows: DataFrame, width: int = WIDTH) -> DataFrame:
+    """rows with hs, the hashes of the shingles of column w, in place of w; rows without words go."""
+    hashed = pinned(rows.where(F.size("w") > 0).withColumn("wh", F.transform("w", lambda x: F.xxhash64(x))).drop("w"))
+    # Beyond the last word of a short text there are nulls, which leave the hash as it is.
+    one = lambda start: F.xxhash64(*[F.get("wh", start + k) for k in range(width)])
+    return pinned(hashed.withColumn("hs", F.transform(F.sequence(F.lit(0), F.greatest(F.size("wh") - width, F.lit(0))), one)).drop("wh"))
+
+
+def _sketches(units: DataFrame, share: float = SHARE) -> DataFrame:
+    """u, part, h and key (one number for part and h) of the sketch of each item (u, w)."""
+    sets = pinned(_hashes(units.select("u", "w")).select("u", F.array_sort(F.array_distinct("hs")).alias("hs")))
+    n = F.size("hs")
+    enough = F.least(F.lit(SKETCH), n - F.ceil(n * share - 1e-9).cast("int") + 1)
+    found = sets.select("u", F.ceil(F.log2(n)).cast("int").alias("part"), F.explode(F.slice("hs", 1, F.greatest(enough, F.lit(1)))).alias("h"))
+    return found.withColumn("key", _key(F.col("part"), F.col("h")))
+
+
+def _key(part: Column, h: Column) -> Column:
+    return h.bitwiseXOR(part.cast("long"))
+
+
+def probes(hashed: DataFrame, cuts: dict[int, int]) -> DataFrame:
+    """hashed (with hs) with key of every hash up to the cut of each partition, once for each such partition, in place of hs."""
 
+    def own(part: int, cut: int) -> Column:
+        return F.transform(F.filter("hs", lambda h: h <= cut), lambda h: _key(F.lit(part), h))
 
-def _shingles(w: Column, hashed: bool, width: int = WIDTH) -> Column:
-    """Shingles of a column of words, as text or hashes."""
-    text = lambda start: F.array_join(F.slice(w, start, width), " ")
-    one = (lambda start: F.xxhash64(text(start))) if hashed else text
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - width + 1, F.lit(1))), one)
+    return hashed.select(*[c for c in hashed.columns if c != "hs"], F.explode(F.concat(*[own(part, cut) for part, cut in sorted(cuts.items())])).alias("key"))
 
 
-def _sketches(items: DataFrame) -> DataFrame:
-    """item_id, part and h: the sketch of each item."""
-    hashed = F.array_sort(F.array_distinct(_shingles(F.col("w"), True)))
-    sets = items.where(F.size("w") > 0).select("item_id", hashed.alias("hs"))
-    part = F.ceil(F.log2(F.size("hs"))).cast("int")
-    return sets.select("item_id", part.alias("part"), F.explode(F.slice("hs", 1, SKETCH)).alias("h"))
+def _candidates(docs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """doc_id, th, text and keys (sketch keys that it has) of every text with any."""
+    cuts = {r["part"]: r["cut"] for r in sketches.groupBy("part").agg(F.max("h").alias("cut")).collect()}  # a row for each doubling of the size
+    texts = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), "text", words(lowered(F.col("text"))).alias("w"))
+    met = probes(_hashes(texts), cuts) if cuts else texts.select("doc_id", "th", "text", F.lit(0).cast("long").alias("key")).where("false")
+    keys = sketches.select(F.col("key").alias("wanted")).distinct()
+    blocks = -(-keys.count() // BLOCK)
+    parts = [keys.where(F.pmod(F.xxhash64("wanted"), F.lit(blocks)) == k) if blocks > 1 else keys for k in range(max(1, blocks))]
+    found = reduce(DataFrame.union, [met.join(F.broadcast(p), F.col("key") == F.col("wanted"), "left_semi") for p in parts])
+    return found.groupBy("doc_id", "th").agg(F.first("text").alias("text"), F.collect_set("key").alias("keys"))
 
 
 def contained(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
     """doc_id, item_id, containment (a share of the item's distinct shingles) and th (hash of the text) of every match; docs has doc_id and text, items item_id and text."""
-    listed = settled(items.select("item_id", words(lowered(F.col("text"))).alias("w")))
-    sketches = settled(_sketches(listed))
-    size = sketches.count()
-    # One cut serves all partitions' probes: a hash above the largest cut is in no sketch; below it, the join decides by partition.
-    cut = sketches.groupBy("part").agg(F.max("h").alias("cut")).agg(F.max("cut").alias("cut")).first()["cut"] if size else None
-    if cut is None:
-        return docs.select("doc_id", F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("containment"), F.lit(0).cast("long").alias("th")).where("false")
-    texts = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), words(lowered(F.col("text"))).alias("w"))
-    hashed = pinned(pinned(texts.where(F.size("w") > 0)).select("doc_id", "th", _shingles(F.col("w"), True).alias("hs")))
-    probes = hashed.select("doc_id", "th", F.explode(F.filter("hs", lambda h: h <= cut)).alias("h"))
-    wanted = sketches.select("item_id", "h")
-    pairs = probes.join(F.broadcast(wanted) if size <= BROADCAST_ROWS else wanted, "h").select("doc_id", "th", "item_id").distinct()
-    candidates = pairs.join(listed.withColumn("need", F.array_distinct(_shingles(F.col("w"), False))).select(F.col("item_id").alias("of"), "need"), F.col("item_id").eqNullSafe(F.col("of")))
-    per_text = candidates.groupBy(F.col("doc_id").alias("c_id"), F.col("th").alias("c_th")).agg(F.collect_set(F.struct("item_id", "need")).alias("items"))
-    found = docs.select("doc_id", "text").join(per_text, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.xxhash64("text") == F.col("c_th")))
-    own = pinned(found.select("doc_id", F.col("c_th").alias("th"), "items", words(lowered(F.col("text"))).alias("w")))
-    sets = pinned(own.select("doc_id", "th", "items", F.array_distinct(_shingles(F.col("w"), False)).alias("have")))
-    one = sets.select("doc_id", "th", "have", F.explode("items").alias("item"))
-    exact = one.select("doc_id", "th", F.col("item.item_id").alias("item_id"), (F.size(F.array_intersect("have", "item.need")) / F.size("item.need")).alias("containment"))
-    return exact.where(F.col("containment") >= share).groupBy("doc_id", "th", "item_id").agg(F.max("containment").alias("containment")).select("doc_id", "item_id", "containment", "th")
+    worded = pinned(items.select("item_id", words(lowered(F.col("text"))).alias("w"))).where(F.size("w") > 0)
+    units = settled(worded.groupBy("w").agg(F.collect_set(F.struct("item_id")).alias("ids")).select(F.xxhash64("w").alias("u"), "w", "ids"))
+    sketches = settled(_sketches(units, share))
+    texts = settled(_candidates(docs.select("doc_id", "text"), sketches))
+    hits = settled(texts.select("doc_id", "th", F.explode("keys").alias("key")))
+    owners = sketches.groupBy("key").agg(F.collect_set("u").alias("us")).withColumnRenamed("key", "of")
+    common = hits.groupBy("key").agg(F.count("*").alias("c")).join(owners, F.col("key") == F.col("of")).select("key", "c", "us")
+    pairs = settled(spread_join(hits, settled(common), "key", "c").select("doc_id", "th", F.explode("us").alias("u")).distinct())
+    asked = pairs.groupBy("u").agg(F.count("*").alias("c")).withColumnRenamed("u", "asked")
+    needed = units.join(asked, F.col("u") == F.col("asked")).select("u", "c", "ids", F.array_distinct(_shingles(F.col("w"))).alias("need"))
+    per_text = spread_join(pairs, settled(needed), "u", "c").groupBy(F.col("doc_id").alias("c_id"), F.col("th").alias("c_th")).agg(F.collect_list(F.struct("ids", "need")).alias("units"))
+    own = texts.join(per_text, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("th") == F.col("c_th")))
+    split = pinned(own.select("doc_id", "th", "units", words(lowered(F.col("text"))).alias("w")))
+    sets = pinned(split.select("doc_id", "th", "units", F.array_distinct(_shingles(F.col("w"))).alias("have")))
+    shares = F.transform("units", lambda x: F.struct(x["ids"].alias("ids"), (F.size(F.array_intersect("have", x["need"])) / F.size(x["need"])).alias("containment")))
+    exact = sets.select("doc_id", "th", F.explode(F.filter(shares, lambda x: x["containment"] >= share)).alias("m"))
+    named = exact.select("doc_id", "th", F.explode("m.ids").alias("id"), "m.containment")
+    return named.groupBy("doc_id", "th", F.col("id.item_id").alias("item_id")).agg(F.max("containment").alias("containment")).select("doc_id", "item_id", "containment", "th")
 
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:

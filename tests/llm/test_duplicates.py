@@ -165,7 +165,49 @@ def test_short_items_in_long_texts(spark, no_docs):
     assert decontaminate.contained(docs, items.where("false")).count() == 0
 
 
-def test_sketches_sent_and_shuffled_agree(spark, monkeypatch):
+def test_blocks_of_sketch_keys_change_nothing(spark, monkeypatch):
     want = rows(decontaminate.op9_decontaminate(spark, D))
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontaminate, "BLOCK", 50)
     assert rows(decontaminate.op9_decontaminate(spark, D)) == want and want
+
+
+def test_a_tiny_item_probes_in_its_own_partition_alone(spark):
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(n)) for n in (300, 280, 290, 40, 44)]
+    docs = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(2000))) for i in range(4)], "doc_id long, text string")
+    hashed = decontaminate._hashes(docs.select("doc_id", decontaminate.words(decontaminate.F.col("text")).alias("w")))
+
+    def volume(items):
+        units = spark.createDataFrame([(k, t.split()) for k, t in enumerate(items)], "u long, w array<string>")
+        cuts = {r["part"]: r["cut"] for r in decontaminate._sketches(units).groupBy("part").agg(decontaminate.F.max("h").alias("cut")).collect()}
+        return {p: decontaminate.probes(hashed, {p: c}).count() for p, c in cuts.items()}
+
+    before, after = volume(texts), volume([*texts, "one two", "a b c"])
+    assert set(after) - set(before) == {0} and {p: after[p] for p in before} == before
+    assert before[9] < 0.1 * 4 * 1996
+
+
+def test_recall_at_the_threshold(spark):
+    rng = random.Random(6)
+    items = [[f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(30, 300))] for _ in range(300)]
+    docs = []
+    for k, item in enumerate(items):
+        lost = int(0.2 * (len(item) - 4)) // 5  # a changed word far from others costs five shingles
+        changed = list(item)
+        for j in range(lost):
+            changed[5 + j * (len(item) // max(1, lost))] = "zz"
+        docs.append((k, " ".join([f"f{rng.randrange(10**6)}" for _ in range(50)] + changed)))
+    made = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    found = decontaminate.contained(made(docs), made([(k, " ".join(x)) for k, x in enumerate(items)]).withColumnRenamed("doc_id", "item_id"))
+    pairs = {(r.doc_id, r.item_id) for r in found.collect()}
+    sets = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    want = {(k, k) for k, x in enumerate(items) if len(sets(x) & sets(docs[k][1].split())) >= 0.8 * len(sets(x))}
+    assert len(want) > 250 and pairs == want
+
+
+def test_items_and_texts_of_odd_kinds(spark):
+    long = " ".join(f"v{i}" for i in range(20_000))
+    docs = spark.createDataFrame([(1, f"{long} p q r s t u", 9), (2, "p q r s t u", 9), (None, "p q r s t u", 9), (None, "p q r s t u", 9), (3, "p q r", 9)], "doc_id long, text string, item_id int")
+    items = spark.createDataFrame([(1, "P q r s t u", 5), (1, "nothing like it at all", 5), (2, "p q r s t u", 5), (2, "p q r s t u", 5), (3, long, 5)], "item_id long, text string, doc_id int")
+    got = sorted((r.doc_id or 0, r.item_id, r.containment) for r in decontaminate.contained(docs, items).collect())
+    assert got == [(0, 1, 1.0), (0, 2, 1.0), (1, 1, 1.0), (1, 2, 1.0), (1, 3, 1.0), (2, 1, 1.0), (2, 2, 1.0)]
