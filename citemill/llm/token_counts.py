@@ -6,12 +6,17 @@ applies its own lowest-ranked pair, at all its places at once (left to right whe
 overlap), until no pair is left. The surviving symbols are counted. Counts of short
 pre-tokens are kept in a table of at most TABLE_WORDS entries, emptied when full.
 
+Pre-tokens of more than LONG bytes need many rounds, so theirs touch changed places alone: places
+wait by rank, a round takes all that wait at the lowest rank, merges those still standing there,
+and files the pairs that this makes. The time is in proportion to the length, nearly.
+
 Null texts count as empty and have no tokens. Repeated rows give repeated results, an empty
 table gives none, other columns are ignored. A very long pre-token is merged like any other.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -25,6 +30,7 @@ from .common import table
 
 TABLE_WORDS = 500_000
 LONGEST_KEPT = 64
+LONG = 512
 #: Symbols merged at a time; more are done in turns.
 BLOCK = 2_000_000
 
@@ -102,15 +108,74 @@ class Counter:
             symbols, owner = symbols[keep], owner[keep]
         return result
 
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of symbols; len(merged) where there is none."""
+        none = len(self.merged)
+        pairs = left * self.base + right
+        at = np.minimum(np.searchsorted(self.keys, pairs), none - 1)
+        return np.where(self.keys[at] == pairs, self.ranks[at], none)
+
+    def long_length(self, sequence: bytes) -> int:
+        """Symbols that survive in one long sequence."""
+        none, n = len(self.merged), len(sequence)
+        symbols = np.r_[self.of_byte[np.frombuffer(sequence, np.uint8)], -1, -1]  # a merged-away symbol and the end are -1
+        after, before = np.arange(1, n + 3), np.arange(-1, n + 1)
+        after[n:] = n
+        waiting: dict[int, list[np.ndarray]] = {}
+        lowest: list[int] = []
+
+        def file(places: np.ndarray, ranks: np.ndarray) -> None:
+            places, ranks = places[ranks < none], ranks[ranks < none]
+            order = np.argsort(ranks, kind="stable")
+            places, ranks = places[order], ranks[order]
+            cuts = np.flatnonzero(np.diff(ranks)) + 1
+            starts = [0, *cuts.tolist()] if len(places) else []
+            for at, part in zip(starts, np.split(places, cuts), strict=False):
+                rank = int(ranks[at])
+                if rank not in waiting:
+                    heapq.heappush(lowest, rank)
+                waiting.setdefault(rank, []).append(part)
+
+        places = np.arange(n - 1)
+        file(places, self._rank(symbols[: n - 1], symbols[1:n]))
+        left = n
+        while lowest:
+            rank = heapq.heappop(lowest)
+            places = np.unique(np.concatenate(waiting.pop(rank)))
+            places = places[(symbols[places] >= 0) & (symbols[after[places]] >= 0)]
+            places = places[self._rank(symbols[places], symbols[after[places]]) == rank]
+            if len(places) > 1 and (overlap := after[places[:-1]] == places[1:]).any():
+                # Of places that overlap (a pair of equal symbols in a run) take the first, third, ...
+                k = np.arange(len(places))
+                first = np.r_[True, ~overlap]
+                places = places[(k - np.maximum.accumulate(np.where(first, k, 0))) % 2 == 0]
+            if not len(places):
+                continue
+            gone = after[places]
+            symbols[places] = self.merged[rank]
+            symbols[gone] = -1
+            after[places] = after[gone]
+            before[after[places]] = places
+            left -= len(places)
+            prior = before[places]
+            prior = prior[prior >= 0]
+            changed = np.unique(np.r_[prior, places])
+            file(changed, np.where(symbols[after[changed]] >= 0, self._rank(symbols[changed], np.maximum(symbols[after[changed]], 0)), none))
+        return left
+
     def _learn(self, words: list[str]) -> dict[str, int]:
         found, block, size = {}, [], 0
-        for i, word in enumerate(words):
+        for word in words:
+            data = word.encode()
+            if len(data) > LONG:
+                found[word] = self.long_length(data)
+                continue
             block.append(word)
-            size += len(word)
-            if size > BLOCK or i == len(words) - 1:
+            size += len(data)
+            if size > BLOCK:
                 found |= dict(zip(block, self.lengths([w.encode() for w in block]).tolist(), strict=True))
                 block, size = [], 0
-        return found
+        return found | dict(zip(block, self.lengths([w.encode() for w in block]).tolist(), strict=True))
 
     def count(self, texts: list[str]) -> list[int]:
         """Tokens of each text; the texts' new pre-tokens are merged together."""

@@ -64,3 +64,25 @@ def test_odd_rows(odd_docs, no_docs):
     assert {(r.n_bytes, r.n_tokens, r.over_limit) for r in counts if r.doc_id in (1, 2)} == {(0, 0, False)}
     assert next(r for r in counts if r.doc_id == 4).over_limit
     assert S.encode_decode(no_docs, PIECE).count() == K.token_counts(no_docs, BYTES).count() == 0
+
+
+def test_long_pre_tokens(spark):
+    import time
+
+    rng = random.Random(9)
+    library, own = Tokenizer.from_file(BYTES), K.Counter(BYTES)
+    letters = "etaoinshrdlucmfwypvbgkqjxzEé漢"
+    texts = ["".join(rng.choices(letters, k=n)) for n in (512, 513, 2000, 20_000)] + ["a" * 3000, "ab" * 4001, "é" * 700, "!" * 1500, "aab" * 999, "thethe" * 800 + "x"]
+    assert own.count(texts) == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    whole = "".join(rng.choices(letters, k=1_000_000))
+    began = time.time()
+    assert own.count([whole]) == [len(library.encode(whole, add_special_tokens=False).ids)]
+    assert time.time() - began < 60
+
+
+def test_the_registered_query_equals_the_library(spark):
+    library = Tokenizer.from_file(BYTES)
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    for r in K.op3_token_counts(spark, "/root/testdata/sf0.001").collect():
+        n = len(library.encode(texts[r.doc_id], add_special_tokens=False).ids)
+        assert (r.n_tokens, r.n_bytes, r.over_limit) == (n, len(texts[r.doc_id].encode()), n > 512)
