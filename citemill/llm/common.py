@@ -59,8 +59,8 @@ def pinned(df: DataFrame) -> DataFrame:
 SHARES = 1000
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFrame:
-    """left and right joined on column key; right has each key once and in weight the number of its rows in left.
+def spread_join(left: DataFrame, right: DataFrame, key: str, weight: str, how: str = "inner") -> DataFrame:
+    """left and right joined on column key (how: inner or left); right has each key once and in weight the number of its rows in left.
 
     A key that holds more than 1/SHARES of left is dealt over as many tasks as it holds shares, and its row in right
     repeated for each. There are fewer than SHARES such keys, whatever the data, so their list is broadcast.
@@ -71,5 +71,5 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, weight: str) -> Dat
     heavy = F.broadcast(right.where(F.col(weight) > share).select(F.col(key).alias("_heavy"), parts.alias("_parts")))
     dealt = left.join(heavy, F.col(key) == F.col("_heavy"), "left").withColumn("_part", F.pmod(F.xxhash64(*left.columns), F.coalesce("_parts", F.lit(1))).cast("int"))
     copies = right.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))).withColumnRenamed(key, "_key")
-    joined = dealt.join(copies, (F.col(key) == F.col("_key")) & (F.col("_part") == F.col("_copy")))
+    joined = dealt.join(copies, (F.col(key) == F.col("_key")) & (F.col("_part") == F.col("_copy")), how)
     return joined.drop("_heavy", "_parts", "_part", "_copy", "_key")

@@ -1,19 +1,23 @@
 """WARC archives as a Spark data source, and their writing with revisit records.
 
-Source `warc`: reads .warc and .warc.gz files (one gzip member per record) and writes .warc.gz.
-Partitions are planned over files, large ones first, each file whole. Equality and IN predicates
-on record_type, uri, digest, record_id and on header values (a map key) are pushed down: a
-record's header block is parsed first, and the payload of a record that fails them is neither
-decoded nor, where the member's lengths are known (gzip extra field `sl`, or an uncompressed
-file), read. Option payload=false leaves all payloads out. Written files are listed in
-_manifest.json when the write commits; readers go by it, so files of failed or repeated tasks
-are never read.
+Source `warc`: reads .warc and .warc.gz files and writes .warc.gz, one gzip member per record. Partitions
+are planned over files, large ones first; files that this source wrote are split at the members that
+their manifest lists, others are read whole, whether a member holds one record or many. Option headers
+names further headers (comma-separated) that become string columns, in lower case with _ for -.
+Equality and IN predicates on record_type, uri, date, digest, record_id, content_type and on those
+columns are pushed down: a record's header block is parsed first, and the payload of a record that
+fails them is neither decoded nor, where its lengths are known (gzip extra field `sl`, or an
+uncompressed file), read. Spark cannot push predicates on values of the map `headers`. Option
+payload=false leaves all payloads out. Written files are listed in _manifest.json when the write
+commits; readers go by it, so files of failed or repeated tasks are never read. A record that ends
+before its length, or a member that ends too soon, raises an error.
 
 Headers: names as in WARC 1.1; those of Names below become columns, all are in `headers`. Line
 breaks in values are percent-encoded. Null values are left out. Null html counts as empty. Rows
 that share the smallest page_id of their payload are responses, so a repeated row repeats its
 response; a null page_id is smallest only if there is no other. An empty table writes no file
-and reads as no rows; other columns are ignored; records of any length are kept whole.
+and reads as no rows; other columns are ignored; records of any length are kept whole. A payload
+that many pages share is dealt over several tasks.
 """
 
 from __future__ import annotations
@@ -32,12 +36,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
 from ..runtime import ship
-from .common import shared_dir, table
+from .common import settled, shared_dir, spread_join, table
 
 SCHEMA = "record_type string, record_id string, uri string, date string, digest string, content_type string, headers map<string,string>, payload binary"
 NAMES = {"record_type": "warc-type", "record_id": "warc-record-id", "uri": "warc-target-uri", "date": "warc-date", "digest": "warc-payload-digest", "content_type": "content-type"}
-#: Bytes after which a task starts another file.
-FILE_BYTES = 256 << 20
+#: Bytes after which a task starts another file; bytes between places where readers may start.
+FILE_BYTES, SPLIT_BYTES = 256 << 20, 4 << 20
 
 
 def _place(path: str) -> tuple[fs.FileSystem, str]:
@@ -80,70 +84,107 @@ def payload(headers: dict[str, str], block: bytes) -> bytes:
     return block
 
 
-class _Bytes:
-    """Decompressed bytes of the gzip member that starts here, as far as they are asked for; or plain bytes."""
+class _Stream:
+    """The bytes of a file from a place on, decompressed across gzip members where it is zipped."""
 
-    def __init__(self, file, zipped: bool):
-        self.file, self.zipped, self.start = file, zipped, file.tell()
-        self.unpack, self.held, self.skip_to = zlib.decompressobj(31) if zipped else None, b"", None
-        if zipped:
-            head = file.read(24)
-            if len(head) == 24 and head[3] & 4 and head[12:14] == b"sl" and (size := struct.unpack("<I", head[16:20])[0]):
-                self.skip_to = self.start + size
-            self.held = self.unpack.decompress(head)
+    def __init__(self, file, zipped: bool, path: str):
+        self.file, self.zipped, self.path = file, zipped, path
+        self.held, self.raw, self.unpack = b"", b"", None
+        self.member, self.sizes = 0, None
+
+    def place(self) -> int | None:
+        """Where in the file the next byte stands; None inside a gzip member."""
+        if self.unpack is not None and self.unpack.eof:
+            self.raw, self.unpack = self.unpack.unused_data, None
+        return self.file.tell() - len(self.raw or self.held) if not self.held or not self.zipped and self.unpack is None else None
 
     def more(self, n: int) -> bool:
-        if self.zipped and self.unpack.eof:
-            return False
-        data = self.file.read(n)
-        self.held += self.unpack.decompress(data) if self.zipped else data
-        return bool(data)
+        """Holds further bytes; False at the end."""
+        if not self.zipped:
+            data = self.file.read(n)
+            self.held += data
+            return bool(data)
+        if self.unpack is not None and self.unpack.eof:
+            self.raw, self.unpack = self.unpack.unused_data, None
+        data, self.raw = self.raw or self.file.read(n), b""
+        if self.unpack is None:
+            if len(data) < 24:
+                data += self.file.read(24 - len(data))
+            if not data:
+                return False
+            self.member, self.sizes = self.file.tell() - len(data), None
+            if len(data) >= 24 and data[3] & 4 and data[12:14] == b"sl":
+                self.sizes = struct.unpack("<II", data[16:24])
+            self.unpack = zlib.decompressobj(31)
+        elif not data:
+            raise ValueError(f"{self.path}: a gzip member ends too soon")
+        self.held += self.unpack.decompress(data)
+        return True
 
     def upto(self, mark: bytes) -> bytes | None:
+        """The bytes up to mark; None if nothing but line breaks is left."""
         while (at := self.held.find(mark)) < 0:
             if not self.more(2048):
+                if self.held.strip():
+                    raise ValueError(f"{self.path}: a header block ends too soon")
                 return None
         found, self.held = self.held[: at + len(mark)], self.held[at + len(mark) :]
         return found
 
     def take(self, n: int) -> bytes:
-        while len(self.held) < n:
-            if not self.more(max(n - len(self.held), 1 << 16)):
-                break
-        found, self.held = self.held[:n], self.held[n:]
-        return found
-
-    def leave(self, n: int) -> None:
-        """Goes to the next record; n bytes of block are unread."""
-        if not self.zipped:
-            self.file.seek(self.file.tell() - len(self.held) + n + 4)
-        elif self.skip_to:
-            self.file.seek(self.skip_to)
+        parts, have = [self.held], len(self.held)
+        while have < n:
+            self.held = b""
+            if not self.more(max(n - have, 1 << 16) if not self.zipped else 1 << 16):
+                raise ValueError(f"{self.path}: a record ends too soon")
+            parts.append(self.held)
+            have += len(self.held)
+        data = b"".join(parts)
+        self.held = data[n:]
+        return data[:n]
+
+    def skip(self, n: int, head: int | None) -> None:
+        """Leaves n bytes out; head is the length of the header block before them if that began a member."""
+        if not self.zipped and len(self.held) < n:
+            self.file.seek(self.file.tell() + n - len(self.held))
+            self.held = b""
+        elif head is not None and self.sizes and self.sizes[1] == head + n and self.sizes[0]:
+            self.file.seek(self.member + self.sizes[0])
+            self.held, self.raw, self.unpack = b"", b"", None
         else:
-            while not self.unpack.eof and self.more(1 << 16):
+            while n > len(self.held):
+                n -= len(self.held)
                 self.held = b""
-            self.file.seek(self.file.tell() - len(self.unpack.unused_data))
+                if not self.more(1 << 16):
+                    raise ValueError(f"{self.path}: a record ends too soon")
+            self.held = self.held[n:]
 
 
 @dataclass
-class Files(InputPartition):
-    paths: list[str]
+class Pieces(InputPartition):
+    """Path, first byte and byte after the last place where a record may start, of parts of files."""
+
+    pieces: list[tuple[str, int, int]]
+
+
+def extra_columns(options: dict) -> dict[str, str]:
+    """Column and header name of the further headers asked for."""
+    names = [h.strip().lower() for h in options.get("headers", "").split(",") if h.strip()]
+    return {h.replace("-", "_"): h for h in names}
 
 
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
         self.with_payload = options.get("payload", "true").lower() != "false"
-        self.per_partition = int(options.get("partitionbytes", 128 << 20))
+        self.per_partition = int(options.get("partitionbytes", 16 << 20))
+        self.columns = NAMES | extra_columns(options)
         self.wanted: list[tuple[str, frozenset]] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
-            column, name = f.attribute if hasattr(f, "attribute") else (), None
-            if len(column) == 1:
-                name = NAMES.get(column[0])
-            elif len(column) == 2 and column[0] == "headers":
-                name = column[1].lower()
+            column = f.attribute if hasattr(f, "attribute") else ()
+            name = self.columns.get(column[0]) if len(column) == 1 else None
             if name and isinstance(f, EqualTo):
                 self.wanted.append((name, frozenset([f.value])))
             elif name and isinstance(f, In):
@@ -155,61 +196,65 @@ class WarcReader(DataSourceReader):
         system, path = _place(self.path)
         found = system.get_file_info(fs.FileSelector(path, recursive=True)) if system.get_file_info(path).type == fs.FileType.Directory else [system.get_file_info(path)]
         sizes = {f.path: f.size for f in found if f.is_file and f.path.endswith((".warc", ".warc.gz"))}
+        starts = {p: [0] for p in sizes}
         if listed := [f.path for f in found if f.base_name == "_manifest.json"]:
-            names = {n for p in listed for n in json.loads(system.open_input_stream(p).read())}
-            sizes = {p: n for p, n in sizes.items() if p.rpartition("/")[2] in names}
-        result: list[Files] = []
+            known = {f"{p.rpartition('/')[0]}/{n}": places for p in listed for n, places in json.loads(system.open_input_stream(p).read()).items()}
+            starts = {p: known[p] for p in sizes if p in known}
+        pieces = [(p, a, b) for p, places in starts.items() for a, b in zip(places, [*places[1:], sizes[p]], strict=True)]
+        result: list[Pieces] = []
         held = self.per_partition
-        for p in sorted(sizes, key=lambda p: (-sizes[p], p)):
-            if held + sizes[p] > self.per_partition:
-                result.append(Files([]))
+        for p, a, b in sorted(pieces, key=lambda x: (x[1] - x[2], x)):
+            if held + b - a > self.per_partition:
+                result.append(Pieces([]))
                 held = 0
-            result[-1].paths.append(p)
-            held += sizes[p]
-        return result or [Files([])]
+            result[-1].pieces.append((p, a, b))
+            held += b - a
+        return result or [Pieces([])]
 
-    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Pieces) -> Iterator[pa.RecordBatch]:
         system, _ = _place(self.path)
-        kinds = [pa.string()] * 6 + [pa.map_(pa.string(), pa.string()), pa.binary()]
         rows: list[tuple] = []
         held = 0
-        for path in partition.paths:
-            for row in self.records(system, path):
+        for path, start, end in partition.pieces:
+            for row in self.records(system, path, start, end):
                 rows.append(row)
-                held += len(row[7] or b"") + 500
+                held += len(row[1] or b"") + 500
                 if held > 8 << 20:
-                    yield self.batch(rows, kinds)
+                    yield self.batch(rows)
                     rows, held = [], 0
         if rows:
-            yield self.batch(rows, kinds)
+            yield self.batch(rows)
 
-    @staticmethod
-    def batch(rows: list[tuple], kinds: list) -> pa.RecordBatch:
-        names = [*NAMES, "headers", "payload"]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names)
+    def batch(self, rows: list[tuple[dict, bytes | None]]) -> pa.RecordBatch:
+        own = {column: pa.array([h.get(name) for h, _ in rows], pa.string()) for column, name in self.columns.items()}
+        own["headers"] = pa.array([list(h.items()) for h, _ in rows], pa.map_(pa.string(), pa.string()))
+        own["payload"] = pa.array([p for _, p in rows], pa.binary())
+        names = [*NAMES, "headers", "payload", *[c for c in self.columns if c not in NAMES]]
+        return pa.RecordBatch.from_arrays([own[n] for n in names], names)
 
-    def records(self, system: fs.FileSystem, path: str) -> Iterator[tuple]:
-        zipped = path.endswith(".gz")
+    def records(self, system: fs.FileSystem, path: str, start: int, end: int) -> Iterator[tuple[dict, bytes | None]]:
         with system.open_input_file(path) as file:
-            size = file.size()
-            while file.tell() < size:
-                data = _Bytes(file, zipped)
+            file.seek(start)
+            data = _Stream(file, path.endswith(".gz"), path)
+            while (at := data.place()) is None or at < end:
                 head = data.upto(b"\r\n\r\n")
                 if head is None:
                     break
                 headers = parse_headers(head)
                 length = int(headers.get("content-length", 0))
-                if all(headers.get(name) in values for name, values in self.wanted):
-                    block = payload(headers, data.take(length)) if self.with_payload else None
-                    yield (*[headers.get(n) for n in NAMES.values()], list(headers.items()), block)
-                    data.leave(0 if self.with_payload else length)
+                if self.with_payload and all(headers.get(name) in values for name, values in self.wanted):
+                    block = payload(headers, data.take(length))
+                    data.take(4)
+                    yield headers, block
                 else:
-                    data.leave(length)
+                    data.skip(length + 4, None if at is None else len(head))
+                    if not self.with_payload and all(headers.get(name) in values for name, values in self.wanted):
+                        yield headers, None
 
 
 @dataclass
 class Written(WriterCommitMessage):
-    names: list[str]
+    places: dict[str, list[int]]
 
 
 class WarcWriter(DataSourceArrowWriter):
@@ -221,32 +266,35 @@ class WarcWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, path = _place(self.path)
         system.create_dir(path)
-        names: list[str] = []
-        out, size = None, 0
+        found: dict[str, list[int]] = {}
+        out, size, places = None, 0, [0]
         for batch in iterator:
             for row in batch.to_pylist():
                 if out is None or size > FILE_BYTES:
                     if out is not None:
                         out.close()
-                    names.append(f"part-{uuid.uuid4().hex}.warc.gz")
-                    out, size = system.open_output_stream(f"{path}/{names[-1]}", compression=None), 0
+                    name, places = f"part-{uuid.uuid4().hex}.warc.gz", [0]
+                    found[name] = places
+                    out, size = system.open_output_stream(f"{path}/{name}", compression=None), 0
+                if size - places[-1] > SPLIT_BYTES:
+                    places.append(size)
                 packed = member(record([(h["k"], h["v"]) for h in row["headers"]], row["block"]))
                 out.write(packed)
                 size += len(packed)
         if out is not None:
             out.close()
-        return Written(names)
+        return Written(found)
 
     def commit(self, messages: list[Written | None]) -> None:
         system, path = _place(self.path)
         system.create_dir(path)
-        names = sorted(n for m in messages if m is not None for n in m.names)
+        found = {n: places for m in messages if m is not None for n, places in m.places.items()}
         with system.open_output_stream(f"{path}/_manifest.json") as out:
-            out.write(json.dumps(names).encode())
+            out.write(json.dumps(found).encode())
 
     def abort(self, messages: list[Written | None]) -> None:
         system, path = _place(self.path)
-        for name in (n for m in messages if m is not None for n in m.names):
+        for name in (n for m in messages if m is not None for n in m.places):
             system.delete_file(f"{path}/{name}")
 
 
@@ -256,7 +304,7 @@ class WarcSource(DataSource):
         return "warc"
 
     def schema(self) -> str:
-        return SCHEMA
+        return ", ".join([SCHEMA, *[f"`{c}` string" for c in extra_columns(self.options) if c not in NAMES]])
 
     def reader(self, schema) -> WarcReader:
         return WarcReader(self.options)
@@ -283,10 +331,11 @@ def archive(pages: DataFrame, path: str, least: int = 0) -> None:
     spark = pages.sparkSession
     register(spark)
     body = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("body"))
-    keyed = body.withColumn("digest", base32_sha1(F.col("body"))).withColumn("size", F.length("body"))
-    firsts = keyed.where(F.col("size") >= least).groupBy("digest", "size").agg(F.min("page_id").alias("first"))
-    named = keyed.join(firsts.select(F.col("digest").alias("f_digest"), F.col("size").alias("f_size"), "first"), (F.col("digest") == F.col("f_digest")) & (F.col("size") == F.col("f_size")), "left")
-    again = (F.col("f_digest").isNotNull()) & ~F.col("page_id").eqNullSafe(F.col("first"))
+    sized = body.withColumn("digest", base32_sha1(F.col("body"))).withColumn("size", F.length("body"))
+    keyed = sized.withColumn("same", F.concat_ws(":", "digest", F.col("size").cast("string")))
+    firsts = keyed.where(F.col("size") >= least).groupBy("same").agg(F.min("page_id").alias("first"), F.count("*").alias("c")).where("c > 1")
+    named = spread_join(keyed, settled(firsts), "same", "c", "left")
+    again = F.col("c").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     text = lambda c: c.cast("string")
     header = lambda k, v: F.struct(F.lit(k).alias("k"), text(v).alias("v"))
     headers = F.array(
@@ -314,16 +363,14 @@ def read(spark: SparkSession, path: str, **options: str) -> DataFrame:
 def op5_warc(spark, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     archive(table(spark, sf_dir, "pages", "page_id", "url", "html"), path)
-    found = read(spark, path).where(F.col("record_type").isin("response", "revisit"))
-    full = F.col("record_type") == "response"
-    number = lambda name: F.element_at("headers", F.lit(name)).cast("long")
-    return found.select(
-        number("x-page-id").alias("page_id"),
-        F.when(full, F.length("payload").cast("long")).otherwise(number("x-payload-length")).alias("payload_bytes"),
-        F.when(full, base32_sha1(F.col("payload"))).otherwise(F.substring_index("digest", ":", -1)).alias("payload_digest"),
-        "record_type",
-        number("x-refers-to-page").alias("refers_to"),
-    )
+    numbers = "x-page-id,x-payload-length,x-refers-to-page"
+    full = read(spark, path, headers=numbers).where("record_type = 'response'")
+    short = read(spark, path, headers=numbers, payload="false").where("record_type = 'revisit'")
+
+    def result(found: DataFrame, size: Column, digest: Column) -> DataFrame:
+        return found.select(F.col("x_page_id").cast("long").alias("page_id"), size.cast("long").alias("payload_bytes"), digest.alias("payload_digest"), "record_type", F.col("x_refers_to_page").cast("long").alias("refers_to"))
+
+    return result(full, F.length("payload"), base32_sha1(F.col("payload"))).union(result(short, F.col("x_payload_length"), F.substring_index("digest", ":", -1)))
 
 
 SQL = """

@@ -114,6 +114,64 @@ def test_plain_archives_and_foreign_gzip(spark, archive, tmp_path):
         assert got == sorted(want * 2)
 
 
+def test_members_of_many_records_and_splits(spark, archive, tmp_path, monkeypatch):
+    import glob
+
+    data = b"".join(gzip.open(f).read() for f in glob.glob(f"{archive}/*.warc.gz"))
+    records = [b"WARC/1.1\r\n" + r for r in data.split(b"WARC/1.1\r\n")[1:]]
+    (tmp_path / "many.warc.gz").write_bytes(gzip.compress(b"".join(records[:4])) + gzip.compress(b"".join(records[4:])))
+    for where in ("true", "record_type = 'revisit'"):
+        want = sorted((r.record_id, bytes(r.payload)) for r in W.read(spark, archive).where(where).collect())
+        for payload in ("true", "false"):
+            got = sorted((r.record_id, bytes(r.payload or b"")) for r in W.read(spark, str(tmp_path), payload=payload).where(where).collect())
+            assert [x[0] for x in got] == [x[0] for x in want] and (payload == "false" or got == want)
+    monkeypatch.setattr(W, "SPLIT_BYTES", 300)
+    writer = W.WarcWriter({"path": str(tmp_path / "split")})
+    rows = [{"headers": [("WARC-Type", "response"), ("X-N", str(n))], "block": str(n).encode() * n} for n in range(200)]
+    kind = W.pa.list_(W.pa.struct([("k", W.pa.string()), ("v", W.pa.string())]))
+    batch = W.pa.RecordBatch.from_arrays([W.pa.array([[{"k": k, "v": v} for k, v in r["headers"]] for r in rows], kind), W.pa.array([r["block"] for r in rows])], ["headers", "block"])
+    writer.commit([writer.write(iter([batch]))])
+    reader = W.WarcReader({"path": str(tmp_path / "split"), "partitionbytes": "500", "headers": "X-N"})
+    parts = reader.partitions()
+    assert len(parts) > 20
+    got = sorted((int(x), bytes(p)) for part in parts for b in reader.read(part) for x, p in zip(b.column("x_n").to_pylist(), b.column("payload").to_pylist(), strict=True))
+    assert got == [(n, str(n).encode() * n) for n in range(200)]
+
+
+def test_archives_cut_short_raise(archive, tmp_path):
+    import glob
+
+    whole = open(next(f for f in glob.glob(f"{archive}/*.warc.gz")), "rb").read()
+    plain = gzip.decompress(whole)
+    for name, data in (("a.warc.gz", whole[:-20]), ("b.warc", plain[:-20]), ("c.warc", plain[:40]), ("d.warc.gz", gzip.compress(plain[:-10]))):
+        (tmp_path / name).write_bytes(data)
+        reader = W.WarcReader({"path": str(tmp_path / name)})
+        with pytest.raises((ValueError, EOFError)):
+            [b for p in reader.partitions() for b in reader.read(p)]
+
+
+def test_predicates_on_headers_reach_the_reader(spark, archive, tmp_path):
+    found = W.read(spark, archive, headers="X-Page-Id").where("x_page_id = '4'")
+    assert [r.uri for r in found.collect()] == ["é", "é"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BatchScan" in plan and "(x_page_id" not in plan.split("BatchScan")[0].replace("isnotnull(x_page_id", "")
+    # The payload of a record that fails them is not decoded: its bytes may be anything.
+    body = random.Random(1).randbytes(50_000)
+    good, bad = (W.record([("WARC-Type", "response"), ("X-Page-Id", n)], body) for n in ("1", "2"))
+    broken = bytearray(W.member(bad))
+    broken[-20_000:-100] = bytes(19_900)
+    (tmp_path / "x.warc.gz").write_bytes(bytes(broken) + W.member(good))
+    assert [r.payload for r in W.read(spark, str(tmp_path), headers="x-page-id").where("x_page_id = '1'").collect()] == [body]
+
+
+def test_a_hot_payload(spark, tmp_path):
+    pages = spark.range(3000).selectExpr("id page_id", "concat('u', id) url", "if(id % 3 > 0, 'same page', concat('page ', id)) html")
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    rows = W.op5_warc(spark, str(tmp_path)).collect()
+    assert len(rows) == 3000
+    assert all((r.record_type, r.refers_to) == (("response", None) if r.page_id % 3 == 0 or r.page_id == 1 else ("revisit", 1)) for r in rows)
+
+
 def test_empty_table(spark, tmp_path):
     path = str(tmp_path / "none")
     W.archive(spark.createDataFrame([], "page_id long, url string, html string"), path)
