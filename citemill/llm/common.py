@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +41,26 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, for loops: unlike settled(df), it has its true size and not one estimated from all steps before, which doubles in digits from join to join."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _written.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Tables written by this application; results may still read them.
+_written: list[str] = []
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Deletes the tables that this application wrote to the shared folder. Call it when all results have been stored elsewhere."""
+    for path in _written:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    _written.clear()
+
+
 def lowered(text: Column) -> Column:
     """text with A to Z in lower case; other letters stay as they are."""
     return F.translate(text, UPPER, LOWER)

@@ -13,32 +13,40 @@ zero, which links like any other. Repeated rows get the same answer; an empty ta
 rows; other columns are ignored. A null doc_id is never the representative unless all are null.
 
 Copies of a given Jaccard similarity mostly differ in more bits than a ball can hold (about 10 of
-64 at 0.8), so near_copies looks for them otherwise: texts that share the fingerprint or one of
-BANDS hashes of ROWS minima of their shingles (MinHash) are candidates, each with the NEXT before
-it in the group, and the exact share of their distinct shingles decides. Two texts of similarity s
-share no band with chance (1 - s ** ROWS) ** BANDS, which is 7e-5 at 0.8.
+64 at 0.8), so near_copies adds to the ball other meeting points: BANDS hashes of ROWS minima of a
+text's shingles (MinHash). Texts that meet at a point are compared by the exact share of their
+distinct shingles. Two texts of similarity s share no band with chance (1 - s ** ROWS) ** BANDS,
+which is 7e-5 at 0.8. Of a group at a point, every text is compared with the group's centre (the
+text that meets most others, as an original does among its copies) and with one near it in hash
+order. Texts of groups that this leaves in several components are compared across those by an exact
+prefix filter over their rarest shingles, so no link between texts that meet is lost, and pairs within
+a group are made only of unconnected texts that share a rare shingle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..runtime import ship
-from .common import lowered, pinned, settled, table, words
+from .common import lowered, pinned, settled, spread_join, table, words, written
 from .components import components
 
-BANDS, ROWS, NEXT = 24, 5, 3
+BANDS, ROWS = 24, 5
+#: Texts of a group that are first compared with one of them; bits of a text's parities.
+NEAR, PARITY = 4, 1024
 _RANDOM = np.random.default_rng(42)
 _FACTOR, _SHIFT = (_RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64) for _ in range(2))
 _FACTOR = _FACTOR * np.uint64(2) + np.uint64(1)
+_NEAREST = np.array([0] + [1 << i for i in range(64)], np.uint64)
 #: Shingles whose bits are counted at a time.
 BLOCK = 1 << 16
 
@@ -72,7 +80,7 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 
 def meeting_points(text: str | None, width: int) -> list[int]:
-    """The fingerprint and the band hashes by which a text meets candidates, as signed longs; none without words."""
+    """The variants of the fingerprint within a bit and the band hashes by which a text meets candidates, as signed longs; none without words."""
     blocks = list(shingle_hashes(text, width))
     if not blocks:
         return []
@@ -84,7 +92,8 @@ def meeting_points(text: str | None, width: int) -> list[int]:
     for row in least.reshape(ROWS, BANDS):
         band = (band ^ row) * np.uint64(0x9E3779B97F4A7C15)
         band ^= band >> np.uint64(29)
-    return np.r_[np.array([_fingerprint(blocks)], np.uint64), band].view(np.int64).tolist()
+    ball_ = np.array([_fingerprint(blocks)], np.uint64) ^ _NEAREST
+    return np.r_[ball_, band].view(np.int64).tolist()
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -122,12 +131,15 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     """doc_id, th (hash of the text), fp and component_id (the smallest doc_id reachable over links) of every row of docs (doc_id, text)."""
     rows = settled(fingerprints(docs, width))
-    classes = settled(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    found = components(links(classes.select("fp"), radius))
-    rooted = classes.join(found, classes.fp == found.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select(F.col("fp").alias("own"), "component_id")
-    return rows.join(named, rows.fp == named.own).select("doc_id", "th", "fp", "component_id")
+    classes = settled(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")))
+    return _named(rows, classes, components(links(classes.select("fp"), radius)), "fp").select("doc_id", "th", "fp", "component_id")
+
+
+def _named(rows: DataFrame, classes: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """rows with component_id, by their class (key, first: its smallest doc_id, c: its rows) and the class's component (node, root); copies may be many, and are dealt out."""
+    rooted = classes.join(found, F.col(key) == F.col("node"), "left").select(key, "first", "c", F.coalesce("root", key).alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    return spread_join(rows, settled(spread_join(rooted, settled(least), "root", "n").select(key, "component_id", "c")), key, "c")
 
 
 def one_of_each(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
@@ -156,23 +168,92 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFram
     hashed = docs.selectExpr("cast(doc_id as long) doc_id", "xxhash64(text) th", "text")
     rows = settled(hashed.mapInArrow(run, "doc_id long, th long, same long, points array<long>"))
     # Texts of the same words are one class, which has one of them (the smallest hash) compared.
-    classes = settled(rows.groupBy("same").agg(F.min("doc_id").alias("first"), F.min("th").alias("shown"), F.first("points").alias("points")))
-    meeting = Window.partitionBy("point").orderBy("same")
-    met = classes.select("same", F.explode("points").alias("point")).select("same", F.array(*[F.lag("same", k).over(meeting) for k in range(1, NEXT + 1)]).alias("others"))
-    pairs = settled(met.select("same", F.explode("others").alias("other")).where("other <> same").distinct())
-    needed = pairs.select("same").union(pairs.select("other")).distinct()
-    shown = classes.join(needed, "same").select("same", F.col("shown").alias("th"))
-    texts = docs.select(F.xxhash64("text").alias("th"), "text").groupBy("th").agg(F.first("text").alias("text")).join(shown, "th")
-    own = pinned(texts.select("same", words(lowered(F.col("text"))).alias("w")))
+    classes = settled(rows.groupBy("same").agg(F.min("doc_id").alias("first"), F.min("th").alias("shown"), F.first("points").alias("points"), F.count("*").alias("c")))
+    return _named(rows, classes, _linked(docs, classes, width, least), "same").select("doc_id", "th", "component_id")
+
+
+def _meetings(classes: DataFrame) -> DataFrame:
+    """point, same, c (classes at the point) and pop (how many others a class meets, over all its points) of every class at a point with others."""
+    points = classes.select("same", F.explode("points").alias("point"))
+    shared = settled(points.groupBy("point").agg(F.count("*").alias("c")).where("c > 1"))
+    met = settled(spread_join(points, shared, "point", "c").select("point", "same", "c"))
+    popular = met.groupBy("same").agg(F.sum("c").alias("pop")).withColumnRenamed("same", "own")
+    return settled(met.join(popular, met.same == popular.own).drop("own"))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Columns a > b of pairs (same, other), each pair once."""
+    return pairs.where("same <> other").select(F.greatest("same", "other").alias("a"), F.least("same", "other").alias("b")).distinct()
+
+
+def _linked(docs: DataFrame, classes: DataFrame, width: int, least: float) -> DataFrame:
+    """node and root of every class that is linked to another."""
+    met = _meetings(classes)
+    texts = classes.join(met.select(F.col("same").alias("own")).distinct(), F.col("same") == F.col("own"), "left_semi").select("same", F.col("shown").alias("shown_th"))
+    found = docs.select(F.xxhash64("text").alias("th"), "text").join(texts, F.col("th") == F.col("shown_th")).groupBy("same").agg(F.first("text").alias("text"))
+    own = pinned(found.select("same", words(lowered(F.col("text"))).alias("w")))
     shingle = lambda at: F.xxhash64(F.array_join(F.slice("w", at, width), " "))
-    sets = settled(own.select("same", F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - width + 1, F.lit(1))), shingle)).alias("has")))
-    both = pairs.join(sets, "same").join(sets.select(F.col("same").alias("other"), F.col("has").alias("other_has")), "other")
-    shared = both.select("same", "other", F.size(F.array_intersect("has", "other_has")).alias("n"), (F.size("has") + F.size("other_has")).alias("total"))
-    found = components(shared.where(F.col("n") >= F.lit(least) * (F.col("total") - F.col("n"))).selectExpr("same a", "other b"))
-    rooted = classes.join(found, classes.same == found.node, "left").select("same", "first", F.coalesce("root", "same").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(smallest, "root").select(F.col("same").alias("own"), "component_id")
-    return rows.join(named, rows.same == named.own).select("doc_id", "th", "component_id")
+    sets = written(own.select("same", F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - width + 1, F.lit(1))), shingle)).alias("has")))
+
+    def links(pairs: DataFrame) -> DataFrame:
+        """Those of pairs (a, b) whose texts are alike."""
+        of = lambda side: written(pairs.groupBy(side).agg(F.count("*").alias("c")).join(sets, F.col(side) == F.col("same")).select(side, "c", F.col("has").alias(f"has_{side}")))
+        one = spread_join(pairs, of("a"), "a", "c").drop("c")
+        both = spread_join(one, of("b"), "b", "c")
+        shared, total = F.size(F.array_intersect("has_a", "has_b")), F.size("has_a") + F.size("has_b")
+        return written(both.select("a", "b", shared.alias("n"), total.alias("total")).where(F.col("n") >= F.lit(least) * (F.col("total") - F.col("n"))).select("a", "b"))
+
+    def star(rows: DataFrame) -> DataFrame:
+        """Every class at a point with the point's most popular one; rows has point, same and pop."""
+        centres = rows.groupBy("point").agg(F.max(F.struct("pop", "same")).alias("top"), F.count("*").alias("c")).select("point", "c", F.col("top.same").alias("other"))
+        return spread_join(rows.select("point", "same"), written(centres), "point", "c").select("same", "other")
+
+    near = met.withColumn("part", F.pmod(F.xxhash64("same"), F.ceil(F.col("c") / NEAR)))
+    firsts = near.groupBy("point", "part").agg(F.min("same").alias("other"))
+    tested = written(_ordered(star(met).union(near.join(firsts, ["point", "part"]).select("same", "other"))))
+    found = links(tested)
+    roots = written(components(found)).withColumnRenamed("node", "own")
+    placed = met.join(roots, met.same == roots.own, "left").select("point", "same", F.coalesce("root", "same").alias("root"))
+    open_ = placed.groupBy("point").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("c")).where("low <> high")
+    left = spread_join(placed, written(open_.select("point", "c")), "point", "c").select("same", "root").distinct()
+    pairs = _apart(written(left.join(sets, "same")), least)
+    new = written(_ordered(pairs).join(tested, ["a", "b"], "left_anti"))
+    return components(found.union(links(new)))
+
+
+def _apart(texts: DataFrame, least: float) -> DataFrame:
+    """Pairs same, other of texts (same, root, has) of different roots, all of similarity least or more among them.
+
+    Sets that similar share one of the first n - least * n + 1 of their n shingles in any common order; with the rarest
+    first, what many texts share comes last, so texts that have only a passage in common do not meet. Of those that meet,
+    the join lets through what two upper bounds on the shared shingles allow; both are exact.
+    """
+    shingles = written(texts.select("same", F.explode("has").alias("h")))
+    rarity = written(shingles.groupBy("h").agg(F.count("*").alias("c")))
+    ranked = spread_join(shingles, rarity, "h", "c").groupBy("same").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("hs"))
+    n = F.size("hs")
+    begun = ranked.select("same", F.posexplode(F.slice("hs", 1, n - F.ceil(n * least - 1e-9).cast("int") + 1)).alias("at", "x")).where("x.c > 1")
+    marked = written(texts.select("same", "root", "has").mapInArrow(_parities, "same long, root long, n int, bits array<long>"))
+    places = written(begun.join(marked, "same").select("same", "root", "n", "bits", "at", F.col("x.h").alias("h")))
+    mixed = places.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select(F.col("h").alias("mixed"))
+    open_ = written(places.join(mixed, F.col("h") == F.col("mixed"), "left_semi"))
+    one, two = open_.alias("one"), open_.alias("two")
+    x, y = (lambda c: F.col(f"one.{c}")), (lambda c: F.col(f"two.{c}"))
+    total = x("n") + y("n")
+    needed = F.ceil(total * (least / (1 + least)) - 1e-9)
+    # Bounds on the number of shared shingles: by the places of the one they meet at, and by the bits that differ, each of which takes a shingle that only one has.
+    by_place = F.least(x("at"), y("at")) + F.least(x("n") - x("at"), y("n") - y("at"))
+    by_bits = total - reduce(Column.__add__, [F.bit_count(x("bits")[k].bitwiseXOR(y("bits")[k])) for k in range(PARITY // 64)])
+    close = (by_place >= needed) & (by_bits >= 2 * needed)
+    return one.join(two, (x("h") == y("h")) & (x("root") < y("root")) & close).select(x("same").alias("same"), y("same").alias("other"))
+
+
+def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """same, root, n (shingles) and bits of each row of same, root, has: bit k is odd or even as are the hashes that are k modulo PARITY."""
+    for batch in batches:
+        own = [np.array(h.as_py(), np.int64) for h in batch.column(2)]
+        bits = [np.packbits(np.bincount(h & (PARITY - 1), minlength=PARITY) & 1).view(np.int64) for h in own]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(h) for h in own], pa.int32()), pa.array(bits, pa.list_(pa.int64()))], ["same", "root", "n", "bits"])
 
 
 def one_of_near_copies(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:

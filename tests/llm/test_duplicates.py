@@ -93,6 +93,65 @@ def test_the_stage_links_near_copies_of_similarity_0_8(spark, no_docs, odd_docs)
     assert simhash.one_of_near_copies(no_docs).count() == 0
 
 
+def smallest_reachable(ids, linked):
+    """For each of ids (None last) the smallest that links lead to."""
+    parent = {i: i for i in range(len(ids))}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(ids)):
+        for j in range(i):
+            if linked(i, j):
+                parent[root(i)] = root(j)
+    groups = {}
+    for i in range(len(ids)):
+        groups.setdefault(root(i), []).append(i)
+    return {i: min((ids[k] for k in own if ids[k] is not None), default=None) for own in groups.values() for i in own}
+
+
+def test_the_registered_query_equals_brute_force(spark, some_docs, tmp_path):
+    rng = random.Random(11)
+    texts = [t for _, t in some_docs[:60]]
+    for t in texts[:40]:
+        words = (t or "x").split(" ")
+        words[rng.randrange(len(words))] += "x"
+        texts.append(" ".join(words))
+    texts += [None, "", " ", "a b", "A  b", "a b c d"]
+    docs = [(i * 3 % 301, t) for i, t in enumerate(texts)] + [(None, "a b"), (7, "a b")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    prints = [brute_fingerprint(t) for _, t in docs]
+    least = smallest_reachable([d for d, _ in docs], lambda i, j: bin(prints[i] ^ prints[j]).count("1") <= 2)
+    want = sorted(((d, f"{prints[i]:016x}", least[i]) for i, (d, _) in enumerate(docs)), key=repr)
+    assert rows(simhash.op8_simhash(spark, str(tmp_path)).select("doc_id", "fingerprint", "component_id")) == want
+
+
+def test_near_copies_equal_brute_force(spark):
+    """Copies around originals that are unlike each other, texts that share a passage, exact copies and odd rows."""
+    rng = random.Random(12)
+    made = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    passage, texts = made(70), []
+    for _ in range(4):
+        base = made(rng.choice((40, 90, 200)))
+        texts.append(base)
+        for _ in range(40):
+            texts.append([f"z{rng.randrange(3000)}" if rng.random() < rng.choice((0.005, 0.02, 0.03)) else w for w in base])
+    texts += [[*made(rng.randrange(3, 25)), *passage] for _ in range(80)]
+    docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    docs += [(1000, docs[0][1]), (1001, docs[0][1].upper()), (1002, None), (1003, ""), (1004, "one two"), (1005, "One  two"), (None, "one two"), (1002, None)]
+    rng.shuffle(docs)
+    sets = []
+    for _, t in docs:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    alike = lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+    least = smallest_reachable([d for d, _ in docs], alike)
+    want = sorted(((d, least[i]) for i, (d, _) in enumerate(docs)), key=repr)
+    assert rows(simhash.near_copies(spark.createDataFrame(docs, "doc_id long, text string")).select("doc_id", "component_id")) == want
+
+
 WHOLE = " ".join(f"long{k}" for k in range(60))
 
 
