@@ -4,7 +4,8 @@ Where no piece of the model has a white-space marker after another character, no
 crosses the start of a marker run, so a text's ids are the ids of its chunks, one after the
 other. A task keeps a table of distinct chunks (marker run plus word): each is segmented
 once, by the sentencepiece library, and ids and decoded text are joined back by position.
-The table is emptied when it holds TABLE_CHUNKS chunks; that bounds memory, not results.
+The table is emptied when it holds TABLE_CHUNKS chunks and when a task ends, as its worker may
+idle long; that bounds memory, not results.
 
 Models in which a piece does cross a marker, or whose normaliser rewrites the text, are
 encoded text by text.
@@ -142,6 +143,7 @@ def encode_decode(docs: DataFrame, model: str, full: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
+        own._empty()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -160,6 +162,7 @@ def encode_decode(docs: DataFrame, model: str, full: bool = False) -> DataFrame:
                     arrays += [pa.array(columns[3], pa.list_(pa.int32())), pa.array(columns[4], pa.string())]
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(arrays, names)
+        own._empty()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * full
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema)

@@ -13,8 +13,8 @@ zero, which links like any other. Repeated rows get the same answer; an empty ta
 rows; other columns are ignored. A null doc_id is never the representative unless all are null.
 
 Copies of a given Jaccard similarity mostly differ in more bits than a ball can hold (about 10 of
-64 at 0.8), so near_copies adds to the ball other meeting points: BANDS hashes of ROWS minima of a
-text's shingles (MinHash). Texts that meet at a point are compared by the exact share of their
+64 at 0.8), so near_copies takes other meeting points in place of the ball: the fingerprint itself and
+BANDS hashes of ROWS minima of a text's shingles (MinHash). Texts that meet at a point are compared by the exact share of their
 distinct shingles. Two texts of similarity s share no band with chance (1 - s ** ROWS) ** BANDS,
 which is 7e-5 at 0.8. Of a group at a point, every text is compared with the group's centre (the
 text that meets most others, as an original does among its copies) and with one near it in hash
@@ -46,7 +46,6 @@ NEAR, PARITY = 4, 1024
 _RANDOM = np.random.default_rng(42)
 _FACTOR, _SHIFT = (_RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64) for _ in range(2))
 _FACTOR = _FACTOR * np.uint64(2) + np.uint64(1)
-_NEAREST = np.array([0] + [1 << i for i in range(64)], np.uint64)
 #: Shingles whose bits are counted at a time.
 BLOCK = 1 << 16
 
@@ -80,7 +79,7 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 
 def meeting_points(text: str | None, width: int) -> list[int]:
-    """The variants of the fingerprint within a bit and the band hashes by which a text meets candidates, as signed longs; none without words."""
+    """The fingerprint and the band hashes by which a text meets candidates, as signed longs; none without words."""
     blocks = list(shingle_hashes(text, width))
     if not blocks:
         return []
@@ -92,8 +91,7 @@ def meeting_points(text: str | None, width: int) -> list[int]:
     for row in least.reshape(ROWS, BANDS):
         band = (band ^ row) * np.uint64(0x9E3779B97F4A7C15)
         band ^= band >> np.uint64(29)
-    ball_ = np.array([_fingerprint(blocks)], np.uint64) ^ _NEAREST
-    return np.r_[ball_, band].view(np.int64).tolist()
+    return np.r_[np.array([_fingerprint(blocks)], np.uint64), band].view(np.int64).tolist()
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -159,7 +157,7 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFram
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             texts = batch.column(2).to_pylist()
             same = [xxhash.xxh64_intdigest(b" ".join((t or "").encode().lower().split()), 42) for t in texts]
             points = pa.array([meeting_points(t, width) for t in texts], pa.list_(pa.int64()))
@@ -218,7 +216,7 @@ def _linked(docs: DataFrame, classes: DataFrame, width: int, least: float) -> Da
     left = spread_join(placed, written(open_.select("point", "c")), "point", "c").select("same", "root").distinct()
     pairs = _apart(written(left.join(sets, "same")), least)
     new = written(_ordered(pairs).join(tested, ["a", "b"], "left_anti"))
-    return components(found.union(links(new)))
+    return components(roots.select(F.col("own").alias("a"), F.col("root").alias("b")).union(links(new)))
 
 
 def _apart(texts: DataFrame, least: float) -> DataFrame:
