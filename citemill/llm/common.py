@@ -89,8 +89,8 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, weight: str, how: s
     total = right.agg(F.sum(weight)).first()[0] or 0
     share = max(1, math.ceil(total / SHARES))
     parts = F.ceil(F.col(weight) / share).cast("int")
-    none = left.sparkSession.range(1).select(F.lit(None).cast(right.schema[key].dataType).alias("_heavy"), F.lit(1).alias("_parts"))  # the plan is the same without heavy keys
-    heavy = F.broadcast(right.where(F.col(weight) > share).select(F.col(key).alias("_heavy"), parts.alias("_parts")).union(none))
+    one = right.where(F.col(weight) <= share).limit(1)  # with it, the plan is the same where no key is heavy
+    heavy = F.broadcast(right.where(F.col(weight) > share).union(one).select(F.col(key).alias("_heavy"), parts.alias("_parts")))
     dealt = left.join(heavy, F.col(key) == F.col("_heavy"), "left").withColumn("_part", F.pmod(F.xxhash64(*left.columns), F.coalesce("_parts", F.lit(1))).cast("int"))
     copies = right.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))).withColumnRenamed(key, "_key")
     joined = dealt.join(copies, (F.col(key) == F.col("_key")) & (F.col("_part") == F.col("_copy")), how)
