@@ -57,20 +57,28 @@ def similarity(left: Column, right: Column) -> Column:
     return ratio(left, right)
 
 
-def candidates(affiliations: DataFrame, orgs: DataFrame) -> DataFrame:
-    """Matches of names (id, affiliation_ord, name_ord, affiliation, name) with organizations by key, containment or shared distinctive words.
+def candidates(names: DataFrame, orgs: DataFrame) -> DataFrame:
+    """Matches of different names (name) with organizations: tier (key, contains or similar), ratio (of signatures, where only similar) and the organization.
 
     All tiers but the first need a shared distinctive word, so candidates meet on words: an equi-join, never every pair.
+    Ratios are taken only where the lengths allow LEAST_RATIO at all; names less alike are left out.
     """
-    keyed = affiliations.select("*", text.institution_key(F.col("name")).alias("inst_key"), text.organization_signature(F.col("name")).alias("inst_signature")).where("inst_key <> ''")
-    o = orgs.select(*[F.col(c).alias(f"o_{c}") for c in ("ord", "name", "key", "signature", "identifier")])
-    exact = keyed.join(o, F.col("inst_key") == F.col("o_key")).withColumn("tier", F.lit("key"))
-    lw = keyed.withColumn("word", F.explode(text.distinctive_tokens(F.col("name"))))
-    rw = o.withColumn("o_word", F.explode(text.distinctive_tokens(F.col("o_name"))))
-    shared = lw.join(rw, (F.col("word") == F.col("o_word")) & (F.col("inst_key") != F.col("o_key"))).drop("word", "o_word")
-    met = shared.dropDuplicates(["id", "affiliation_ord", "name_ord", "o_ord"])
+    ship(names.sparkSession)
+    keys = names.select("name", text.institution_key(F.col("name")).alias("inst_key"), text.organization_signature(F.col("name")).alias("inst_signature"), text.distinctive_tokens(F.col("name")).alias("words"))
+    # Keys and words cost many replacements each: they are computed once a name, not once a use.
+    keyed = keys.select(F.explode(F.array(F.struct("*"))).alias("k")).select("k.*").where("inst_key <> ''")
+    owned = orgs.select(*[F.col(c).alias(f"o_{c}") for c in ("ord", "name", "key", "signature", "identifier")])
+    worded = owned.withColumn("o_words", text.distinctive_tokens(F.col("o_name"))).select(F.explode(F.array(F.struct("*"))).alias("k")).select("k.*")
+    exact = keyed.join(owned, F.col("inst_key") == F.col("o_key")).select("name", *owned.columns, F.lit("key").alias("tier"), F.lit(None).cast("double").alias("ratio"))
+    left, right = keyed.withColumn("word", F.explode("words")), worded.withColumn("o_word", F.explode("o_words"))
+    met = left.join(right, (F.col("word") == F.col("o_word")) & (F.col("inst_key") != F.col("o_key"))).dropDuplicates(["name", "o_ord"])
     inside = (F.length("o_key") >= LEAST_KEY) & (F.contains("inst_key", "o_key") | F.contains("o_key", "inst_key"))
-    return exact.unionByName(met.withColumn("tier", F.when(inside, "contains").otherwise("similar")))
+    tiered = met.withColumn("tier", F.when(inside, "contains").otherwise("similar"))
+    contains = tiered.where("tier = 'contains'").select("name", *owned.columns, "tier", F.lit(None).cast("double").alias("ratio"))
+    a, b = F.length("inst_signature"), F.length("o_signature")
+    near = tiered.where((F.col("tier") == "similar") & (F.col("inst_signature") != "") & (2 * F.least(a, b) >= LEAST_RATIO * (a + b)))
+    alike = near.withColumn("ratio", similarity(F.col("inst_signature"), F.col("o_signature"))).where(F.col("ratio") >= LEAST_RATIO)
+    return exact.union(contains).union(alike.select("name", *owned.columns, "tier", "ratio"))
 
 
 def affiliation_matches(affiliations: DataFrame, orgs: DataFrame) -> DataFrame:
@@ -80,24 +88,26 @@ def affiliation_matches(affiliations: DataFrame, orgs: DataFrame) -> DataFrame:
     is verified if the affiliation holds the identifier of any such organization (the first with an
     identifier is named), else likely (the first is named); containment names the longest key. Names
     that are only alike count as possible, and only if no name matched; the most alike is taken.
+    Names are matched once each, however many affiliations repeat them.
     """
-    ship(affiliations.sparkSession)
-    found = candidates(affiliations, orgs)
+    matched = candidates(affiliations.select("name").distinct(), orgs).withColumnRenamed("name", "m_name")
+    found = affiliations.join(matched, F.col("name") == F.col("m_name"))
     plain = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
-    has = (F.col("o_identifier") != "") & F.contains(plain(F.col("affiliation")), plain(F.col("o_identifier")))
-    name = ["id", "affiliation_ord", "name_ord"]
-    strong = found.where("tier <> 'similar'").groupBy(*name).agg(
-        F.min(F.when(F.col("tier") == "key", F.struct("o_ord", "o_name"))).alias("by_key"),
-        F.min(F.when((F.col("tier") == "key") & (F.col("o_identifier") != ""), F.struct("o_ord", "o_name"))).alias("by_identifier"),
-        F.coalesce(F.max(F.when(F.col("tier") == "key", has)), F.lit(False)).alias("verified"),
+    has = F.when(F.col("o_identifier") != "", F.contains(plain(F.col("affiliation")), plain(F.col("o_identifier")))).otherwise(F.lit(False))
+    key = F.col("tier") == "key"
+    each = found.groupBy("id", "affiliation_ord", "name_ord").agg(
+        F.min(F.when(key, F.struct("o_ord", "o_name"))).alias("by_key"),
+        F.min(F.when(key & (F.col("o_identifier") != ""), F.struct("o_ord", "o_name"))).alias("by_identifier"),
+        F.coalesce(F.max(F.when(key, has)), F.lit(False)).alias("verified"),
         F.min(F.when(F.col("tier") == "contains", F.struct((-F.length("o_key")).alias("n"), "o_ord", "o_name"))).alias("by_part"),
+        F.min(F.when(F.col("tier") == "similar", F.struct((-F.col("ratio")).alias("r"), "affiliation_ord", "name_ord", "o_ord", "o_name"))).alias("alike"),
     )
     level = F.when(F.col("verified"), "verified").when(F.col("by_key").isNotNull(), "likely").otherwise("contains")
     institution = F.when(F.col("verified"), F.col("by_identifier.o_name")).otherwise(F.coalesce("by_key.o_name", "by_part.o_name"))
-    decided = strong.select("id", F.struct("affiliation_ord", "name_ord").alias("at"), F.struct(level.alias("level"), institution.alias("institution")).alias("m")).groupBy("id").agg(F.min_by("m", "at").alias("m"))
-    alike = found.where("tier = 'similar' AND inst_signature <> ''").join(decided.select("id"), "id", "left_anti").withColumn("ratio", similarity(F.col("inst_signature"), F.col("o_signature"))).where(F.col("ratio") >= LEAST_RATIO)
-    possible = alike.groupBy("id").agg(F.min_by("o_name", F.struct((-F.col("ratio")).alias("r"), "affiliation_ord", "name_ord", "o_ord")).alias("institution"))
-    every = decided.select("id", "m.level", "m.institution").union(possible.select("id", F.lit("possible"), "institution"))
+    strong = F.col("by_key").isNotNull() | F.col("by_part").isNotNull()
+    placed = F.when(strong, F.struct("affiliation_ord", "name_ord", level.alias("level"), institution.alias("institution")))
+    best = each.groupBy("id").agg(F.min(placed).alias("m"), F.min("alike").alias("alike"))
+    every = best.select("id", F.when(F.col("m").isNotNull(), F.col("m.level")).otherwise("possible").alias("level"), F.coalesce("m.institution", "alike.o_name").alias("institution"))
     said = F.create_map(*map(F.lit, ("verified", "organization identifier (", "likely", "institution match (", "contains", "affiliation contains institution (", "possible", "name similarity (")))
     return every.select("*", F.concat(said[F.col("level")], "institution", F.lit(")")).alias("label"))
 

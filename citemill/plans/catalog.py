@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import publication, publication_sql, scalars
+from . import documents, publication, publication_sql, scalars
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return publication.QUERIES | scalars.QUERIES
+    return publication.QUERIES | scalars.QUERIES | documents.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return publication_sql.SQL | scalars.SQL
+    return publication_sql.SQL | scalars.SQL | documents.SQL

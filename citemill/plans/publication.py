@@ -158,9 +158,9 @@ def affiliation_backfill(spark, sf_dir):
 
 
 def name_reconcile(spark, sf_dir):
-    a = view.authors(spark, sf_dir).where("ord % 3 = 0")
+    a = view.authors(spark, sf_dir)
     split = a.withColumn("last_name", F.concat_ws(" ", F.split_part("fore_name", F.lit(" "), F.lit(2)), "last_name")).withColumn("fore_name", F.split_part("fore_name", F.lit(" "), F.lit(1)))
-    return records.reconcile_names(split, a).select("pmid", "position", "last_name", "fore_name", "reconciled")
+    return records.reconcile_names(split, a.where("ord % 3 = 0")).select("pmid", "position", "last_name", "fore_name", "reconciled")
 
 
 def _ids(spark, sf_dir) -> DataFrame:
@@ -257,8 +257,8 @@ def corrections_report(spark, sf_dir):
 
 
 def corrections_finalize(spark, sf_dir):
-    accepted = spark.range(0, 1000, 2).select(F.col("id").alias("idx"))
-    return review.finalize(_rows(spark, sf_dir), accepted, _corrections(spark, sf_dir)).select(*FLAGS)
+    rows = _rows(spark, sf_dir)
+    return review.finalize(rows, rows.where("idx % 2 = 0").select("idx"), _corrections(spark, sf_dir)).select(*FLAGS)
 
 
 def report_rows(spark, sf_dir):

@@ -125,8 +125,9 @@ SQL = {
         CASE WHEN senior OR (suf AND NOT pre) THEN array_to_string(ps, ',') ELSE '' END AS co_senior FROM f""",
     "affiliation_backfill": f"""{V} SELECT a.pmid, a.position, CASE WHEN f THEN 'Institute of Records' ELSE affiliation END AS affiliation, f AS filled
       FROM (SELECT *, affiliation = '' AND ord % 3 = 0 AS f FROM authors) a""",
-    "name_reconcile": f"""{V}, s AS (SELECT *, split_part(fore_name, ' ', 2) AS second, split_part(fore_name, ' ', 1) AS first FROM authors WHERE ord % 3 = 0)
-      SELECT pmid, position, last_name, fore_name, true AS reconciled FROM s""",
+    "name_reconcile": f"""{V}, s AS (SELECT *, split_part(fore_name, ' ', 2) AS second, split_part(fore_name, ' ', 1) AS first FROM authors)
+      SELECT pmid, position, CASE WHEN ord % 3 = 0 THEN last_name ELSE second || ' ' || last_name END AS last_name, CASE WHEN ord % 3 = 0 THEN fore_name ELSE first END AS fore_name,
+        ord % 3 = 0 AS reconciled FROM s""",
     "pmcid_left_join": f"{V}, {ASSEMBLED} SELECT * FROM asm",
     "pmcid_missing_anti": f"{V} SELECT pmcid FROM citations WHERE pmcid IS NOT NULL AND ord % 4 <> 0",
     "litsense_extra": f"{V} SELECT pmid FROM citations WHERE ord % 3 = 0 AND ord % 2 <> 0 AND ord % 5 <> 0 ORDER BY ord",
@@ -152,7 +153,7 @@ SQL = {
       ELSE 'PMC author entry for this contributor does not include affiliation text.' END AS reason FROM authors a JOIN asm ON a.pmid = asm.pmid WHERE affiliation = ''""",
     "corrections_report": f"""{_rows()}, {MODES}, a AS (SELECT *, CASE WHEN len(reasons) > 0 THEN ord % 3 = 0 ELSE include END AS included FROM rows)
       SELECT a.pmid, {FIXED.format(hit='true')} FROM a LEFT JOIN fix ON a.pmid = fix.pmid""",
-    "corrections_finalize": f"""{_rows()}, {MODES}, a AS (SELECT *, CASE WHEN len(reasons) > 0 THEN idx % 2 = 0 AND idx < 1000 ELSE include END AS included FROM rows)
+    "corrections_finalize": f"""{_rows()}, {MODES}, a AS (SELECT *, CASE WHEN len(reasons) > 0 THEN idx % 2 = 0 ELSE include END AS included FROM rows)
       SELECT a.pmid, {FIXED.format(hit='len(reasons) > 0 AND included')} FROM a LEFT JOIN fix ON a.pmid = fix.pmid""",
     "report_rows": f"""{_rows()} SELECT pmid, idx, CASE WHEN NOT include THEN 0 WHEN source_for_roles = 'pubmed' THEN 1 ELSE 2 END::INT AS bucket,
       CASE WHEN superseded_by <> '' THEN 'superseded' WHEN include THEN 'included' ELSE 'excluded' END AS status, 'https://pubmed.ncbi.nlm.nih.gov/' || pmid || '/' AS link,

@@ -11,7 +11,8 @@ from ..sources import payloads
 from ..streaming import jobs
 
 UPPER = "regexp_replace(lower({}), '[^a-z0-9]+', '', 'g')"
-NOW = 1_704_100_000
+#: A time at which some of the tables' jobs have expired.
+NOW = 1_706_686_400
 
 
 def pmid_scan_distinct(spark, sf_dir):
@@ -114,7 +115,7 @@ def job_latest(spark, sf_dir):
 
 def ttl_expired(spark, sf_dir):
     j = jobs.latest(_jobs(spark, sf_dir), "run", ["created_at", "id"]).withColumn("updated_at", F.col("created_at") / 1_000_000)
-    return jobs.expired_jobs(j, F.lit(float(NOW + jobs.TTL_SECONDS * 24))).select("run")
+    return jobs.expired_jobs(j, F.lit(float(NOW))).select("run")
 
 
 def events_rate_window(spark, sf_dir):
@@ -156,6 +157,6 @@ SQL = {
     "usage_top_n": f"{JOBS} SELECT id, author, status FROM j WHERE author ILIKE '%PUR%' ORDER BY created_at DESC, id DESC LIMIT 200",
     "usage_merged": f"""{JOBS} SELECT run, arg_max(status, created_at) FILTER (status <> 'running') AS status, arg_max(id, created_at) FILTER (id % 2 = 0) AS even_id FROM j GROUP BY run""",
     "job_latest": f"{JOBS} SELECT run, id, status FROM last",
-    "ttl_expired": f"{JOBS} SELECT run FROM last WHERE status <> 'running' AND {NOW + 86400 * 24} - created_at / 1000000 > 86400",
+    "ttl_expired": f"{JOBS} SELECT run FROM last WHERE status <> 'running' AND {NOW} - created_at / 1000000 > 86400",
     "events_rate_window": "SELECT epoch(date_trunc('hour', ts))::BIGINT AS start, event_type, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 1",
 }

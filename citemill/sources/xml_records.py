@@ -160,6 +160,22 @@ def _parsed(documents: DataFrame, parse: Callable[[str], Iterator[dict]], schema
     return documents.select("document").mapInArrow(run, fields)
 
 
+def unparsable(documents: DataFrame) -> DataFrame:
+    """document and error of the documents that are no XML, from which the parsers take nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for document in batch.column(0).to_pylist():
+                try:
+                    ET.fromstring(document or "")
+                except ET.ParseError as e:
+                    rows.append((document, str(e)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], ["document", "error"])
+
+    return documents.select("document").mapInArrow(run, "document string, error string")
+
+
 def pubmed(documents: DataFrame) -> DataFrame:
     """Citations of PubMed article sets (document): dates parsed, types distinct without regard to case, DOI without prefix."""
     found = _parsed(documents, pubmed_articles, PUBMED)

@@ -14,14 +14,21 @@ def _file_system(spark: SparkSession, path: str):
 
 
 def save_run(spark: SparkSession, root: str, run_id: str, tables: dict[str, DataFrame]) -> None:
-    """Writes a run's tables, replacing an older version of the run only when all are written."""
+    """Writes a run's tables, replacing an older version of the run only when all are written; the older one is moved aside and deleted last."""
     files, path = _file_system(spark, root)
-    aside, final = path(f"{root}/.{run_id}-{uuid.uuid4().hex}"), path(f"{root}/{run_id}")
+    mark = uuid.uuid4().hex
+    aside, old, final = path(f"{root}/.{run_id}-{mark}"), path(f"{root}/.{run_id}-{mark}-old"), path(f"{root}/{run_id}")
     for name, table in tables.items():
         table.write.parquet(f"{aside}/{name}.parquet")
-    files.delete(final, True)
+    replaced = files.exists(final)
+    if replaced and not files.rename(final, old):
+        raise OSError(f"{final} could not be renamed to {old}")
     if not files.rename(aside, final):
+        if replaced:
+            files.rename(old, final)
         raise OSError(f"{aside} could not be renamed to {final}")
+    if replaced:
+        files.delete(old, True)
 
 
 def load_run(spark: SparkSession, root: str, run_id: str, name: str) -> DataFrame:

@@ -22,26 +22,26 @@ def mentions(spark, rows):
     return spark.createDataFrame([(p, k, m, c) for p, k, m, c in rows], "pmid string, position int, method string, cluster_id string")
 
 
-def clustered(spark, rows, target="Rice J"):
+def clustered(spark, rows, target="Lund J"):
     found = identity.mentions(authors(spark, rows), identity.targets(spark, {"t": names.parse_target(target)}))
     return identity.with_cluster(found.withColumn("institutions", F.col("blocks")))
 
 
 def test_identifier_match_is_exclusive(spark):
-    rows = [("1", 1, "Rice", "Jeffrey", ["A"], "0000-0001-2345-6789"), ("1", 2, "Rice", "Jeffrey", ["B"], ""), ("2", 1, "Rice", "Jeffrey", ["B"], "")]
-    target = identity.targets(spark, {"t": names.parse_target("Jeffrey Rice", "0000-0001-2345-6789"), "u": names.parse_target("Jeffrey Rice")})
+    rows = [("1", 1, "Lund", "Josefa", ["A"], "0000-0001-2345-6789"), ("1", 2, "Lund", "Josefa", ["B"], ""), ("2", 1, "Lund", "Josefa", ["B"], "")]
+    target = identity.targets(spark, {"t": names.parse_target("Josefa Lund", "0000-0001-2345-6789"), "u": names.parse_target("Josefa Lund")})
     got = sorted((r.target_id, r.pmid, r.position, r.method) for r in identity.mentions(authors(spark, rows), target).collect())
     assert got == [("t", "1", 1, "orcid"), ("t", "2", 1, "given"), ("u", "1", 1, "given"), ("u", "1", 2, "given"), ("u", "2", 1, "given")]
 
 
 def test_mentions_without_affiliation_stay_apart(spark):
-    found = clustered(spark, [("1", 1, "Rice", "Jeffrey", [], ""), ("2", 1, "Rice", "Jeffrey", [], "")])
+    found = clustered(spark, [("1", 1, "Lund", "Josefa", [], ""), ("2", 1, "Lund", "Josefa", [], "")])
     assert found.select("cluster_id").distinct().count() == 2
 
 
 def test_merging_equals_brute_force(spark):
     rng = random.Random(5)
-    rows = [(str(i), 1, "Rice", rng.choice(["Jeffrey", "James K"]), sorted(rng.sample("ABCDEF", rng.randint(1, 4))), "") for i in range(160)]
+    rows = [(str(i), 1, "Lund", rng.choice(["Josefa", "Jonas K"]), sorted(rng.sample("ABCDEF", rng.randint(1, 4))), "") for i in range(160)]
     found = clustered(spark, rows)
     got = {r.first_id: r.cluster_id for r in identity.merged(found).collect()}
     size, keys = {}, {}
@@ -61,7 +61,7 @@ def test_merging_equals_brute_force(spark):
 
 
 def test_same_result_in_any_partitioning(spark):
-    rows = [(str(i), 1, "Rice", "Jeffrey", ["AB"[i % 2], "C"][: 1 + i % 2], "") for i in range(40)]
+    rows = [(str(i), 1, "Lund", "Josefa", ["AB"[i % 2], "C"][: 1 + i % 2], "") for i in range(40)]
     def run(n):
         c = cites(spark, [{"pmid": str(i), "print_year": 2000 + i % 5} for i in range(40)]).repartition(n)
         return sorted(map(str, identity.clusters(identity.merged(clustered(spark, rows).repartition(n)), c).collect()))
@@ -69,9 +69,9 @@ def test_same_result_in_any_partitioning(spark):
 
 
 def test_cluster_labels_follow_first_appearance(spark):
-    rows = [("1", 1, "Rice", "Jeffrey", ["Alpha Lab"], ""), ("2", 1, "Rice", "Jeffrey", ["ALPHA lab", "beta"], ""), ("3", 1, "Rice", "Jeffrey", ["alpha LAB", "beta"], "")]
+    rows = [("1", 1, "Lund", "Josefa", ["Alpha Lab"], ""), ("2", 1, "Lund", "Josefa", ["ALPHA lab", "beta"], ""), ("3", 1, "Lund", "Josefa", ["alpha LAB", "beta"], "")]
     found = identity.clusters(identity.merged(clustered(spark, rows)), cites(spark, [{"pmid": p} for p in "123"])).collect()
-    assert [(r.mention_count, r.affiliations, r.years, r.label) for r in found] == [(3, ["Alpha Lab", "beta"], [2024], "Rice, Jeffrey")]
+    assert [(r.mention_count, r.affiliations, r.years, r.label) for r in found] == [(3, ["Alpha Lab", "beta"], [2024], "Lund, Josefa")]
 
 
 def frame_of(spark, cs, ms, start=None, end=None, forced=None, excluded=None):

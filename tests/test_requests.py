@@ -5,20 +5,20 @@ from pyspark.sql import functions as F
 
 
 def test_queries():
-    assert requests.seed_query("39164478", "Jeffrey Stephen Rice") == "39164478 Rice J" and requests.seed_query(" ", "x") == "" and requests.seed_query("1", "Cher") == "1 Cher"
-    found = requests.profile_queries("Jeffrey Rice")
-    assert found[0] == 'given-and-family-names:"jeffrey rice"' and found[-1] == "Jeffrey Rice" and len(found) == 6
+    assert requests.seed_query("30405060", "Josefa Sigrid Lund") == "30405060 Lund J" and requests.seed_query(" ", "x") == "" and requests.seed_query("1", "Cher") == "1 Cher"
+    found = requests.profile_queries("Josefa Lund")
+    assert found[0] == 'given-and-family-names:"josefa lund"' and found[-1] == "Josefa Lund" and len(found) == 6
     assert requests.profile_queries(" ") == []
 
 
 def test_file_names():
-    assert requests.file_name("Rice JS", 2020, 2024) == "ricejs_publications_2020_2024"
+    assert requests.file_name("Lund JS", 2020, 2024) == "lundjs_publications_2020_2024"
     assert requests.file_name("Cher", None, None) == "cher_publications_all_years" and requests.file_name("", 1, None) == "author_publications_all_years"
 
 
 def test_problems():
-    assert requests.problems("Rice J", ["1"], 2020, 2021) == []
-    assert len(requests.problems("", [], 2, 1)) == 3 and len(requests.problems("Rice J", ["1"] * 501, None, None)) == 1
+    assert requests.problems("Lund J", ["1"], 2020, 2021) == []
+    assert len(requests.problems("", [], 2, 1)) == 3 and len(requests.problems("Lund J", ["1"] * 501, None, None)) == 1
 
 
 def test_upload(spark, tmp_path):
