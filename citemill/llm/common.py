@@ -43,18 +43,23 @@ def settled(df: DataFrame) -> DataFrame:
 
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder, for loops: unlike settled(df), it has its true size and not one estimated from all steps before, which doubles in digits from join to join."""
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = new_place(df.sparkSession, "table")
     df.write.parquet(path)
-    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Tables written by this application; results may still read them.
+def new_place(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder, which clean_up deletes."""
+    _written.append(f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+#: Places written to by this application; results may still read them.
 _written: list[str] = []
 
 
 def clean_up(spark: SparkSession) -> None:
-    """Deletes the tables that this application wrote to the shared folder. Call it when all results have been stored elsewhere."""
+    """Deletes what this application wrote to the shared folder. Call it when all results have been stored elsewhere."""
     for path in _written:
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

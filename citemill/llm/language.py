@@ -11,7 +11,8 @@ calibration texts of the language reach are marked as rejected: none of the lang
 Learning takes all texts with a language and crc32(doc_id as text) mod 4 other than 2, each
 different text of a language once; n-grams are counted in a grouped sum. A fifth of them, by hash
 of the text, calibrates instead, unless the language has fewer than 10.
-Scoring is over whole texts. Distinct n-grams of a block of texts are looked up once.
+Scoring is over whole texts. The score is the posterior chance of the language as if the text had
+EVIDENCE characters at most of its average evidence, as neighbouring characters say much the same. Distinct n-grams of a block of texts are looked up once.
 
 Null texts and texts without a letter give `und` with score 0. Repeated rows get equal results;
 ties go to the language first in alphabetical order; without any learned language all are `und`;
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from ..runtime import ship
 from .common import table
 
-ORDER, REJECT = 4, 0.999
+ORDER, REJECT, EVIDENCE = 4, 0.999, 100
 UNIFORM = 1 / 2000
 #: Characters scored at a time.
 BLOCK = 3_000_000
@@ -153,7 +154,7 @@ class Identifier:
                 result.append(("und", 0.0, None, True))
                 continue
             best = int(own.argmin())
-            odds = np.exp2(-np.clip((own - own[best]) * min(int(n), 100), 0, 500))
+            odds = np.exp2(-np.clip((own - own[best]) * min(int(n), EVIDENCE), 0, 500))
             result.append((self.languages[best], float(1 / odds.sum()), float(own[best]), bool(own[best] > self.bounds[best])))
         return result
 

@@ -3,7 +3,7 @@
 Each rule looks at one measure of a text and votes good (1), bad (-1) or abstains (0). The
 model is one hidden class, good or bad, with votes independent given the class. Since there
 are at most 3 ** len(RULES) vote patterns, the corpus enters EM as a table of pattern counts
-over all texts, however many there are; EM starts from texts without a bad vote as good. A text is kept
+over all texts that pass the base checks, however many there are; EM starts from texts without a bad vote as good. A text is kept
 if its posterior probability of being good is at least one half and it passes the base checks.
 
 Measures (words are runs without white space): word_chars, n_symbols, n_dup_lines (lines with

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
 from ..runtime import ship
-from .common import settled, shared_dir, spread_join, table
+from .common import new_place, settled, spread_join, table
 
 SCHEMA = "record_type string, record_id string, uri string, date string, digest string, content_type string, headers map<string,string>, payload binary"
 NAMES = {"record_type": "warc-type", "record_id": "warc-record-id", "uri": "warc-target-uri", "date": "warc-date", "digest": "warc-payload-digest", "content_type": "content-type"}
@@ -361,7 +361,7 @@ def read(spark: SparkSession, path: str, **options: str) -> DataFrame:
 
 
 def op5_warc(spark, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = new_place(spark, "warc")
     archive(table(spark, sf_dir, "pages", "page_id", "url", "html"), path)
     numbers = "x-page-id,x-payload-length,x-refers-to-page"
     full = read(spark, path, headers=numbers).where("record_type = 'response'")

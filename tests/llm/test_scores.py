@@ -135,6 +135,55 @@ def test_verdicts_follow_quality_labels(spark):
     assert sum(r.kept == bool(labels[r.doc_id]) for r in rows) / len(rows) >= 0.95
 
 
+def test_kept_and_posterior_equal_brute_force(spark, odd_docs):
+    """The votes, the model and the verdict of every text, from the measures; long, null and repeated rows among them."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").union(odd_docs.select("doc_id", "text"))
+    rows = quality.quality(docs).collect()
+    assert len(rows) == docs.count()
+
+    def votes(r):
+        found = []
+        for _, measure, over, under, low, high in quality.RULES:
+            a, b = (r[c] for c in measure.split(" / "))
+            x = a / b if b else 0.0
+            found.append(-1 if x > over or x < under else 1 if low <= x <= high else 0)
+        return tuple(found)
+
+    share, chances = quality.fit(Counter(votes(r) for r in rows if not r.base_failed))
+    for r in rows:
+        odds = math.log(share / (1 - share)) + sum(math.log(chances[k][v][0] / chances[k][v][1]) for k, v in enumerate(votes(r)))
+        assert abs(r.posterior - 1 / (1 + math.exp(-odds))) < 1e-9
+        assert r.kept == (not r.base_failed and r.posterior >= 0.5)
+
+
+def test_language_choice_equals_brute_force(spark):
+    """The registered query's languages are those of the lowest cross-entropy under models fitted here on the same texts."""
+    import zlib
+
+    import xxhash
+
+    docs = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    held = {d: zlib.crc32(str(d).encode()) % 4 == 2 for d, *_ in docs}
+    texts = {}
+    for d, t, lang in docs:
+        if not held[d] and t is not None and lang is not None:
+            h = xxhash.xxh64_intdigest(t.encode(), 42)
+            texts.setdefault(lang, {})[t] = h - (1 << 64) if h >> 63 else h
+    models = {}
+    for lang, own in texts.items():
+        fitted = [t for t, h in own.items() if h % 5 or len(own) < 10]
+        models[lang] = language.LanguageModel(np.concatenate([language.grams(language.characters(t)) for t in fitted]))
+    for r in language.op7_language(spark, "/root/testdata/sf0.001").collect():
+        text = next(t for d, t, _ in docs if d == r.doc_id)
+        codes = language.characters(text or "")
+        if not len(codes):
+            assert r.lang_pred == "und" and r.score == 0
+            continue
+        bits = {lang: float(m.bits(language.grams(codes)).mean()) for lang, m in models.items()}
+        assert abs(bits[r.lang_pred] - min(bits.values())) < 1e-9 and r.held_out == held[r.doc_id]
+        assert abs(r.score - 1 / sum(2 ** -((b - bits[r.lang_pred]) * min(len(codes), language.EVIDENCE)) for b in bits.values())) < 1e-6
+
+
 def test_em_finds_accurate_rules():
     rng = random.Random(2)
     patterns = Counter()
