@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -57,17 +60,30 @@ def superseded(cites: DataFrame) -> DataFrame:
     return links.groupBy("pmid").agg(F.transform(F.array_sort(F.collect_list(key)), lambda x: x["later"]).alias("later"))
 
 
+def target_key(*tables: DataFrame) -> list[str]:
+    """What separates targets in tables: target_id where all have one."""
+    return [c for c in ("target_id",) if all(c in t.columns for t in tables)]
+
+
+def flagged(rows: DataFrame, among: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """rows with a boolean column name: whether their keys are among the keys of another table."""
+    mark = f"_{name}_"
+    there = among.select(*[F.col(k).alias(mark + k) for k in keys]).distinct()
+    same = reduce(and_, [F.col(k) == F.col(mark + k) for k in keys])
+    return rows.join(there, same, "left").withColumn(name, F.col(mark + keys[-1]).isNotNull()).drop(*there.columns)
+
+
 def analysis_rows(cites: DataFrame, found: DataFrame, selected: DataFrame, start: int | None, end: int | None, forced: DataFrame | None = None, excluded: DataFrame | None = None) -> DataFrame:
-    """A report row per citation with a selected mention (or forced in), in report order with its index.
+    """A report row per citation with a selected mention (or forced in).
 
     cites: citations with author_count, optional co_first and co_senior; found: mentions (pmid,
-    position, method, cluster_id); selected: cluster_id; forced and excluded: pmid.
+    position, method, cluster_id); selected: cluster_id; forced and excluded: pmid. Where found has
+    target_id, so must the other three, and each target has rows of its own, as if run alone.
     """
-    none = cites.select("pmid").where("false")
-    flag = lambda df, name: (none if df is None else df.select("pmid")).distinct().select(F.col("pmid").alias(f"{name}_pmid"))
-    marked = found.join(selected.select(F.col("cluster_id").alias("s_id")).distinct(), F.col("cluster_id") == F.col("s_id"), "left")
-    chosen = F.col("s_id").isNotNull()
-    per = marked.groupBy(F.col("pmid").alias("m_pmid")).agg(
+    by = target_key(found)
+    marked = flagged(found, selected, by + ["cluster_id"], "chosen")
+    chosen = F.col("chosen")
+    per = marked.groupBy(*by, "pmid").agg(
         F.count("*").alias("n_all"),
         F.array_sort(F.collect_set("position")).alias("all_positions"),
         F.collect_set("method").alias("all_methods"),
@@ -75,13 +91,13 @@ def analysis_rows(cites: DataFrame, found: DataFrame, selected: DataFrame, start
         F.collect_set(F.when(chosen, F.col("method"))).alias("own_methods"),
     )
     later = superseded(cites).select(F.col("pmid").alias("l_pmid"), "later")
-    joined = (
-        cites.join(per, F.col("pmid") == F.col("m_pmid"), "left")
-        .join(flag(forced, "forced"), F.col("pmid") == F.col("forced_pmid"), "left")
-        .join(flag(excluded, "excluded"), F.col("pmid") == F.col("excluded_pmid"), "left")
-        .join(later, F.col("pmid") == F.col("l_pmid"), "left")
-    )
-    is_forced, out = F.col("forced_pmid").isNotNull(), F.col("excluded_pmid").isNotNull()
+    per = per.withColumn("forced", F.lit(False))
+    if forced is not None:
+        wanted = forced.select(*by, "pmid").distinct().withColumn("forced", F.lit(True))
+        per = per.drop("forced").join(wanted, by + ["pmid"], "full")
+    per = per.withColumn("out", F.lit(False)) if excluded is None else flagged(per, excluded, by + ["pmid"], "out")
+    joined = cites.join(per.withColumnRenamed("pmid", "m_pmid"), F.col("pmid") == F.col("m_pmid")).join(later, F.col("pmid") == F.col("l_pmid"), "left")
+    is_forced, out = F.coalesce("forced", F.lit(False)), F.col("out")
     ints, strings = F.array().cast("array<int>"), F.array().cast("array<string>")
     positions = F.coalesce(F.when(is_forced, F.col("all_positions")).otherwise(F.col("own_positions")), ints)
     methods = F.coalesce(F.when(is_forced, F.col("all_methods")).otherwise(F.col("own_methods")), strings)
@@ -94,19 +110,19 @@ def analysis_rows(cites: DataFrame, found: DataFrame, selected: DataFrame, start
         F.when(F.col("source_for_roles") == "pubmed", NO_ROLES),
     ))
     rows = kept.select(
-        *cites.columns, positions.alias("positions"), reasons.alias("reasons"), is_forced.alias("forced_include"),
+        *by, *cites.columns, positions.alias("positions"), reasons.alias("reasons"), is_forced.alias("forced_include"),
         F.arrays_overlap(positions, F.array_union(F.array(F.lit(1)), extra("co_first"))).alias("counted_first"),
         F.arrays_overlap(positions, F.array_union(F.array(F.col("author_count")), extra("co_senior"))).alias("counted_senior"),
         has_type(F.col("publication_types"), "review").alias("is_review"),
         has_type(F.col("publication_types"), "preprint").alias("is_preprint"),
         F.coalesce("later", strings).alias("superseded_by"),
     )
-    flagged = rows.select(
+    counted = rows.select(
         "*", (~F.col("is_review") & ~F.col("is_preprint")).alias("counted_overall"),
         (F.col("is_review") & F.col("counted_senior")).alias("counted_review_senior"),
         ((F.size("reasons") == 0) & ~(F.col("is_preprint") & (F.size("superseded_by") > 0))).alias("include"),
     )
-    return flagged.withColumn("superseded_by", F.when(F.col("is_preprint"), F.col("superseded_by")).otherwise(strings))
+    return counted.withColumn("superseded_by", F.when(F.col("is_preprint"), F.col("superseded_by")).otherwise(strings))
 
 
 def report_order(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -118,11 +134,11 @@ def report_order(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return rows.withColumn("idx", (F.row_number().over(Window.partitionBy(*(by or (F.lit(0),))).orderBy(*order)) - 1).cast("long"))
 
 
-def summary(rows: DataFrame) -> DataFrame:
-    """Totals over report rows: overall, first or senior among them, reviews as senior, preprints, superseded preprints."""
+def summary(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Totals over report rows (of each by): overall, first or senior among them, reviews as senior, preprints, superseded preprints."""
     counted = F.col("include") & F.col("counted_overall")
     count = lambda c: F.count_if(c).cast("long")
-    return rows.agg(
+    return rows.groupBy(*by).agg(
         count(counted).alias("total"),
         count(counted & (F.col("counted_first") | F.col("counted_senior"))).alias("first_senior"),
         count(F.col("include") & F.col("counted_review_senior")).alias("review_senior"),
@@ -131,14 +147,14 @@ def summary(rows: DataFrame) -> DataFrame:
     )
 
 
-def journal_subtotals(rows: DataFrame) -> DataFrame:
-    """journal, publications, detail of the counted first and senior rows; detail lists years with their counts, unknown last."""
+def journal_subtotals(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """journal, publications, detail (of each by) of the counted first and senior rows; detail lists years with their counts, unknown last."""
     counted = rows.where("include AND counted_overall AND (counted_first OR counted_senior)")
-    yearly = counted.groupBy("journal", "print_year").agg(F.count("*").alias("n"))
+    yearly = counted.groupBy(*by, "journal", "print_year").agg(F.count("*").alias("n"))
     name = F.concat(F.when(F.col("n") > 1, F.concat(F.col("n").cast("string"), F.lit("x"))).otherwise(""), F.coalesce(F.col("print_year").cast("string"), F.lit("n/a")))
     order = F.struct(F.col("print_year").isNull().alias("u"), "print_year", name.alias("t"))
-    grouped = yearly.groupBy("journal").agg(F.sum("n").cast("long").alias("publications"), F.array_sort(F.collect_list(order)).alias("years"))
-    return grouped.select("journal", "publications", F.array_join(F.transform("years", lambda y: y["t"]), ", ").alias("detail"))
+    grouped = yearly.groupBy(*by, "journal").agg(F.sum("n").cast("long").alias("publications"), F.array_sort(F.collect_list(order)).alias("years"))
+    return grouped.select(*by, "journal", "publications", F.array_join(F.transform("years", lambda y: y["t"]), ", ").alias("detail"))
 
 
 def summary_line(totals: DataFrame, subtotals: DataFrame, window: str) -> DataFrame:

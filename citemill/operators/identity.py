@@ -68,12 +68,16 @@ def subset_edges(clustered: DataFrame) -> DataFrame:
     """cluster_id, merged_id: the best strict superset of each cluster's keys under the same name, with at least as many mentions.
 
     Best is most mentions, then most keys, then the largest id. A best superset has no superset of
-    its own (it would have been better), so one step reaches the end.
+    its own (it would have been better), so one step reaches the end. A superset has the cluster's
+    rarest key under the name too, so only clusters that share it meet.
     """
     sizes = clustered.where("size(keys) > 0").groupBy("target_id", "name_key", "cluster_id").agg(F.count("*").alias("n"), F.first("keys").alias("keys"))
-    a, b = sizes.alias("a"), sizes.alias("b")
+    each = sizes.select("*", F.explode("keys").alias("key"))
+    shared = each.withColumn("c", F.count("*").over(Window.partitionBy("target_id", "name_key", "key")))
+    rarest = shared.groupBy("target_id", "name_key", "cluster_id").agg(F.min_by("key", F.struct("c", "key")).alias("key"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    a, b = rarest.alias("a"), each.alias("b")
     wider = (F.size("a.keys") < F.size("b.keys")) & (F.size(F.array_except("a.keys", "b.keys")) == 0) & (F.col("b.n") >= F.col("a.n"))
-    pairs = a.join(b, (F.col("a.target_id") == F.col("b.target_id")) & (F.col("a.name_key") == F.col("b.name_key")) & wider)
+    pairs = a.join(b, (F.col("a.target_id") == F.col("b.target_id")) & (F.col("a.name_key") == F.col("b.name_key")) & (F.col("a.key") == F.col("b.key")) & wider)
     best = F.max_by(F.col("b.cluster_id"), F.struct(F.col("b.n"), F.size("b.keys"), F.col("b.cluster_id")))
     return pairs.groupBy(F.col("a.target_id").alias("e_target"), F.col("a.cluster_id").alias("e_cluster")).agg(best.alias("merged_id"))
 

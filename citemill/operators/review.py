@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,37 +28,36 @@ ALIASES = {"overall": "coauthor", "senior": "first_senior_author", "review": "co
 
 
 def filtered_mentions(found: DataFrame, clusters: DataFrame, pmids: DataFrame | None, excluded: DataFrame, forced: DataFrame) -> DataFrame:
-    """Mentions for analysis: (cluster selected or forced) and (no pmid filter or pmid selected) and (not excluded or forced)."""
-    flags = [(clusters.select(F.col("cluster_id").alias("f_c")).distinct(), "cluster_id", "f_c"), (excluded.select(F.col("pmid").alias("f_x")).distinct(), "pmid", "f_x"), (forced.select(F.col("pmid").alias("f_f")).distinct(), "pmid", "f_f")]
-    if pmids is not None:
-        flags.append((pmids.select(F.col("pmid").alias("f_p")).distinct(), "pmid", "f_p"))
-    joined = found
-    for df, key, flag in flags:
-        joined = joined.join(df, F.col(key) == F.col(flag), "left")
-    is_forced = F.col("f_f").isNotNull()
-    keep = (F.col("f_c").isNotNull() | is_forced) & (F.col("f_x").isNull() | is_forced)
-    if pmids is not None:
-        keep = keep & F.col("f_p").isNotNull()
-    return joined.where(keep).select(*found.columns)
+    """Mentions for analysis: (cluster selected or forced) and (no pmid filter or pmid selected) and (not excluded or forced); of each target for itself where found has target_id."""
+    by = analysis.target_key(found)
+    joined = analysis.flagged(found, clusters, by + ["cluster_id"], "_chosen")
+    for df, flag in ((excluded, "_out"), (forced, "_forced"), *([(pmids, "_wanted")] if pmids is not None else [])):
+        joined = analysis.flagged(joined, df, by + ["pmid"], flag)
+    keep = F.expr("(_chosen OR _forced) AND (NOT _out OR _forced)")
+    return joined.where(keep if pmids is None else keep & F.col("_wanted")).select(*found.columns)
 
 
 def selection_rows(cites: DataFrame, shown: DataFrame, every: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per citation with shown mentions: labels, affiliations and positions, and whether a person must look at it.
 
-    shown and every: mentions (pmid, position, method, cluster_id, affiliation); labels: cluster_id, label.
+    shown and every: mentions (pmid, position, method, cluster_id, affiliation); labels: cluster_id,
+    label. Where shown has target_id, so must the other two, and each target has rows of its own.
     """
+    by = analysis.target_key(shown)
+    alike = lambda mark: reduce(and_, [F.col(c) == F.col(mark + c) for c in by], F.lit(True))
+    own = lambda mark: [F.col(c).alias(mark + c) for c in by]
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), " | ")
-    named = shown.join(labels.select(F.col("cluster_id").alias("l_id"), F.col("label").alias("l_label")), F.col("cluster_id") == F.col("l_id"), "left")
-    per = named.groupBy(F.col("pmid").alias("s_pmid")).agg(
+    named = shown.join(labels.select(*own("l_"), F.col("cluster_id").alias("l_id"), F.col("label").alias("l_label")), (F.col("cluster_id") == F.col("l_id")) & alike("l_"), "left")
+    per = named.groupBy(*by, F.col("pmid").alias("s_pmid")).agg(
         joined(F.coalesce("l_label", "cluster_id")).alias("cluster_labels"),
         joined(F.when(F.trim("affiliation") != "", F.trim("affiliation"))).alias("affiliations"),
         F.array_join(F.transform(F.array_sort(F.collect_set("position")), lambda p: p.cast("string")), ",").alias("positions"),
     )
-    whole = every.groupBy(F.col("pmid").alias("e_pmid")).agg(F.count_distinct("position").alias("n_positions"), F.max(F.col("method") == "initials").alias("by_initials"))
-    rows = cites.join(per, F.col("pmid") == F.col("s_pmid")).join(whole, F.col("pmid") == F.col("e_pmid"), "left")
+    whole = every.groupBy(*own("e_"), F.col("pmid").alias("e_pmid")).agg(F.count_distinct("position").alias("n_positions"), F.max(F.col("method") == "initials").alias("by_initials"))
+    rows = cites.join(per, F.col("pmid") == F.col("s_pmid")).join(whole, (F.col("pmid") == F.col("e_pmid")) & alike("e_"), "left")
     reasons = F.concat_ws("; ", F.when(F.col("affiliations") == "", NO_AFFILIATION), F.when(F.col("n_positions") > 1, SEVERAL), F.when(F.col("by_initials"), BY_INITIALS))
     return rows.select(
-        "pmid", "print_year", "journal", "source_for_roles", "cluster_labels", "positions",
+        *by, "pmid", "print_year", "journal", "source_for_roles", "cluster_labels", "positions",
         F.when(F.col("affiliations") == "", "(no affiliation listed)").otherwise(F.col("affiliations")).alias("affiliations"),
         (reasons != "").alias("needs_review"), reasons.alias("review_reason"),
     )
@@ -97,11 +99,12 @@ def corrections(entries: DataFrame) -> DataFrame:
 
 
 def apply_modes(rows: DataFrame, modes: DataFrame, only: Column | None = None) -> DataFrame:
-    """rows with corrections (pmid, mode) applied; unknown modes change nothing; only limits them to some rows."""
+    """rows with corrections (pmid, mode) applied, of one target where they name a target_id; unknown modes change nothing; only limits them to some rows."""
+    by = analysis.target_key(rows, modes)
     spark = rows.sparkSession
     table = spark.createDataFrame([(k, *v) for k, v in MODES.items()], "m_mode string, m_include boolean, m_overall boolean, m_senior boolean, m_review_senior boolean, m_review boolean, m_preprint boolean")
-    known = modes.join(F.broadcast(table), F.col("mode") == F.col("m_mode")).withColumnRenamed("pmid", "m_pmid").drop("mode")
-    joined = rows.join(known, F.col("pmid") == F.col("m_pmid"), "left")
+    known = modes.join(F.broadcast(table), F.col("mode") == F.col("m_mode")).drop("mode").withColumnsRenamed({c: f"m_{c}" for c in by + ["pmid"]})
+    joined = rows.join(known, reduce(and_, [F.col(c) == F.col(f"m_{c}") for c in by + ["pmid"]]), "left")
     hit = F.col("m_mode").isNotNull() & (only if only is not None else F.lit(True))
     new = {
         "include": F.col("m_include"), "counted_overall": F.col("m_overall"), "counted_first": F.lit(False), "counted_senior": F.col("m_senior"),
@@ -112,19 +115,17 @@ def apply_modes(rows: DataFrame, modes: DataFrame, only: Column | None = None) -
 
 
 def finalize(rows: DataFrame, accepted: DataFrame, modes: DataFrame) -> DataFrame:
-    """Uncertain rows are included if their idx is accepted; corrections apply to accepted uncertain rows alone."""
-    taken = accepted.select(F.col("idx").alias("a_idx")).distinct()
-    joined = rows.join(taken, F.col("idx") == F.col("a_idx"), "left")
+    """Uncertain rows are included if their idx (of their target, where accepted has target_id) is accepted; corrections apply to accepted uncertain rows alone."""
+    joined = analysis.flagged(rows, accepted, analysis.target_key(rows, accepted) + ["idx"], "_taken")
     unsure = F.size("reasons") > 0
-    marked = joined.withColumn("include", F.when(unsure, F.col("a_idx").isNotNull()).otherwise(F.col("include")))
-    return apply_modes(marked, modes, unsure & F.col("a_idx").isNotNull()).drop("a_idx")
+    marked = joined.withColumn("include", F.when(unsure, F.col("_taken")).otherwise(F.col("include")))
+    return apply_modes(marked, modes, unsure & F.col("_taken")).drop("_taken")
 
 
 def report_correct(rows: DataFrame, accepted: DataFrame, modes: DataFrame) -> DataFrame:
-    """Uncertain rows are included if their pmid is accepted; corrections apply to any row."""
-    taken = accepted.select(F.col("pmid").alias("a_pmid")).distinct()
-    joined = rows.join(taken, F.col("pmid") == F.col("a_pmid"), "left")
-    marked = joined.withColumn("include", F.when(F.size("reasons") > 0, F.col("a_pmid").isNotNull()).otherwise(F.col("include"))).drop("a_pmid")
+    """Uncertain rows are included if their pmid (of their target, where accepted has target_id) is accepted; corrections apply to any row."""
+    joined = analysis.flagged(rows, accepted, analysis.target_key(rows, accepted) + ["pmid"], "_taken")
+    marked = joined.withColumn("include", F.when(F.size("reasons") > 0, F.col("_taken")).otherwise(F.col("include"))).drop("_taken")
     return apply_modes(marked, modes)
 
 
@@ -153,7 +154,7 @@ def report(rows: DataFrame) -> DataFrame:
     bucket = F.when(~F.col("include"), 0).when(F.col("source_for_roles") == "pubmed", 1).otherwise(2)
     status = F.when(F.size("superseded_by") > 0, "superseded").when(F.col("include"), "included").otherwise("excluded")
     link = F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), F.col("pmid"), F.lit("/"))
-    return category(rows).select("pmid", "idx", bucket.alias("bucket"), status.alias("status"), link.alias("link"), "category", "counted_mode", "default_mode", F.array_join("superseded_by", ",").alias("superseded_by"), F.array_join("reasons", "; ").alias("reasons"))
+    return category(rows).select(*analysis.target_key(rows), "pmid", "idx", bucket.alias("bucket"), status.alias("status"), link.alias("link"), "category", "counted_mode", "default_mode", F.array_join("superseded_by", ",").alias("superseded_by"), F.array_join("reasons", "; ").alias("reasons"))
 
 
 def type_summary(cites: DataFrame, terms: tuple[str, ...] = analysis.EXCLUDED_TYPES) -> DataFrame:

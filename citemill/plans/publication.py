@@ -16,10 +16,17 @@ START, END = 1996, 2000
 TERMS = ("preprint",)
 
 
+#: The mentions that are kept now.
+_kept: list[DataFrame] = []
+
+
 def _mentions(spark: SparkSession, sf_dir: str, target: names.Target) -> DataFrame:
-    """Mentions of one target with merged clusters; a block's text is its institution. Kept, as one report reads them several times."""
+    """Mentions of one target with merged clusters; a block's text is its institution. Kept, as one report reads them several times, until the next report."""
     found = identity.mentions(view.authors(spark, sf_dir), F.broadcast(identity.targets(spark, {"t": target})))  # one target
     own = identity.with_cluster(found.withColumn("institutions", F.col("blocks"))).persist()
+    while _kept:
+        _kept.pop().unpersist()
+    _kept.append(own)
     return identity.merged(own)
 
 
@@ -33,8 +40,8 @@ def _eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _rows(spark: SparkSession, sf_dir: str, target: names.Target = FULL) -> DataFrame:
     found = _mentions(spark, sf_dir, target)
-    rows = analysis.analysis_rows(_cites(spark, sf_dir), found, found.select("cluster_id"), START, END)
-    return analysis.report_order(rows)
+    rows = analysis.analysis_rows(_cites(spark, sf_dir), found, found.select("target_id", "cluster_id"), START, END)
+    return analysis.report_order(rows, ("target_id",))
 
 
 def flagship_publication_summary(spark, sf_dir):
@@ -228,8 +235,8 @@ def uncertain_index(spark, sf_dir):
 
 def citation_selection(spark, sf_dir):
     found, cites = _mentions(spark, sf_dir, SHORT), view.citations(spark, sf_dir)
-    labels = identity.clusters(found, cites).select("cluster_id", "label")
-    return review.selection_rows(cites, found, found, labels)
+    labels = identity.clusters(found, cites).select("target_id", "cluster_id", "label")
+    return review.selection_rows(cites, found, found, labels).drop("target_id")
 
 
 def needs_review(spark, sf_dir):
@@ -262,7 +269,7 @@ def corrections_finalize(spark, sf_dir):
 
 
 def report_rows(spark, sf_dir):
-    return review.report(_rows(spark, sf_dir))
+    return review.report(_rows(spark, sf_dir)).drop("target_id")
 
 
 QUERIES = {

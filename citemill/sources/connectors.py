@@ -1,8 +1,8 @@
 """Python data sources over HTTP services, one row per response.
 
-A reader plans one partition per chunk of requests for services that allow parallel requests,
-else one partition. The transport is a function, so tests and closed networks can put their own
-in; live behaviour is not tested here.
+A reader plans as many partitions as its option parallel says (one by default), each of which waits
+that many times the service's spacing, so that all keep the spacing together. The transport is a
+function, so tests and closed networks can put their own in; live behaviour is not tested here.
 """
 
 from __future__ import annotations
@@ -14,13 +14,16 @@ import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from email.utils import parsedate_to_datetime
-from urllib.error import HTTPError
+from http.client import HTTPException
+from urllib.error import HTTPError, URLError
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.window import Window
 
+from ..functions import text
+
 RETRIED, RETRIES, CAP = frozenset({429, 500, 502, 503, 504}), 4, 8.0
 EUTILS = "https://eutils.ncbi.nlm.nih.gov/entrez/eutils"
 SERVICES = {
@@ -57,7 +60,7 @@ def augmented(url: str, api_key: str = "", tool: str = "", email: str = "") -> s
 
 
 def fetch(url: str, spacing: float = 0.0, send: Callable[[str], str] | None = None, sleep: Callable[[float], None] = time.sleep) -> str:
-    """The body of url, with retries."""
+    """The body of url; retried after busy answers, time-outs and dropped connections."""
 
     def over_network(u: str) -> str:
         with urllib.request.urlopen(u, timeout=30) as response:
@@ -71,6 +74,10 @@ def fetch(url: str, spacing: float = 0.0, send: Callable[[str], str] | None = No
             if e.code not in RETRIED or attempt == RETRIES:
                 raise
             sleep(backoff(attempt, e.headers.get("Retry-After") if e.headers else None))
+        except (URLError, HTTPException, TimeoutError, ConnectionError):
+            if attempt == RETRIES:
+                raise
+            sleep(backoff(attempt))
     raise AssertionError("unreachable")
 
 
@@ -95,7 +102,7 @@ def chunks(ids: DataFrame, size: int = 200) -> DataFrame:
 
 @dataclass
 class Requests(InputPartition):
-    urls: list[str] = field(default_factory=list)
+    urls: list[tuple[int, str]] = field(default_factory=list)
 
 
 class ServiceReader(DataSourceReader):
@@ -103,16 +110,18 @@ class ServiceReader(DataSourceReader):
         service = SERVICES[options["service"]]
         self.urls = [augmented(service.format(ids=urllib.parse.quote(x, safe=",")), options.get("apikey", ""), options.get("tool", ""), options.get("email", "")) for x in json.loads(options.get("requests", "[]"))]
         kind = "orcid" if options["service"].startswith("orcid") else "ncbi_key" if options.get("apikey") else "ncbi"
-        self.spacing, self.most = SPACING[kind], int(options.get("pages", 10 if options["service"] == "litsense" else 1))
+        self.parallel = max(1, min(int(options.get("parallel", 1)), len(self.urls)))
+        self.spacing, self.most = SPACING[kind] * self.parallel, int(options.get("pages", 10 if options["service"] == "litsense" else 1))
         self.fixture = options.get("fixture")
 
     def partitions(self) -> list[InputPartition]:
-        return [Requests(self.urls)]  # one partition, as the spacing holds for all requests together
+        placed = list(enumerate(self.urls))
+        return [Requests(placed[k :: self.parallel]) for k in range(self.parallel)]
 
     def read(self, partition: Requests) -> Iterator[tuple]:
         saved = json.loads(self.fixture) if self.fixture else None
         get = (lambda u: saved[u]) if saved is not None else (lambda u: fetch(u, self.spacing))
-        for i, url in enumerate(partition.urls):
+        for i, url in partition.urls:
             try:
                 for k, body in enumerate(pages(url, get, self.most)):
                     yield i, k, url, body, None
@@ -121,7 +130,7 @@ class ServiceReader(DataSourceReader):
 
 
 class ServiceSource(DataSource):
-    """Options: service, requests (JSON list of id lists), apikey, tool, email, pages; fixture (JSON object of bodies by url) instead of the network."""
+    """Options: service, requests (JSON list of id lists), apikey, tool, email, pages, parallel; fixture (JSON object of bodies by url) instead of the network."""
 
     @classmethod
     def name(cls) -> str:
@@ -145,3 +154,69 @@ def responses(spark: SparkSession, service: str, requests: list[str], **options:
 def missing(requested: DataFrame, received: DataFrame) -> DataFrame:
     """pmcids asked for and not received, to be asked for one by one."""
     return requested.select("pmcid").join(received.select("pmcid"), "pmcid", "left_anti")
+
+
+class Token:
+    """A service token for client credentials, asked for again 30 seconds before it ends.
+
+    send(url, form) gives the body of the answer; a missing or odd lifetime counts as an hour, a short one as a minute.
+    """
+
+    def __init__(self, url: str, client_id: str, secret: str, send: Callable[[str, dict], str], now: Callable[[], float] = time.monotonic):
+        self.url, self.client_id, self.secret, self.send, self.now = url, client_id, secret, send, now
+        self.value, self.ends = "", 0.0
+
+    def get(self) -> str:
+        asked = self.now()
+        if self.value and asked < self.ends - 30:
+            return self.value
+        if not (self.client_id and self.secret):
+            raise RuntimeError("client credentials are not configured")
+        answer = json.loads(self.send(self.url, {"client_id": self.client_id, "client_secret": self.secret, "grant_type": "client_credentials", "scope": "/read-public"}))
+        token = str(answer.get("access_token", "")).strip() if isinstance(answer, dict) else ""
+        if not token:
+            raise RuntimeError("the answer holds no access_token")
+        try:
+            lifetime = int(answer.get("expires_in", 3600))
+        except (TypeError, ValueError):
+            lifetime = 3600
+        self.value, self.ends = token, asked + max(lifetime, 60)
+        return self.value
+
+
+def profiles(found: DataFrame, most: int = 12) -> DataFrame:
+    """place, orcid, display_name, institution, country, record_url of search answers (json, ord, basic): the first 1 to 50 distinct identifiers, from basic answers only where the others give none.
+
+    Where a name is missing the credit name is shown; an institution may be text or a list of texts. Answers of another shape give no rows.
+    """
+    def texts(path: str) -> Column:
+        """Text at path, or its list of texts joined by semicolons."""
+        as_list = F.array_join(F.filter(F.transform(F.try_variant_get("v", path, "array<string>"), lambda x: F.trim(x)), lambda x: x != ""), "; ")
+        return F.when(F.schema_of_variant(F.try_variant_get("v", path, "variant")).startswith("ARRAY"), as_list).otherwise(F.trim(F.try_variant_get("v", path, "string")))
+
+    def one(path: str) -> Column:
+        return F.trim(F.coalesce(F.try_variant_get("v", path, "string"), F.lit("")))
+
+    def known(*paths: str) -> Column:
+        return F.get(F.filter(F.transform(F.array(*map(one, paths)), text.orcid), lambda x: x != ""), 0)
+
+    parts = [f"$['{key}']{end}" for key in ("orcid-id", "orcid-identifier") for end in ("", ".path", ".uri")]
+    answers = found.select("ord", "basic", F.try_parse_json("json").alias("answer"))
+    items = []
+    for basic, key in ((False, "expanded-result"), (True, "result")):
+        listed = F.try_variant_get("answer", f"$['{key}']", "array<variant>")
+        items.append(answers.where(F.col("basic") == basic).select("ord", "basic", F.posexplode(listed).alias("at", "v")))
+    rows = items[0].union(items[1]).withColumn("orcid", known(*parts)).where("orcid IS NOT NULL")
+    shown = F.when(F.col("basic"), "").otherwise
+    full = F.concat_ws(" ", F.nullif(one("$['given-names']"), F.lit("")), F.nullif(one("$['family-names']"), F.lit("")))
+    named = rows.select(
+        "ord", "basic", "at", "orcid",
+        shown(F.when(full != "", full).otherwise(one("$['credit-name']"))).alias("display_name"),
+        shown(F.coalesce(F.nullif(texts("$['institution-name']"), F.lit("")), texts("$['current-institution-affiliation-name']"), F.lit(""))).alias("institution"),
+        shown(one("$.country")).alias("country"),
+    )
+    first = named.groupBy("orcid").agg(F.min_by(F.struct("basic", "ord", "at", "display_name", "institution", "country"), F.struct("basic", "ord", "at")).alias("r")).select("orcid", "r.*")
+    some = F.max(~F.col("basic")).over(Window.partitionBy())  # search answers, a few hundred rows at most
+    kept = first.withColumn("some", some).where("NOT (basic AND some)").orderBy("basic", "ord", "at").limit(max(1, min(50, most)))
+    place = F.row_number().over(Window.orderBy("basic", "ord", "at"))
+    return kept.select(place.alias("place"), "orcid", "display_name", "institution", "country", F.concat(F.lit("https://orcid.org/"), "orcid").alias("record_url"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .store import delete_runs
+
 TTL_SECONDS, TERMINAL = 86_400, ("completed", "failed")
 PHASES = ("queued", "running", "completed", "failed")
 
@@ -49,7 +51,7 @@ def rate(events: DataFrame, key: str, time: str, seconds: int, most: int) -> Dat
 
 
 def stream_latest(events: DataFrame, path: str, checkpoint: str, key: str, order: list[str]):
-    """Keeps, at path, the latest row of each key of a stream: every batch is folded into a new version and named by its id."""
+    """Keeps, at path, the latest row of each key of a stream: every batch is folded into a new version, named by its id; the version before stays for readers, older ones go."""
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -58,6 +60,7 @@ def stream_latest(events: DataFrame, path: str, checkpoint: str, key: str, order
         if batch_id > 0:
             both = spark.read.parquet(before).unionByName(batch)
         latest(both, key, order).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        delete_runs(spark, path, [f"version={batch_id - 2}"])
 
     return events.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

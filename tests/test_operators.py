@@ -183,3 +183,28 @@ def test_shared_affiliation(spark):
     rows = [("1", 1, "A", "X", ["One"], ""), ("1", 2, "B", "Y", [], ""), ("2", 1, "A", "X", ["One"], ""), ("2", 2, "B", "Y", ["Two"], ""), ("2", 3, "C", "Z", [], "")]
     got = {(r.pmid, r.position): r.blocks for r in records.shared_affiliation(authors(spark, rows)).collect()}
     assert got[("1", 2)] == ["One"] and got[("2", 3)] == []
+
+
+def test_targets_do_not_mix(spark):
+    cs = cites(spark, [{"pmid": str(i), "print_year": 2000 + i, "source_for_roles": "pmc"} for i in range(1, 6)])
+    schema = "target_id string, pmid string, position int, method string, cluster_id string, affiliation string"
+    ms = {"t": [("1", 1, "given", "c", "A"), ("2", 2, "initials", "d", "")], "u": [("1", 3, "given", "c", "B"), ("2", 1, "given", "c", "B"), ("3", 1, "given", "c", "B"), ("2", 2, "given", "d", "A")]}
+    frame = lambda rows, columns: spark.createDataFrame(rows, columns)
+    found = frame([(t, *m) for t in ms for m in ms[t]], schema)
+    chosen = frame([("t", "c"), ("t", "d"), ("u", "c")], "target_id string, cluster_id string")
+    forced, out = frame([("t", "5"), ("u", "2")], "target_id string, pmid string"), frame([("t", "1"), ("u", "3")], "target_id string, pmid string")
+    labels = frame([("t", "c", "T"), ("t", "d", "D"), ("u", "c", "U")], "target_id string, cluster_id string, label string")
+    accepted, modes = frame([("t", "2")], "target_id string, pmid string"), frame([("u", "1", "exclude")], "target_id string, pmid string, mode string")
+
+    def run(t=None):
+        pick = lambda df: df if t is None else df.where(F.col("target_id") == t).drop("target_id")
+        rows = analysis.report_order(analysis.analysis_rows(cs, pick(found), pick(chosen), None, None, pick(forced), pick(out)), () if t else ("target_id",))
+        corrected = review.report_correct(rows, pick(accepted), pick(modes))
+        kept = review.filtered_mentions(pick(found), pick(chosen), None, pick(out), pick(forced))
+        tables = [rows, corrected, review.selection_rows(cs, pick(found), pick(found), pick(labels)), kept, analysis.summary(corrected, () if t else ("target_id",)), analysis.journal_subtotals(corrected, () if t else ("target_id",))]
+        tables.append(review.finalize(rows, rows.where("pmid = '2'").select(*analysis.target_key(rows), "idx"), pick(modes)))
+        return [[(r.asDict().get("target_id", t), sorted((k, str(v)) for k, v in r.asDict().items() if k != "target_id")) for r in table.collect()] for table in tables]
+
+    both = run()
+    assert [sorted(table) for table in both] == [sorted(a + b) for a, b in zip(run("t"), run("u"), strict=True)]
+    assert [len(table) for table in both][:2] == [4, 4]
