@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, line_dedup, quality, secret_scan, sentencepiece_codec, simhash, token_counts, toxicity, warc
+from . import decontaminate, divergence, language, line_dedup, manifest, quality, secret_scan, sentencepiece_codec, simhash, token_counts, toxicity, warc
 
 
 def queries() -> dict:
@@ -17,8 +17,16 @@ def queries() -> dict:
         "op8_simhash": simhash.op8_simhash,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_secrets": secret_scan.op10_secrets,
+        "op11_divergence": divergence.op11_divergence,
+        "op13_manifest": manifest.op13_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup.SQL, "op5_warc": warc.SQL, "op9_decontaminate": decontaminate.SQL}
+    return {
+        "op2_line_dedup": line_dedup.SQL,
+        "op5_warc": warc.SQL,
+        "op9_decontaminate": decontaminate.SQL,
+        "op11_divergence": divergence.SQL,
+        "op13_manifest": manifest.SQL,
+    }
