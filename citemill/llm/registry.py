@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, divergence, language, line_dedup, manifest, quality, secret_scan, sentencepiece_codec, simhash, token_counts, toxicity, warc
+from . import decontaminate, divergence, language, line_dedup, main_text, manifest, quality, secret_scan, sentencepiece_codec, simhash, token_counts, toxicity, warc
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_secrets": secret_scan.op10_secrets,
         "op11_divergence": divergence.op11_divergence,
+        "op12_main_text": main_text.op12_main_text,
         "op13_manifest": manifest.op13_manifest,
     }
 
