@@ -53,22 +53,24 @@ def backfill(main: DataFrame, other: DataFrame) -> DataFrame:
     return joined.select(*[new.get(c, F.col(c)) for c in main.columns], filled.alias("filled"))
 
 
-def reconcile_names(main: DataFrame, other: DataFrame) -> DataFrame:
-    """main with last_name and fore_name from other (same pmid and position) where main took a given name into the surname, and reconciled.
+def prefers_other(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """Whether a took a given name into the surname, and b's names are the better ones: the initials agree, b's surname is shorter and ends a's, and b's fore name begins with a's."""
+    key = {f"{side}{c}": text.token(F.coalesce(cols[c], F.lit(""))) for side, cols in (("a_", a), ("b_", b)) for c in ("last_name", "fore_name")}
+    words = lambda c: F.size(F.filter(F.split(F.coalesce(c, F.lit("")), "[^A-Za-z0-9]+"), lambda w: w != ""))
+    return (
+        (short_name(a) != "") & (short_name(a) == short_name(b)) & (key["b_last_name"] != "")
+        & (words(a["last_name"]) > words(b["last_name"])) & key["a_last_name"].endswith(key["b_last_name"])
+        & (key["a_fore_name"] != "") & (key["b_fore_name"] != "") & key["b_fore_name"].startswith(key["a_fore_name"])
+    )
 
-    So if the initials agree, other's surname is shorter and ends main's, and other's fore name begins with main's.
-    """
+
+def reconcile_names(main: DataFrame, other: DataFrame) -> DataFrame:
+    """main with last_name and fore_name from other (same pmid and position) where prefers_other says so, and reconciled."""
     names = ("last_name", "fore_name", "initials")
     side = other.select(F.col("pmid").alias("o_pmid"), F.col("position").alias("o_position"), *[F.col(c).alias(f"o_{c}") for c in names])
     joined = main.join(side, (F.col("pmid") == F.col("o_pmid")) & (F.col("position") == F.col("o_position")), "left")
     a, b = {c: F.col(c) for c in names}, {c: F.col(f"o_{c}") for c in names}
-    key = {f"{side_}{c}": text.token(F.coalesce(cols[c], F.lit(""))) for side_, cols in (("a_", a), ("b_", b)) for c in ("last_name", "fore_name")}
-    words = lambda c: F.size(F.filter(F.split(F.coalesce(c, F.lit("")), "[^A-Za-z0-9]+"), lambda w: w != ""))
-    better = (
-        F.col("o_pmid").isNotNull() & (short_name(a) != "") & (short_name(a) == short_name(b)) & (key["b_last_name"] != "")
-        & (words(a["last_name"]) > words(b["last_name"])) & key["a_last_name"].endswith(key["b_last_name"])
-        & (key["a_fore_name"] != "") & (key["b_fore_name"] != "") & key["b_fore_name"].startswith(key["a_fore_name"])
-    )
+    better = F.col("o_pmid").isNotNull() & prefers_other(a, b)
     new = {c: F.when(better, b[c]).otherwise(a[c]).alias(c) for c in ("last_name", "fore_name")}
     return joined.select(*[new.get(c, F.col(c)) for c in main.columns], better.alias("reconciled"))
 
