@@ -31,9 +31,9 @@ def _nodes(root) -> Iterator[tuple[str, str, object]]:
         path, key, value = waiting.pop()
         yield path, key, value
         if isinstance(value, dict):
-            waiting += [(f"{path}/{i:06d}", k, v) for i, (k, v) in enumerate(value.items())]
+            waiting += [(f"{path}/{i:012d}", k, v) for i, (k, v) in enumerate(value.items())]
         elif isinstance(value, list):
-            waiting += [(f"{path}/{i:06d}", key, v) for i, v in enumerate(value)]
+            waiting += [(f"{path}/{i:012d}", key, v) for i, v in enumerate(value)]
 
 
 def _walked(payloads: DataFrame, pick: Callable[[str, str, object], Iterator[tuple]], fields: str) -> DataFrame:
@@ -102,6 +102,6 @@ def external_ids(spark: SparkSession, payloads: DataFrame) -> DataFrame:
             yield _at(value, "external-id-type").strip().lower(), own
 
     found = _walked(payloads, pick, "type string, value string")
-    kind = F.when(F.col("type") == "doi", "doi").when(F.col("type").isin("pmid", "pubmed"), "pmid").when(F.col("type").isin("pmc", "pmcid"), "pmcid")
+    kind = F.when(F.col("type") == "doi", "doi").when(F.col("type").isin("pmid", "pubmed", "pubmed-id"), "pmid").when(F.col("type").isin("pmc", "pmcid", "pmc-id", "pubmed-central", "pubmed-central-id"), "pmcid")
     value = F.when(kind == "doi", text.record_doi(F.col("value"))).when(kind == "pmid", text.pmid(F.col("value"))).otherwise(text.pmcid(F.col("value")))
     return found.select("id", kind.alias("kind"), value.alias("value")).where("kind IS NOT NULL AND value <> ''").distinct()

@@ -176,6 +176,42 @@ def unparsable(documents: DataFrame) -> DataFrame:
     return documents.select("document").mapInArrow(run, "document string, error string")
 
 
+def split_articles(answers: DataFrame) -> DataFrame:
+    """pmcid, document and error of answers (ids, document, error): each article of a document as one of its own, with the identifier it answers.
+
+    ids are numbers joined by commas. An article without an identifier takes the one at its place where there are as many articles as ids,
+    else it is left out. An answer that cannot be read, or has an error, gives a row with the error for each of its ids.
+    """
+    ship(answers.sparkSession)
+
+    def articles(ids: list[str], document: str | None, error: str | None) -> Iterator[tuple[str | None, ...]]:
+        try:
+            root = ET.fromstring(document or "<none/>")
+        except ET.ParseError as e:
+            error = error or f"ParseError: {e}"
+        if error:
+            yield from ((i, None, error) for i in ids)
+            return
+        found = [root] if _name(root) == "article" else _all(root, "article")
+        for k, article in enumerate(found):
+            own = next((t for n in article.iter() if _name(n) == "article-id" and n.get("pub-id-type", "").strip().lower() in ("pmc", "pmcid") and (t := _pmcid(_text(n)))), "")
+            if pmcid := own or (ids[k] if len(found) == len(ids) else ""):
+                yield pmcid, ET.tostring(article, encoding="unicode"), None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, document, error in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                rows = list(articles([_pmcid(i) for i in (ids or "").split(",")], document, error))
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], ["pmcid", "document", "error"])
+
+    return answers.select("ids", "document", "error").mapInArrow(run, "pmcid string, document string, error string")
+
+
+def _pmcid(value: str) -> str:
+    raw = re.sub("[^A-Za-z0-9]+", "", value).upper()
+    return f"PMC{raw}" if raw.isdigit() else raw
+
+
 def pubmed(documents: DataFrame) -> DataFrame:
     """Citations of PubMed article sets (document): dates parsed, types distinct without regard to case, DOI without prefix."""
     found = _parsed(documents, pubmed_articles, PUBMED)
