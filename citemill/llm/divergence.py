@@ -1,8 +1,8 @@
 """Source divergence audit: how far the vocabulary of each source lies from the others of its language.
 
-Plain relational steps. Regular-expression matches are exploded to (lang, source, term) and counted with map-side partial
-sums; one flag a term and document, set at its first place in the document's sorted terms, gives document counts in the
-same pass. Each language keeps the terms of at least LEAST documents. Every (lang, source) group is crossed with the kept
+Plain relational steps. The matches of a regular expression (taken as the pieces between the matches of its complement: extracting
+them one by one takes time that grows with the square of a text's length) are exploded to (lang, source, term) and counted with
+map-side partial sums; the first of equal terms in a document's sorted list counts the document in the same pass. Each language keeps the terms of at least LEAST documents. Every (lang, source) group is crossed with the kept
 vocabulary of its language, so that absent terms count zero; the cross is an equi-join on the language and a deal of the
 terms over the tasks, so no language lands in one task. The dense table, joined to itself on (lang, term), gives each
 ordered pair of sources a sum; windows rank sources and terms in each group. Its work is the vocabulary times the square
@@ -26,15 +26,18 @@ from .common import lowered, pinned, table, written
 
 #: Documents that a kept term occurs in at least; parts of a whole; ranks of terms that are reported.
 LEAST, SCALE, TOP = 3, 1_000_000_000, 200
-TERM = "[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+#: What stands between terms.
+BETWEEN = "[\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, c (occurrences) and docs (documents it occurs in) over all rows of docs (lang, source, text)."""
-    found = F.array_sort(F.regexp_extract_all(lowered(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0)))
-    sorted_ = pinned(docs.select("lang", "source", found.alias("terms")))
-    flagged = F.transform("terms", lambda t, i: F.struct(t.alias("term"), F.when(t.eqNullSafe(F.get("terms", i - 1)), 0).otherwise(1).alias("first")))
-    return sorted_.select("lang", "source", F.explode(flagged).alias("x")).groupBy("lang", "source", "x.term").agg(F.count("*").alias("c"), F.sum("x.first").alias("docs"))
+    text = F.coalesce("text", F.lit(""))
+    lower = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(lowered(text))  # the first is faster, for ASCII alone
+    listed = pinned(docs.select("lang", "source", F.sort_array(F.array_remove(F.split(lower, BETWEEN), "")).alias("terms"))).where(F.size("terms") > 0)
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("terms", 1, F.size("terms") - 1))
+    each = listed.select("lang", "source", F.explode(F.arrays_zip(F.col("terms").alias("term"), before.alias("before"))).alias("x"))
+    return each.groupBy("lang", "source", "x.term").agg(F.count("*").alias("c"), F.sum(F.when(F.col("x.term") == F.col("x.before"), 0).otherwise(1)).alias("docs"))
 
 
 def _share(count: str, whole: str, v: str):
@@ -65,7 +68,11 @@ def divergence(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame
     groups, dense = shares(docs, least)
     far = lambda p, q: F.expr(f"({p} - {q}) * ({p} - {q}) div {q}")
     other = dense.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("p2"))
-    sums = dense.select("lang", "term", "source", "p").join(other, ["lang", "term"]).where("source <> item").groupBy("lang", "source", "item").agg(F.sum(far("p", "p2")).alias("value"))
+    # Each two sources meet once a term and give both directions.
+    met = dense.select("lang", "term", "source", "p").join(other, ["lang", "term"]).where("source < item")
+    both = met.groupBy("lang", "source", "item").agg(F.sum(far("p", "p2")).alias("there"), F.sum(far("p2", "p")).alias("back"))
+    ways = F.array(F.struct("source", "item", F.col("there").alias("value")), F.struct(F.col("item").alias("source"), F.col("source").alias("item"), F.col("back").alias("value")))
+    sums = both.select("lang", F.explode(ways).alias("w")).select("lang", "w.*")
     bare = groups.where("v = 0")  # pairs of languages that keep no term
     zeros = bare.select("lang", "source").join(bare.select("lang", F.col("source").alias("item")), "lang").where("source <> item").select("lang", "source", "item", F.lit(0).cast("long").alias("value"))
     terms = dense.where("c > 0 and p > q").select("lang", "source", F.col("term").alias("item"), far("p", "q").alias("value"))
