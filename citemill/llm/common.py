@@ -1,14 +1,12 @@
-"""What the corpus operators share: reading tables, cutting lineage, words and text keys."""
+"""What the corpus operators share: reading tables, kept tables, words and text keys, joins on keys."""
 
 from __future__ import annotations
 
-import math
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import clean_up, new_place, shared_dir, written  # noqa: F401
+
 #: White space that separates words; everything else belongs to a word.
 SPACES = "[\\x20\\x09-\\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -19,53 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; where none is set, a temporary one on a local master and an error on a cluster."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        context = spark.sparkContext
-        found = context.getCheckpointDir()
-        if not found:
-            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="citemill-checkpoint-"))
-            found = context.getCheckpointDir()
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder, so that lost executors cost no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder, for loops: unlike settled(df), it has its true size and not one estimated from all steps before, which doubles in digits from join to join."""
-    path = new_place(df.sparkSession, "table")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def new_place(spark: SparkSession, kind: str) -> str:
-    """A new path in the shared folder, which clean_up deletes."""
-    _written.append(f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}")
-    return _written[-1]
-
-
-#: Places written to by this application; results may still read them.
-_written: list[str] = []
-
-
-def clean_up(spark: SparkSession) -> None:
-    """Deletes what this application wrote to the shared folder. Call it when all results have been stored elsewhere."""
-    for path in _written:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    _written.clear()
-
-
 def lowered(text: Column) -> Column:
     """text with A to Z in lower case; other letters stay as they are."""
     return F.translate(text, UPPER, LOWER)
@@ -81,22 +32,10 @@ def pinned(df: DataFrame) -> DataFrame:
     return df.select(F.explode(F.array(F.struct("*"))).alias("pinned")).select("pinned.*")
 
 
-#: Shares into which spread_join cuts its rows: a key with more than one share is dealt over several tasks.
-SHARES = 1000
-
-
-def spread_join(left: DataFrame, right: DataFrame, key: str, weight: str, how: str = "inner") -> DataFrame:
-    """left and right joined on column key (how: inner or left); right has each key once and in weight the number of its rows in left.
+def keyed_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """left and right joined on column key, which right has once for each value (how: inner or left).
 
-    A key that holds more than 1/SHARES of left is dealt over as many tasks as it holds shares, and its row in right
-    repeated for each. There are fewer than SHARES such keys, whatever the data, so their list is broadcast.
+    A key that holds many of left's rows is split by adaptive execution, along the map tasks that its rows come from, whether
+    they differ or not. A small right is broadcast by Spark, which knows its size where it comes from written.
     """
-    total = right.agg(F.sum(weight)).first()[0] or 0
-    share = max(1, math.ceil(total / SHARES))
-    parts = F.ceil(F.col(weight) / share).cast("int")
-    one = right.where(F.col(weight) <= share).limit(1)  # with it, the plan is the same where no key is heavy
-    heavy = F.broadcast(right.where(F.col(weight) > share).union(one).select(F.col(key).alias("_heavy"), parts.alias("_parts")))
-    dealt = left.join(heavy, F.col(key) == F.col("_heavy"), "left").withColumn("_part", F.pmod(F.xxhash64(*left.columns), F.coalesce("_parts", F.lit(1))).cast("int"))
-    copies = right.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))).withColumnRenamed(key, "_key")
-    joined = dealt.join(copies, (F.col(key) == F.col("_key")) & (F.col("_part") == F.col("_copy")), how)
-    return joined.drop("_heavy", "_parts", "_part", "_copy", "_key")
+    return left.join(right.withColumnRenamed(key, "_key"), F.col(key) == F.col("_key"), how).drop("_key")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread_join, written
+from .common import keyed_join, written
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -22,7 +22,7 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """One step: neighbours of each node are linked to the smallest node of the star instead."""
     seen = _both(edges) if large else edges
     least = seen.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("c"))
-    joined = spread_join(seen, least, "a", "c")
+    joined = keyed_join(seen, least, "a")
     if large:
         moved = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:

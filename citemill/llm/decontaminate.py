@@ -10,7 +10,9 @@ sketch hash that the text contains is always seen, however long the text. A tiny
 cut of its own partition alone. A text and an item that meet in a partition on a sketch hash are a
 candidate pair; a text holding the share 0.8 of an item escapes with chance
 (1 - 0.8) ** SKETCH, 3e-6, and never if the item has 35 shingles or fewer. Candidates are verified
-by the exact share of the item's distinct shingles that the text has.
+by the exact share of the item's distinct shingles that the text has: each shingle that a pair asks
+for is a row, which meets the text's own shingles in a join, so the work grows with the shingles asked
+for, and no text's or item's candidates are gathered in one row.
 
 Texts meet the sketches' keys where they are read: the different keys are broadcast, in blocks of
 at most about BLOCK, each block meeting all texts. Only texts with a candidate are shuffled.
@@ -29,7 +31,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lowered, pinned, settled, spread_join, table, words
+from .common import lowered, pinned, table, words, written
 
 WIDTH, SHARE, SKETCH = 5, 0.8, 8
 #: Sketch keys sent to every executor at a time (8 bytes each).
@@ -85,24 +87,24 @@ def _candidates(docs: DataFrame, sketches: DataFrame) -> DataFrame:
 
 def contained(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
     """doc_id, item_id, containment (a share of the item's distinct shingles) and th (hash of the text) of every match; docs has doc_id and text, items item_id and text."""
-    worded = pinned(items.select("item_id", words(lowered(F.col("text"))).alias("w"))).where(F.size("w") > 0)
-    units = settled(worded.groupBy("w").agg(F.collect_set(F.struct("item_id")).alias("ids")).select(F.xxhash64("w").alias("u"), "w", "ids"))
-    sketches = settled(_sketches(units, share))
-    texts = settled(_candidates(docs.select("doc_id", "text"), sketches))
-    hits = settled(texts.select("doc_id", "th", F.explode("keys").alias("key")))
-    owners = sketches.groupBy("key").agg(F.collect_set("u").alias("us")).withColumnRenamed("key", "of")
-    common = hits.groupBy("key").agg(F.count("*").alias("c")).join(owners, F.col("key") == F.col("of")).select("key", "c", "us")
-    pairs = settled(spread_join(hits, settled(common), "key", "c").select("doc_id", "th", F.explode("us").alias("u")).distinct())
-    asked = pairs.groupBy("u").agg(F.count("*").alias("c")).withColumnRenamed("u", "asked")
-    needed = units.join(asked, F.col("u") == F.col("asked")).select("u", "c", "ids", F.array_distinct(_shingles(F.col("w"))).alias("need"))
-    per_text = spread_join(pairs, settled(needed), "u", "c").groupBy(F.col("doc_id").alias("c_id"), F.col("th").alias("c_th")).agg(F.collect_list(F.struct("ids", "need")).alias("units"))
-    own = texts.join(per_text, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("th") == F.col("c_th")))
-    split = pinned(own.select("doc_id", "th", "units", words(lowered(F.col("text"))).alias("w")))
-    sets = pinned(split.select("doc_id", "th", "units", F.array_distinct(_shingles(F.col("w"))).alias("have")))
-    shares = F.transform("units", lambda x: F.struct(x["ids"].alias("ids"), (F.size(F.array_intersect("have", x["need"])) / F.size(x["need"])).alias("containment")))
-    exact = sets.select("doc_id", "th", F.explode(F.filter(shares, lambda x: x["containment"] >= share)).alias("m"))
-    named = exact.select("doc_id", "th", F.explode("m.ids").alias("id"), "m.containment")
-    return named.groupBy("doc_id", "th", F.col("id.item_id").alias("item_id")).agg(F.max("containment").alias("containment")).select("doc_id", "item_id", "containment", "th")
+    worded = pinned(items.select("item_id", words(lowered(F.col("text"))).alias("w"))).where(F.size("w") > 0).withColumn("u", F.xxhash64("w"))
+    members = written(worded.select("item_id", "u").distinct())
+    units = written(worded.groupBy("u").agg(F.first("w").alias("w")))
+    sketches = written(_sketches(units, share))
+    texts = written(_candidates(docs.select("doc_id", "text"), sketches))
+    hits = texts.select("doc_id", "th", F.explode("keys").alias("key"))
+    pairs = written(hits.join(sketches.select(F.col("key").alias("of"), "u"), F.col("key") == F.col("of")).select("doc_id", "th", "u").distinct())
+    # A row for each shingle that a text must have, one for each that it has of those that any must have: they meet and are counted.
+    asked = units.join(pairs.select("u").distinct(), "u", "left_semi").select("u", F.array_distinct(_shingles(F.col("w"))).alias("need"))
+    sizes = written(pinned(asked).select("u", F.size("need").alias("n"), F.explode("need").alias("s")))
+    sought = pairs.join(sizes.withColumnRenamed("u", "of"), F.col("u") == F.col("of")).drop("of")
+    split = pinned(texts.select("doc_id", "th", words(lowered(F.col("text"))).alias("w")))
+    had = split.select("doc_id", "th", F.explode(F.array_distinct(_shingles(F.col("w")))).alias("s")).join(sizes.select(F.col("s").alias("any")), F.col("s") == F.col("any"), "left_semi")
+    own = had.select(F.col("doc_id").alias("h_id"), F.col("th").alias("h_th"), F.col("s").alias("h_s"))
+    shared = sought.join(own, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("th") == F.col("h_th")) & (F.col("s") == F.col("h_s")))
+    exact = shared.groupBy("doc_id", "th", "u").agg((F.count("*") / F.max("n")).alias("containment")).where(F.col("containment") >= share)
+    named = exact.join(members.withColumnRenamed("u", "of"), F.col("u") == F.col("of"))
+    return named.groupBy("doc_id", "th", "item_id").agg(F.max("containment").alias("containment")).select("doc_id", "item_id", "containment", "th")
 
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pinned, spread_join, table, written
+from .common import keyed_join, pinned, table, written
 
 LONG, FINE = 50, 10
 #: Chunks on either side of a repeated one that may hold a passage's ends: the first line of a passage can end a chunk in one document and not in another.
@@ -67,7 +67,7 @@ def _stretches(lined: DataFrame) -> DataFrame:
     keys = F.transform("ends", lambda end, k: F.xxhash64(F.slice("v", start(k) + 1, end - start(k) + 1)))
     places = written(lined.select("doc_id", "th", F.posexplode(keys).alias("k", "chunk")))
     repeated = written(places.groupBy("chunk").agg(F.count("*").alias("c")).where("c > 1"))
-    own = spread_join(places, repeated, "chunk", "c").groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("k")).alias("ks"))
+    own = keyed_join(places, repeated, "chunk").groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("k")).alias("ks"))
     found = own.select(F.col("doc_id").alias("own"), F.col("th").alias("own_th"), "ks")
     joined = pinned(lined.join(found, F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("th") == F.col("own_th"))).drop("own", "own_th"))
     # Repeated chunks whose neighbours touch share a stretch.
@@ -101,7 +101,7 @@ def removals(docs: DataFrame) -> DataFrame:
     grouped = passages.groupBy("key").agg(F.count("*").alias("c"), F.min("doc_id").alias("first")).where("c > 1")
     doubtful = grouped.select("key", F.explode("key").alias("v")).join(_clashes(docs), F.col("v") == F.col("clash")).select(F.col("key").alias("bad")).distinct()
     repeated = written(grouped.join(doubtful, F.col("key") == F.col("bad"), "left_anti"))
-    hits = written(spread_join(passages, repeated, "key", "c"))
+    hits = written(keyed_join(passages, repeated, "key"))
     # Only the document that keeps a passage needs to know which of its places stays, so the many others meet no join.
     own = F.col("doc_id").eqNullSafe(F.col("first"))
     mine, place = hits.where(own), F.struct("th", "start")

@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, pinned, settled, table, words
+from .common import SPACES, pinned, table, words, written
 
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED = 50, 50
@@ -103,7 +103,7 @@ def quality(docs: DataFrame) -> DataFrame:
     """doc_id, the measures, votes, base_failed, posterior and kept of every row of docs (doc_id, text)."""
     votes = [f"vote_{r[0]}" for r in RULES]
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    measured = settled(measures(docs).select("*", *map(_vote, RULES), failed.alias("base_failed")))
+    measured = written(measures(docs).select("*", *map(_vote, RULES), failed.alias("base_failed")))
     counts = measured.where("NOT base_failed").groupBy(*votes).count().collect()  # at most 3 ** len(RULES) rows
     share, chances = fit({tuple(row[v] for v in votes): row["count"] for row in counts})
     odds = F.lit(math.log(share / (1 - share)))

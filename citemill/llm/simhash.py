@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..runtime import ship
-from .common import lowered, pinned, settled, spread_join, table, words, written
+from .common import keyed_join, lowered, pinned, table, words, written
 from .components import components
 
 BANDS, ROWS = 24, 5
@@ -128,8 +128,8 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     """doc_id, th (hash of the text), fp and component_id (the smallest doc_id reachable over links) of every row of docs (doc_id, text)."""
-    rows = settled(fingerprints(docs, width))
-    classes = settled(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")))
+    rows = written(fingerprints(docs, width))
+    classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")))
     return _named(rows, classes, components(links(classes.select("fp"), radius)), "fp").select("doc_id", "th", "fp", "component_id")
 
 
@@ -137,7 +137,7 @@ def _named(rows: DataFrame, classes: DataFrame, found: DataFrame, key: str) -> D
     """rows with component_id, by their class (key, first: its smallest doc_id, c: its rows) and the class's component (node, root); copies may be many, and are dealt out."""
     rooted = classes.join(found, F.col(key) == F.col("node"), "left").select(key, "first", "c", F.coalesce("root", key).alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
-    return spread_join(rows, settled(spread_join(rooted, settled(least), "root", "n").select(key, "component_id", "c")), key, "c")
+    return keyed_join(rows, written(keyed_join(rooted, written(least), "root").select(key, "component_id", "c")), key)
 
 
 def one_of_each(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
@@ -164,19 +164,19 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(same, np.uint64).view(np.int64)), points], ["doc_id", "th", "same", "points"])
 
     hashed = docs.selectExpr("cast(doc_id as long) doc_id", "xxhash64(text) th", "text")
-    rows = settled(hashed.mapInArrow(run, "doc_id long, th long, same long, points array<long>"))
+    rows = written(hashed.mapInArrow(run, "doc_id long, th long, same long, points array<long>"))
     # Texts of the same words are one class, which has one of them (the smallest hash) compared.
-    classes = settled(rows.groupBy("same").agg(F.min("doc_id").alias("first"), F.min("th").alias("shown"), F.first("points").alias("points"), F.count("*").alias("c")))
+    classes = written(rows.groupBy("same").agg(F.min("doc_id").alias("first"), F.min("th").alias("shown"), F.first("points").alias("points"), F.count("*").alias("c")))
     return _named(rows, classes, _linked(docs, classes, width, least), "same").select("doc_id", "th", "component_id")
 
 
 def _meetings(classes: DataFrame) -> DataFrame:
     """point, same, c (classes at the point) and pop (how many others a class meets, over all its points) of every class at a point with others."""
     points = classes.select("same", F.explode("points").alias("point"))
-    shared = settled(points.groupBy("point").agg(F.count("*").alias("c")).where("c > 1"))
-    met = settled(spread_join(points, shared, "point", "c").select("point", "same", "c"))
+    shared = written(points.groupBy("point").agg(F.count("*").alias("c")).where("c > 1"))
+    met = written(keyed_join(points, shared, "point").select("point", "same", "c"))
     popular = met.groupBy("same").agg(F.sum("c").alias("pop")).withColumnRenamed("same", "own")
-    return settled(met.join(popular, met.same == popular.own).drop("own"))
+    return written(met.join(popular, met.same == popular.own).drop("own"))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -195,16 +195,16 @@ def _linked(docs: DataFrame, classes: DataFrame, width: int, least: float) -> Da
 
     def links(pairs: DataFrame) -> DataFrame:
         """Those of pairs (a, b) whose texts are alike."""
-        of = lambda side: written(pairs.groupBy(side).agg(F.count("*").alias("c")).join(sets, F.col(side) == F.col("same")).select(side, "c", F.col("has").alias(f"has_{side}")))
-        one = spread_join(pairs, of("a"), "a", "c").drop("c")
-        both = spread_join(one, of("b"), "b", "c")
+        of = lambda side: written(pairs.select(side).distinct().join(sets, F.col(side) == F.col("same")).select(side, F.col("has").alias(f"has_{side}")))
+        one = keyed_join(pairs, of("a"), "a")
+        both = keyed_join(one, of("b"), "b")
         shared, total = F.size(F.array_intersect("has_a", "has_b")), F.size("has_a") + F.size("has_b")
         return written(both.select("a", "b", shared.alias("n"), total.alias("total")).where(F.col("n") >= F.lit(least) * (F.col("total") - F.col("n"))).select("a", "b"))
 
     def star(rows: DataFrame) -> DataFrame:
         """Every class at a point with the point's most popular one; rows has point, same and pop."""
-        centres = rows.groupBy("point").agg(F.max(F.struct("pop", "same")).alias("top"), F.count("*").alias("c")).select("point", "c", F.col("top.same").alias("other"))
-        return spread_join(rows.select("point", "same"), written(centres), "point", "c").select("same", "other")
+        centres = rows.groupBy("point").agg(F.max(F.struct("pop", "same")).alias("top")).select("point", F.col("top.same").alias("other"))
+        return keyed_join(rows.select("point", "same"), written(centres), "point").select("same", "other")
 
     near = met.withColumn("part", F.pmod(F.xxhash64("same"), F.ceil(F.col("c") / NEAR)))
     firsts = near.groupBy("point", "part").agg(F.min("same").alias("other"))
@@ -212,8 +212,8 @@ def _linked(docs: DataFrame, classes: DataFrame, width: int, least: float) -> Da
     found = links(tested)
     roots = written(components(found)).withColumnRenamed("node", "own")
     placed = met.join(roots, met.same == roots.own, "left").select("point", "same", F.coalesce("root", "same").alias("root"))
-    open_ = placed.groupBy("point").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("c")).where("low <> high")
-    left = spread_join(placed, written(open_.select("point", "c")), "point", "c").select("same", "root").distinct()
+    open_ = placed.groupBy("point").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    left = keyed_join(placed, written(open_.select("point")), "point").select("same", "root").distinct()
     pairs = _apart(written(left.join(sets, "same")), least)
     new = written(_ordered(pairs).join(tested, ["a", "b"], "left_anti"))
     return components(roots.select(F.col("own").alias("a"), F.col("root").alias("b")).union(links(new)))
@@ -228,7 +228,7 @@ def _apart(texts: DataFrame, least: float) -> DataFrame:
     """
     shingles = written(texts.select("same", F.explode("has").alias("h")))
     rarity = written(shingles.groupBy("h").agg(F.count("*").alias("c")))
-    ranked = spread_join(shingles, rarity, "h", "c").groupBy("same").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("hs"))
+    ranked = keyed_join(shingles, rarity, "h").groupBy("same").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("hs"))
     n = F.size("hs")
     begun = ranked.select("same", F.posexplode(F.slice("hs", 1, n - F.ceil(n * least - 1e-9).cast("int") + 1)).alias("at", "x")).where("x.c > 1")
     marked = written(texts.select("same", "root", "has").mapInArrow(_parities, "same long, root long, n int, bits array<long>"))

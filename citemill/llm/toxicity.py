@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..runtime import ship
-from .common import settled, table
+from .common import table, written
 
 BITS = 22
 #: PRIOR: size of the prior as a share of the labelled tokens.
@@ -283,12 +283,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     found = signatures(of(chosen.groupBy("doc_id", "fold").agg(F.max("toxic").alias("toxic"))))
     for k in ("k0", "k1", "k2"):
         found = found.groupBy(k).agg(F.min(F.struct("doc_id", "fold", "toxic", "k0", "k1", "k2")).alias("one")).select("one.*")
-    marks = settled(found.select("doc_id", "fold", "toxic"))
+    marks = written(found.select("doc_id", "fold", "toxic"))
 
     def sample(condition: str) -> DataFrame:
         return of(marks.where(condition)).select("text", (F.col("toxic") > 0).alias("toxic"))
 
-    model = Model(weights(settled(labelled_counts(sample("fold <> 4"))), docs))
+    model = Model(weights(written(labelled_counts(sample("fold <> 4"))), docs))
     rows = sample("fold = 4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

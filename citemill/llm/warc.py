@@ -8,8 +8,11 @@ Equality and IN predicates on record_type, uri, date, digest, record_id, content
 columns are pushed down: a record's header block is parsed first, and the payload of a record that
 fails them is neither decoded nor, where its lengths are known (gzip extra field `sl`, or an
 uncompressed file), read. Spark cannot push predicates on values of the map `headers`. Option
-payload=false leaves all payloads out. Written files are listed in _manifest.json when the write
-commits; readers go by it, so files of failed or repeated tasks are never read. A record that ends
+payload=false leaves all payloads out. Every write has a mark of its own, which is part of its files' names,
+and lists its files in _manifest-<mark>.json when it commits. Readers take the files that the manifests of
+their own folder list, and all files with other names, so writes can be appended and stand beside
+foreign files, while files of failed, repeated or unfinished tasks are never read. Mode overwrite
+replaces what the folder held, subfolders too, when the new files are complete. A record that ends
 before its length, or a member that ends too soon, raises an error.
 
 Headers: names as in WARC 1.1; those of Names below become columns, all are in `headers`. Line
@@ -23,6 +26,7 @@ that many pages share is dealt over several tasks.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -36,12 +40,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
 from ..runtime import ship
-from .common import new_place, settled, spread_join, table
+from .common import keyed_join, new_place, table, written
 
 SCHEMA = "record_type string, record_id string, uri string, date string, digest string, content_type string, headers map<string,string>, payload binary"
 NAMES = {"record_type": "warc-type", "record_id": "warc-record-id", "uri": "warc-target-uri", "date": "warc-date", "digest": "warc-payload-digest", "content_type": "content-type"}
 #: Bytes after which a task starts another file; bytes between places where readers may start.
 FILE_BYTES, SPLIT_BYTES = 256 << 20, 4 << 20
+#: Names of files that this source writes and of the lists of them: part-<mark of the write>-<number of the file>.warc.gz.
+OWN, MANIFEST = re.compile(r"part-[0-9a-f]{32}-[0-9a-f]{32}\.warc\.gz"), re.compile(r"_manifest-[0-9a-f]{32}\.json")
 
 
 def _place(path: str) -> tuple[fs.FileSystem, str]:
@@ -196,10 +202,15 @@ class WarcReader(DataSourceReader):
         system, path = _place(self.path)
         found = system.get_file_info(fs.FileSelector(path, recursive=True)) if system.get_file_info(path).type == fs.FileType.Directory else [system.get_file_info(path)]
         sizes = {f.path: f.size for f in found if f.is_file and f.path.endswith((".warc", ".warc.gz"))}
-        starts = {p: [0] for p in sizes}
-        if listed := [f.path for f in found if f.base_name == "_manifest.json"]:
-            known = {f"{p.rpartition('/')[0]}/{n}": places for p in listed for n, places in json.loads(system.open_input_stream(p).read()).items()}
-            starts = {p: known[p] for p in sizes if p in known}
+        # A path of one file: its folder's manifests are not asked, it is read as it is.
+        starts = {p: [0] for p in sizes if len(found) == 1 or not OWN.fullmatch(p.rpartition("/")[2])}
+        for f in found:
+            if MANIFEST.fullmatch(f.base_name):
+                folder = f.path.rpartition("/")[0]
+                listed = json.loads(system.open_input_stream(f.path).read())
+                if lost := [n for n in listed if f"{folder}/{n}" not in sizes]:
+                    raise FileNotFoundError(f"{folder}: {lost[0]} and {len(lost) - 1} more files that were written are gone")
+                starts |= {f"{folder}/{n}": places for n, places in listed.items()}
         pieces = [(p, a, b) for p, places in starts.items() for a, b in zip(places, [*places[1:], sizes[p]], strict=True)]
         result: list[Pieces] = []
         held = self.per_partition
@@ -260,8 +271,8 @@ class Written(WriterCommitMessage):
 class WarcWriter(DataSourceArrowWriter):
     """Writes rows of headers (array of structs k, v) and block (binary)."""
 
-    def __init__(self, options: dict):
-        self.path = options["path"]
+    def __init__(self, options: dict, overwrite: bool = False):
+        self.path, self.overwrite, self.mark = options["path"], overwrite, uuid.uuid4().hex
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, path = _place(self.path)
@@ -273,7 +284,7 @@ class WarcWriter(DataSourceArrowWriter):
                 if out is None or size > FILE_BYTES:
                     if out is not None:
                         out.close()
-                    name, places = f"part-{uuid.uuid4().hex}.warc.gz", [0]
+                    name, places = f"part-{self.mark}-{uuid.uuid4().hex}.warc.gz", [0]
                     found[name] = places
                     out, size = system.open_output_stream(f"{path}/{name}", compression=None), 0
                 if size - places[-1] > SPLIT_BYTES:
@@ -289,8 +300,11 @@ class WarcWriter(DataSourceArrowWriter):
         system, path = _place(self.path)
         system.create_dir(path)
         found = {n: places for m in messages if m is not None for n, places in m.places.items()}
-        with system.open_output_stream(f"{path}/_manifest.json") as out:
+        old = [f for f in system.get_file_info(fs.FileSelector(path)) if self.mark not in f.base_name] if self.overwrite else []
+        with system.open_output_stream(f"{path}/_manifest-{self.mark}.json") as out:
             out.write(json.dumps(found).encode())
+        for f in sorted(old, key=lambda f: not MANIFEST.fullmatch(f.base_name)):  # lists go before the files they name
+            (system.delete_file if f.is_file else system.delete_dir)(f.path)
 
     def abort(self, messages: list[Written | None]) -> None:
         system, path = _place(self.path)
@@ -310,7 +324,7 @@ class WarcSource(DataSource):
         return WarcReader(self.options)
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options)
+        return WarcWriter(self.options, overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -326,15 +340,15 @@ def base32_sha1(data: Column) -> Column:
     return F.translate(F.upper(F.concat(*map(four, range(8)))), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def archive(pages: DataFrame, path: str, least: int = 0) -> None:
-    """Writes a record for every row of pages (page_id, url, html) to path; payloads of at least so many bytes are written once."""
+def archive(pages: DataFrame, path: str, least: int = 0, mode: str = "append") -> None:
+    """Writes a record for every row of pages (page_id, url, html) to path; payloads of at least so many bytes are written once a call."""
     spark = pages.sparkSession
     register(spark)
     body = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("body"))
     sized = body.withColumn("digest", base32_sha1(F.col("body"))).withColumn("size", F.length("body"))
     keyed = sized.withColumn("same", F.concat_ws(":", "digest", F.col("size").cast("string")))
     firsts = keyed.where(F.col("size") >= least).groupBy("same").agg(F.min("page_id").alias("first"), F.count("*").alias("c")).where("c > 1")
-    named = spread_join(keyed, settled(firsts), "same", "c", "left")
+    named = keyed_join(keyed, written(firsts), "same", "left")
     again = F.col("c").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     text = lambda c: c.cast("string")
     header = lambda k, v: F.struct(F.lit(k).alias("k"), text(v).alias("v"))
@@ -352,7 +366,7 @@ def archive(pages: DataFrame, path: str, least: int = 0) -> None:
     )
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), text(F.col("size")), F.lit("\r\n\r\n")).cast("binary")
     block = F.when(again, http).otherwise(F.concat(http, F.col("body")))
-    named.select(headers.alias("headers"), block.alias("block")).write.format("warc").mode("append").save(path)
+    named.select(headers.alias("headers"), block.alias("block")).write.format("warc").mode(mode).save(path)
 
 
 def read(spark: SparkSession, path: str, **options: str) -> DataFrame:

@@ -270,3 +270,25 @@ def test_items_and_texts_of_odd_kinds(spark):
     items = spark.createDataFrame([(1, "P q r s t u", 5), (1, "nothing like it at all", 5), (2, "p q r s t u", 5), (2, "p q r s t u", 5), (3, long, 5)], "item_id long, text string, doc_id int")
     got = sorted((r.doc_id or 0, r.item_id, r.containment) for r in decontaminate.contained(docs, items).collect())
     assert got == [(0, 1, 1.0), (0, 2, 1.0), (1, 1, 1.0), (1, 2, 1.0), (1, 3, 1.0), (2, 1, 1.0), (2, 2, 1.0)]
+
+
+def test_a_text_of_thousands_of_items(spark):
+    import time
+
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(3000)]
+    made = [" ".join(rng.choices(words, k=30)) for _ in range(4000)]
+    docs = spark.createDataFrame([(1, "\n".join(made)), (2, "\n".join(made[:40])), (3, " ".join(rng.choices(words, k=500)))], "doc_id long, text string")
+    items = spark.createDataFrame(list(enumerate([*made, made[0]])), "item_id long, text string")
+    began = time.time()
+    found = {(r.doc_id, r.item_id, r.containment) for r in decontaminate.contained(docs, items).collect()}
+    assert found == {(1, i, 1.0) for i in range(4001)} | {(2, i, 1.0) for i in [*range(40), 4000]}
+    assert time.time() - began < 40
+
+
+def test_a_phrase_and_an_item_that_many_share(spark):
+    """Many equal items, and many texts with a phrase that many items hold, give every match and no more."""
+    same = "the very same words of one item that stands here many times over"
+    docs = spark.createDataFrame([(k, f"{same} and number {k}") for k in range(300)] + [(1000, "the very same words of nothing else")], "doc_id long, text string")
+    items = spark.createDataFrame([(k, same) for k in range(50)], "item_id long, text string")
+    assert decontaminate.contained(docs, items).count() == 300 * 50

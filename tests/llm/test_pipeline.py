@@ -2,7 +2,7 @@ import os
 
 import corpus_pipeline as P
 import pytest
-from citemill.llm import common
+from citemill.llm import common, simhash
 from pyspark.sql import functions as F
 
 
@@ -45,18 +45,42 @@ def test_empty_tables(spark, tables, tmp_path):
 
 
 def test_clean_up(spark):
-    table = common.written(spark.range(5))
-    path = common._written[-1]
-    assert table.count() == 5 and os.path.isdir(path.removeprefix("file:"))
+    places = vars(spark).setdefault("_citemill_places", [])
+    kept = common.written(spark.range(5))
+    path = places[-1]
+    assert kept.count() == 5 and os.path.isdir(path.removeprefix("file:"))
+    common.clean_up(spark.newSession())  # another session's tables are its own
+    assert kept.count() == 5
     common.clean_up(spark)
-    assert not os.path.exists(path.removeprefix("file:")) and not common._written
+    assert not os.path.exists(path.removeprefix("file:")) and "_citemill_places" not in vars(spark)
 
 
-def test_hot_keys_are_dealt_out(spark, monkeypatch):
-    monkeypatch.setattr(common, "SHARES", 8)
-    left = spark.range(1000).selectExpr("if(id % 3 > 0, 7, id) k", "id v")
-    right = left.groupBy("k").agg(F.count("*").alias("c")).where("k <> 3")
-    got = sorted(map(tuple, common.spread_join(left, right, "k", "c").select("k", "v", "c").collect()))
-    assert got == sorted((r.k, r.v, {7: 666}.get(r.k, 1)) for r in left.where("k <> 3").collect())
-    assert common.spread_join(left, right, "k", "c", "left").count() == 1000
-    assert common.spread_join(left, right.where("false"), "k", "c").count() == 0
+def test_operators_leave_nothing_after_clean_up(spark):
+    docs = spark.createDataFrame([(k, f"some words of text number {k % 3} and more of them") for k in range(9)], "doc_id long, text string")
+    common.clean_up(spark)
+    root = common.shared_dir(spark).removeprefix("file:")
+    before = {d for d, _, files in os.walk(root) if files}
+    assert simhash.near_duplicates(docs).count() == simhash.near_copies(docs).count() == 9
+    assert {d for d, _, files in os.walk(root) if files} - before
+    common.clean_up(spark)
+    assert {d for d, _, files in os.walk(root) if files} <= before
+
+
+def test_hot_keys_are_split(spark):
+    """A key with most rows, all equal, is read by several tasks."""
+    names = ("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")
+    before = {n: spark.conf.get(n) for n in names}
+    for n, v in zip(names, ("10k", "10k", "-1", "16"), strict=True):
+        spark.conf.set(n, v)
+    try:
+        left = common.written(spark.range(0, 200_000, 1, 8).selectExpr("if(id % 3 > 0, 7, id % 1000) k", "'x' v"))
+        right = common.written(left.groupBy("k").agg(F.count("*").alias("c")).where("k <> 3"))
+        joined = common.keyed_join(left, right, "k")
+        sizes = joined.groupBy(F.spark_partition_id()).count().collect()
+        plan = joined.rdd.getNumPartitions()
+        assert plan > 16 or max(r["count"] for r in sizes) < 100_000
+        assert joined.count() == left.where("k <> 3").count() and common.keyed_join(left, right, "k", "left").count() == 200_000
+        assert common.keyed_join(left, right.where("false"), "k").count() == 0
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)

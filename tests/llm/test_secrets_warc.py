@@ -176,3 +176,32 @@ def test_empty_table(spark, tmp_path):
     path = str(tmp_path / "none")
     W.archive(spark.createDataFrame([], "page_id long, url string, html string"), path)
     assert W.read(spark, path).count() == 0
+
+
+def test_appended_foreign_and_replaced_archives(spark, tmp_path):
+    import shutil
+
+    pages = lambda *ids: spark.createDataFrame([(i, "u", f"page {i}") for i in ids], "page_id long, url string, html string")
+    ids = lambda path: sorted(int(r.x_page_id) for r in W.read(spark, path, headers="x-page-id").collect())
+    top = str(tmp_path / "top")
+    W.archive(pages(1, 2), f"{top}/sub")
+    W.archive(pages(3), f"{top}/sub")
+    assert ids(f"{top}/sub") == [1, 2, 3]
+    (tmp_path / "top/other").mkdir()
+    (tmp_path / "top/other/foreign.warc.gz").write_bytes(gzip.compress(W.record([("WARC-Type", "response"), ("X-Page-Id", "9")], b"x")))
+    shutil.copy(tmp_path / "top/other/foreign.warc.gz", tmp_path / "top/sub/beside.warc.gz")
+    assert ids(top) == [1, 2, 3, 9, 9]
+    # What a failed task left is not read; what a manifest lists and is gone is an error.
+    (tmp_path / f"top/sub/part-{'a' * 32}-{'b' * 32}.warc.gz").write_bytes(b"half a fi")
+    assert ids(top) == [1, 2, 3, 9, 9]
+    W.archive(pages(5), f"{top}/sub", mode="overwrite")
+    assert ids(top) == [5, 9] and len(list((tmp_path / "top/sub").glob("*.warc.gz"))) == 1
+    next((tmp_path / "top/sub").glob("*.warc.gz")).unlink()
+    with pytest.raises(Exception, match="are gone"):
+        ids(top)
+
+
+def test_one_page_repeated_very_often(spark, tmp_path):
+    spark.range(20_000).selectExpr("cast(1 as long) page_id", "'u' url", "'same' html").write.parquet(str(tmp_path / "pages.parquet"))
+    found = W.op5_warc(spark, str(tmp_path))
+    assert found.where("record_type = 'response' AND refers_to IS NULL").count() == 20_000
