@@ -40,9 +40,11 @@ def term_counts(docs: DataFrame) -> DataFrame:
     return each.groupBy("lang", "source", "x.term").agg(F.count("*").alias("c"), F.sum(F.when(F.col("x.term") == F.col("x.before"), 0).otherwise(1)).alias("docs"))
 
 
-def _share(count: str, whole: str, v: str):
-    """1 + floor(SCALE * (count + 1) / (whole + v)), exact."""
-    return F.expr(f"1 + (cast({count} + 1 as decimal(20,0)) * cast({SCALE} as decimal(10,0))) div greatest(cast({whole} + {v} as decimal(20,0)), 1)")
+def _share(count: str, base: str):
+    """1 + floor(SCALE * (count + 1) / base), exact: in longs where the product fits, else in decimals."""
+    small = f"{SCALE} * ({count} + 1L) div {base}"
+    large = f"cast({count} + 1L as decimal(20,0)) * cast({SCALE} as decimal(10,0)) div cast({base} as decimal(20,0))"
+    return F.expr(f"1L + if({count} < {(1 << 63) // SCALE - 1}L, {small}, {large})")
 
 
 def shares(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -51,15 +53,16 @@ def shares(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     counts = written(term_counts(docs))
     vocab = written(counts.groupBy("lang", "term").agg(F.sum("c").alias("all"), F.sum("docs").alias("docs")).where(F.col("docs") >= least).select("lang", "term", "all"))
-    sizes = vocab.groupBy("lang").agg(F.count("*").alias("v"), F.sum("all").alias("whole"))
+    sizes = written(vocab.groupBy("lang").agg(F.count("*").alias("v"), F.sum("all").alias("whole")))
     kept = counts.join(vocab.select("lang", "term"), ["lang", "term"], "left_semi").select("lang", "source", "term", "c")
     own = kept.groupBy("lang", "source").agg(F.sum("c").alias("n"))
-    zero = {"n": 0, "v": 0, "whole": 0}
-    groups = written(docs.select("lang", "source").distinct().join(own, ["lang", "source"], "left").join(sizes, "lang", "left").fillna(zero))
+    groups = written(docs.select("lang", "source").distinct().join(own, ["lang", "source"], "left").join(sizes, "lang", "left").fillna({"n": 0, "v": 0}))
     deal = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = groups.where("v > 0").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(deal - 1))))
-    cross = vocab.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(deal)).cast("int")).join(dealt, ["lang", "part"])
-    dense = cross.join(kept, ["lang", "term", "source"], "left").fillna(0, "c").select("lang", "source", "term", "c", _share("c", "n", "v").alias("p"), _share("all", "whole", "v").alias("q"))
+    dealt = groups.where("v > 0").select("lang", "source", (F.col("n") + F.col("v")).alias("base"), F.explode(F.sequence(F.lit(0), F.lit(deal - 1))).alias("part"))
+    whole = sizes.select("lang", (F.col("whole") + F.col("v")).alias("base"))
+    terms = vocab.join(whole, "lang").select("lang", "term", _share("all", "base").alias("q"), F.pmod(F.xxhash64("term"), F.lit(deal)).cast("int").alias("part"))
+    cross = terms.join(dealt, ["lang", "part"]).drop("part")
+    dense = cross.join(kept, ["lang", "term", "source"], "left").fillna(0, "c").select("lang", "source", "term", "c", _share("c", "base").alias("p"), "q")
     return groups, written(dense)
 
 

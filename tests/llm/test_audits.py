@@ -51,8 +51,9 @@ def test_divergence_equals_plain_python(spark):
 
 
 def test_divergence_shares_do_not_overflow(spark):
-    row = spark.createDataFrame([(9 * 10**17, 10**18, 10**6)], "c long, n long, v long")
-    assert row.select(D._share("c", "n", "v")).first()[0] == 1 + 10**9 * (9 * 10**17 + 1) // (10**18 + 10**6)
+    counts = [0, 7, 9 * 10**9, 2**63 // 10**9 - 2, 2**63 // 10**9 - 1, 2**63 // 10**9, 9 * 10**17]
+    row = spark.createDataFrame([(c, 10**18 + 10**6) for c in counts] + [(c, c + 3) for c in counts], "c long, base long")
+    assert all(p == 1 + 10**9 * (c + 1) // base for c, base, p in row.select("c", "base", D._share("c", "base")).collect())
 
 
 H = lambda *x: hashlib.sha256("".join(x).encode()).hexdigest()
