@@ -62,7 +62,8 @@ def shares(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     whole = sizes.select("lang", (F.col("whole") + F.col("v")).alias("base"))
     terms = vocab.join(whole, "lang").select("lang", "term", _share("all", "base").alias("q"), F.pmod(F.xxhash64("term"), F.lit(deal)).cast("int").alias("part"))
     cross = terms.join(dealt, ["lang", "part"]).drop("part")
-    dense = cross.join(kept, ["lang", "term", "source"], "left").fillna(0, "c").select("lang", "source", "term", "c", _share("c", "base").alias("p"), "q")
+    # Keys are unique here, and meet a row for each source below: partitions are even, and hashing spares sorting the dense rows.
+    dense = cross.join(kept.hint("shuffle_hash"), ["lang", "term", "source"], "left").fillna(0, "c").select("lang", "source", "term", "c", _share("c", "base").alias("p"), "q")
     return groups, written(dense)
 
 
@@ -70,9 +71,10 @@ def divergence(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame
     """lang, source, part (pair or term), item, value and rank of every row of the audit of docs (lang, source, text)."""
     groups, dense = shares(docs, least)
     far = lambda p, q: F.expr(f"({p} - {q}) * ({p} - {q}) div {q}")
-    other = dense.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("p2"))
+    side = dense.select("lang", "term", "source", "p")
     # Each two sources meet once a term and give both directions.
-    met = dense.select("lang", "term", "source", "p").join(other, ["lang", "term"]).where("source < item")
+    one, two = side.alias("one"), side.alias("two").hint("shuffle_hash")
+    met = one.join(two, F.expr("one.lang = two.lang AND one.term = two.term AND one.source < two.source")).selectExpr("one.lang", "one.source", "two.source AS item", "one.p", "two.p AS p2")
     both = met.groupBy("lang", "source", "item").agg(F.sum(far("p", "p2")).alias("there"), F.sum(far("p2", "p")).alias("back"))
     ways = F.array(F.struct("source", "item", F.col("there").alias("value")), F.struct(F.col("item").alias("source"), F.col("source").alias("item"), F.col("back").alias("value")))
     sums = both.select("lang", F.explode(ways).alias("w")).select("lang", "w.*")
