@@ -7,9 +7,9 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text
+from . import ranking
 
 #: Publication types left out by default, in their order (fixed values).
 EXCLUDED_TYPES = (
@@ -126,12 +126,8 @@ def analysis_rows(cites: DataFrame, found: DataFrame, selected: DataFrame, start
 
 
 def report_order(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """rows with idx, their place in the report: known years first, latest first, then journal without regard to case, then input order.
-
-    The index is global, so one task numbers the rows of a report (one person's citations); by splits reports.
-    """
-    order = [F.col("print_year").isNull(), F.desc("print_year"), F.lower("journal"), "ord"]
-    return rows.withColumn("idx", (F.row_number().over(Window.partitionBy(*(by or (F.lit(0),))).orderBy(*order)) - 1).cast("long"))
+    """rows with idx, their place in the report: known years first, latest first, then journal without regard to case, then input order; by splits reports. Rows come out kept (ranking.numbered)."""
+    return ranking.numbered(rows, by, [F.col("print_year").isNull(), F.desc("print_year"), F.lower("journal"), F.col("ord")])
 
 
 def summary(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

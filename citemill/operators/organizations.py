@@ -14,6 +14,8 @@ from ..runtime import ship
 
 LEVELS = ("possible", "contains", "likely", "verified")
 LEAST_KEY, LEAST_RATIO = 10, 0.9
+#: What signatures are made of.
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
 
 
 def identifier_matches(cites: DataFrame, record: DataFrame) -> DataFrame:
@@ -47,6 +49,17 @@ def phrases(affiliation: Column) -> Column:
     return F.filter(every, lambda x, i: F.array_position(lowered, F.lower(x)) == i + 1)
 
 
+def letter_counts(signature: Column) -> Column:
+    """How often each letter of LETTERS stands in a signature."""
+    return F.array(*[F.length(signature) - F.length(F.replace(signature, F.lit(c), F.lit(""))) for c in LETTERS])
+
+
+def most_alike(a: Column, b: Column, counts_a: Column, counts_b: Column) -> Column:
+    """The highest ratio that two signatures can have: matching blocks hold no letter more often than either of them."""
+    shared = F.aggregate(F.zip_with(counts_a, counts_b, lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x)
+    return 2 * shared / (F.length(a) + F.length(b))
+
+
 def similarity(left: Column, right: Column) -> Column:
     """Ratio of matching blocks (not an edit distance)."""
 
@@ -57,26 +70,33 @@ def similarity(left: Column, right: Column) -> Column:
     return ratio(left, right)
 
 
+def possibly_alike(pairs: DataFrame) -> DataFrame:
+    """Those of pairs (inst_signature, inst_letters, o_signature, o_letters) that can reach LEAST_RATIO by their lengths and letters; exact, in the JVM."""
+    a, b = F.length("inst_signature"), F.length("o_signature")
+    near = pairs.where((F.col("inst_signature") != "") & (2 * F.least(a, b) >= LEAST_RATIO * (a + b)))
+    return near.where(most_alike(F.col("inst_signature"), F.col("o_signature"), F.col("inst_letters"), F.col("o_letters")) >= LEAST_RATIO)
+
+
 def candidates(names: DataFrame, orgs: DataFrame) -> DataFrame:
     """Matches of different names (name) with organizations: tier (key, contains or similar), ratio (of signatures, where only similar) and the organization.
 
     All tiers but the first need a shared distinctive word, so candidates meet on words: an equi-join, never every pair.
-    Ratios are taken only where the lengths allow LEAST_RATIO at all; names less alike are left out.
+    Ratios are taken in Python, only where lengths and letters allow LEAST_RATIO at all; names less alike are left out.
     """
     ship(names.sparkSession)
     keys = names.select("name", text.institution_key(F.col("name")).alias("inst_key"), text.organization_signature(F.col("name")).alias("inst_signature"), text.distinctive_tokens(F.col("name")).alias("words"))
     # Keys and words cost many replacements each: they are computed once a name, not once a use.
-    keyed = keys.select(F.explode(F.array(F.struct("*"))).alias("k")).select("k.*").where("inst_key <> ''")
+    pinned = lambda df: df.select(F.explode(F.array(F.struct("*"))).alias("k")).select("k.*")
+    keyed = pinned(pinned(keys).withColumn("inst_letters", letter_counts(F.col("inst_signature")))).where("inst_key <> ''")
     owned = orgs.select(*[F.col(c).alias(f"o_{c}") for c in ("ord", "name", "key", "signature", "identifier")])
-    worded = owned.withColumn("o_words", text.distinctive_tokens(F.col("o_name"))).select(F.explode(F.array(F.struct("*"))).alias("k")).select("k.*")
+    worded = pinned(owned.withColumn("o_words", text.distinctive_tokens(F.col("o_name"))).withColumn("o_letters", letter_counts(F.col("o_signature"))))
     exact = keyed.join(owned, F.col("inst_key") == F.col("o_key")).select("name", *owned.columns, F.lit("key").alias("tier"), F.lit(None).cast("double").alias("ratio"))
     left, right = keyed.withColumn("word", F.explode("words")), worded.withColumn("o_word", F.explode("o_words"))
     met = left.join(right, (F.col("word") == F.col("o_word")) & (F.col("inst_key") != F.col("o_key"))).dropDuplicates(["name", "o_ord"])
     inside = (F.length("o_key") >= LEAST_KEY) & (F.contains("inst_key", "o_key") | F.contains("o_key", "inst_key"))
     tiered = met.withColumn("tier", F.when(inside, "contains").otherwise("similar"))
     contains = tiered.where("tier = 'contains'").select("name", *owned.columns, "tier", F.lit(None).cast("double").alias("ratio"))
-    a, b = F.length("inst_signature"), F.length("o_signature")
-    near = tiered.where((F.col("tier") == "similar") & (F.col("inst_signature") != "") & (2 * F.least(a, b) >= LEAST_RATIO * (a + b)))
+    near = possibly_alike(tiered.where("tier = 'similar'"))
     alike = near.withColumn("ratio", similarity(F.col("inst_signature"), F.col("o_signature"))).where(F.col("ratio") >= LEAST_RATIO)
     return exact.union(contains).union(alike.select("name", *owned.columns, "tier", "ratio"))
 

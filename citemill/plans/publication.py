@@ -8,30 +8,27 @@ from pyspark.sql.window import Window
 
 from ..functions import names
 from ..operators import analysis, identity, organizations, records, review
+from ..runtime import written
 from ..sources import bibliography as view
 
 FULL, SHORT = names.parse_target("Red Brand17"), names.parse_target("Brand17 R")
 KNOWN = names.parse_target("Red Brand17", orcid="0000-0000-0000-0007")
 START, END = 1996, 2000
 TERMS = ("preprint",)
-
-
-#: The mentions that are kept now.
-_kept: list[DataFrame] = []
+#: Twenty letters made from a key, and an institute named by them; both engines read them.
+WORDS = "substr(translate(md5(CAST({} AS STRING)), '0123456789', 'ghijklmnop'), 1, 20)"
+INSTITUTE = "'Institute of ' || substr(w, 1, 10) || ' ' || substr(w, 11, 10)"
+SPELLED = "'Institute of ' || substr(w, 1, 10) || ' ' || CASE s_suppkey % 3 WHEN 0 THEN substr(w, 11, 10) WHEN 1 THEN substr(w, 11, 4) || substr(w, 16, 5) ELSE substr(w, 19, 2) END"
 
 
 def _mentions(spark: SparkSession, sf_dir: str, target: names.Target) -> DataFrame:
-    """Mentions of one target with merged clusters; a block's text is its institution. Kept, as one report reads them several times, until the next report."""
+    """Mentions of one target with merged clusters; a block's text is its institution. They are few beside the authors, and kept as a table, as one report reads them several times."""
     found = identity.mentions(view.authors(spark, sf_dir), F.broadcast(identity.targets(spark, {"t": target})))  # one target
-    own = identity.with_cluster(found.withColumn("institutions", F.col("blocks"))).persist()
-    while _kept:
-        _kept.pop().unpersist()
-    _kept.append(own)
-    return identity.merged(own)
+    return identity.merged(written(identity.with_cluster(found.withColumn("institutions", F.col("blocks")))))
 
 
 def _cites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view.with_author_count(view.citations(spark, sf_dir), view.authors(spark, sf_dir))
+    return view.with_author_count(view.citations(spark, sf_dir), view.author_places(spark, sf_dir))
 
 
 def _eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,10 +216,11 @@ def org_exact_contains_match(spark, sf_dir):
 
 
 def org_similarity_match(spark, sf_dir):
-    n = view.read(spark, sf_dir, "nation")
-    near = n.select(F.col("n_nationkey").cast("string").alias("id"), F.lit(0).alias("affiliation_ord"), F.col("n_name").alias("affiliation"), F.lit(0).alias("name_ord"), F.concat(F.lit("National Acadmy of "), "n_name").alias("name"))
-    orgs = organizations.organizations(n.select(F.col("n_nationkey").alias("ord"), F.concat(F.lit("National Academy of "), "n_name").alias("name"), F.lit("us").alias("country"), F.lit("").alias("identifier")))
-    return organizations.affiliation_matches(near, orgs)
+    """Suppliers' institutes of two made-up words each: as the record spells them, with a letter missing, or with most of a word missing."""
+    s = view.read(spark, sf_dir, "supplier").select("s_suppkey", F.expr(WORDS.format("s_suppkey")).alias("w"))
+    orgs = organizations.organizations(s.select(F.col("s_suppkey").alias("ord"), F.expr(INSTITUTE).alias("name"), F.lit("us").alias("country"), F.lit("").alias("identifier")))
+    names = s.select(F.col("s_suppkey").cast("string").alias("id"), F.lit(0).alias("affiliation_ord"), F.expr(INSTITUTE).alias("affiliation"), F.lit(0).alias("name_ord"), F.expr(SPELLED).alias("name"))
+    return organizations.affiliation_matches(names, orgs).select("id", "level", "institution", "label")
 
 
 def analysis_rows(spark, sf_dir):

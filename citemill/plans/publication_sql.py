@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sources.bibliography import VIEW_SQL
-from .publication import END, START
+from .publication import END, INSTITUTE, START, WORDS
 
 TOKEN = "regexp_replace(lower({}), '[^a-z0-9]+', '', 'g')"
 BLOCKS = "list_filter(list_transform(string_split_regex(affiliation, '[;|]+'), lambda x: trim(x)), lambda x: x <> '')"
@@ -135,6 +135,9 @@ SQL = {
     "orcid_identifier_match": f"""{V}, d AS (SELECT doi FROM citations WHERE ord % 7 = 0), k AS (
       SELECT pmid, concat_ws(',', CASE WHEN doi IN (SELECT doi FROM d) THEN 'doi' END, CASE WHEN pmcid IS NOT NULL AND ord % 13 = 0 THEN 'pmcid' END, CASE WHEN ord % 11 = 0 THEN 'pmid' END) AS kinds FROM citations)
       SELECT * FROM k WHERE kinds <> ''""",
+    "org_similarity_match": f"""WITH s AS (SELECT s_suppkey AS k, {WORDS.format('s_suppkey')} AS w FROM supplier), n AS (SELECT k, {INSTITUTE} AS name FROM s)
+      SELECT k::VARCHAR AS id, CASE k % 3 WHEN 0 THEN 'likely' ELSE 'possible' END AS level, name AS institution,
+        CASE k % 3 WHEN 0 THEN 'institution match (' ELSE 'name similarity (' END || name || ')' AS label FROM n WHERE k % 3 <> 2""",
     "org_exact_contains_match": f"""{V}, o AS (SELECT n_nationkey AS i, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'Royal ' || n_name || ' Academy' END AS name FROM nation),
       ok AS (SELECT *, {TOKEN.format('name')} AS key FROM o),
       p AS (SELECT pmid || ':' || position AS id, {TOKEN.format("split_part(affiliation, ';', 1)")} AS key FROM authors WHERE affiliation <> ''),
