@@ -9,9 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import assembly
+from ..operators import assembly, identity, review
+from ..operators.counts import RunCounts
+from ..runtime import written
 from ..sources import bibliography as view
+from ..sources import workbook
 from ..sources import xml_records as X
+from . import publication, publication_sql, scalars
 from .documents import ARTICLE, KEY
 
 TEXT_LAST = "CASE WHEN ord % 5 = 0 THEN ' ' WHEN ord % 4 = 0 THEN split_part(fore_name, ' ', 2) || ' ' || last_name ELSE last_name END"
@@ -64,7 +68,27 @@ def xml_assembly(spark, sf_dir):
     return _shown(assembly.citations(cites.select("pmid", "doi", "authors"), ids, articles))
 
 
-QUERIES = {f.__name__: f for f in (citation_assembly, xml_assembly)}
+def run_counts(spark, sf_dir):
+    """The counts of one run: citations, authors, matches, clusters and changed affiliations, taken from the tables as the run reads them."""
+    counts = RunCounts()
+    authors = counts.of("authors", view.authors(spark, sf_dir))
+    found = identity.mentions(authors, F.broadcast(identity.targets(spark, {"t": publication.SHORT})))  # one target
+    matches = written(counts.of("matches", identity.with_cluster(found.withColumn("institutions", F.col("blocks")))))
+    written(counts.of("clusters", identity.clusters(identity.merged(matches), counts.of("citations", view.citations(spark, sf_dir)))))
+    written(counts.of("changed affiliations", scalars.cleaned(spark, sf_dir), F.col("changed")).select("pmid", "position", "affiliation"))
+    return spark.createDataFrame(sorted(counts.get().items()), "name string, n long")
+
+
+def report_workbook(spark, sf_dir):
+    """Rows, cells and links of a report's workbook."""
+    c = view.citations(spark, sf_dir)
+    cites = c.select("pmid", "pmcid", "doi", F.concat(F.lit("Order <"), "pmid", F.lit(">")).alias("title"), "journal", F.col("print_year").alias("print_date"), F.lit("A B").alias("authors"), "publication_types")
+    found = workbook.workbook_rows(review.report(publication.target_rows(spark, sf_dir)), cites)
+    links = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: F.coalesce(F.try_element_at("links", k), F.lit("-"))), " ")
+    return found.select("row", F.array_join("cells", "|").alias("cells"), links.alias("links"))
+
+
+QUERIES = {f.__name__: f for f in (citation_assembly, xml_assembly, run_counts, report_workbook)}
 
 _ONE = "concat_ws('|', position::VARCHAR, last_name, fore_name, initials, blocks, orcid)"
 SQL = {
@@ -105,4 +129,13 @@ SQL = {
         CASE WHEN NOT have THEN '2|Last' || k || '|Ada Bo|AB|' || lab || '|' || CASE WHEN k % 4 = 0 THEN '0000-0001-2345-678X' ELSE '' END || ' / 3|Next|Cy||' || lab || '|'
           ELSE '1|Group||||' || ' / 2|Last' || k || '|Ada Bo|AB|' || lab || '|' || CASE WHEN k % 6 = 0 AND k % 4 = 0 THEN '0000-0001-2345-678X' ELSE '' END
             || ' / 3|Next|Cy|C|Hall of ' || p || '|' || CASE WHEN third THEN ' / 4|Third|Di|D||' ELSE '' END END AS authors FROM f""",
+    "run_counts": f"""SELECT 'citations' AS name, count(*) AS n FROM orders UNION ALL SELECT 'authors', count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)
+      UNION ALL SELECT 'matches', count(*) FROM ({publication_sql.SQL['match_author_initials']}) UNION ALL SELECT 'clusters', count(*) FROM ({publication_sql.SQL['clusters']})
+      UNION ALL SELECT 'changed affiliations', count(*) FILTER (changed) FROM ({scalars.SQL['affiliation_clean']})""",
+    "report_workbook": f"""WITH r AS ({publication_sql.SQL['report_rows']}), o AS (SELECT o_orderkey AS k, o_orderkey::VARCHAR AS pmid, o_orderpriority AS j, year(o_orderdate) AS y, o_orderkey % 2 = 0 AS p,
+        CASE o_orderstatus WHEN 'F' THEN 'Journal Article' WHEN 'O' THEN 'Review' WHEN 'P' THEN 'Preprint' END AS t FROM orders)
+      SELECT row_number() OVER (ORDER BY bucket, idx, pmid) + 1 AS row,
+        concat_ws('|', 'PMID ' || pmid || CASE WHEN p THEN ' | PMC' || pmid ELSE '' END, 'PubMed', CASE WHEN p THEN 'PMC' ELSE '' END, '10.1000/' || (k // 2), 'Order <' || pmid || '>', j, y::VARCHAR, 'A B', t, category) AS cells,
+        'https://pubmed.ncbi.nlm.nih.gov/' || pmid || '/ ' || CASE WHEN p THEN 'https://pmc.ncbi.nlm.nih.gov/articles/PMC' || pmid || '/' ELSE '-' END || ' https://doi.org/10.1000/' || (k // 2) AS links
+      FROM r JOIN o USING (pmid)""",
 }

@@ -35,23 +35,23 @@ def _eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.excluded_reason(_cites(spark, sf_dir), START, END, TERMS)
 
 
-def _rows(spark: SparkSession, sf_dir: str, target: names.Target = FULL) -> DataFrame:
+def target_rows(spark: SparkSession, sf_dir: str, target: names.Target = FULL) -> DataFrame:
     found = _mentions(spark, sf_dir, target)
     rows = analysis.analysis_rows(_cites(spark, sf_dir), found, found.select("target_id", "cluster_id"), START, END)
     return analysis.report_order(rows, ("target_id",))
 
 
 def flagship_publication_summary(spark, sf_dir):
-    return analysis.summary(_rows(spark, sf_dir))
+    return analysis.summary(target_rows(spark, sf_dir))
 
 
 def summary_line(spark, sf_dir):
-    rows = _rows(spark, sf_dir)
+    rows = target_rows(spark, sf_dir)
     return analysis.summary_line(analysis.summary(rows), analysis.journal_subtotals(rows), f"{START}-{END}")
 
 
 def journal_subtotals(spark, sf_dir):
-    return analysis.journal_subtotals(_rows(spark, sf_dir))
+    return analysis.journal_subtotals(target_rows(spark, sf_dir))
 
 
 def _match(target):
@@ -224,11 +224,11 @@ def org_similarity_match(spark, sf_dir):
 
 
 def analysis_rows(spark, sf_dir):
-    return _rows(spark, sf_dir, KNOWN).select("pmid", "idx", "include", "counted_overall", "counted_first", "counted_senior", "counted_review_senior", F.array_join("reasons", "; ").alias("reasons"), F.array_join("superseded_by", ",").alias("superseded_by"))
+    return target_rows(spark, sf_dir, KNOWN).select("pmid", "idx", "include", "counted_overall", "counted_first", "counted_senior", "counted_review_senior", F.array_join("reasons", "; ").alias("reasons"), F.array_join("superseded_by", ",").alias("superseded_by"))
 
 
 def uncertain_index(spark, sf_dir):
-    return _rows(spark, sf_dir).where(F.size("reasons") > 0).select("idx")
+    return target_rows(spark, sf_dir).where(F.size("reasons") > 0).select("idx")
 
 
 def citation_selection(spark, sf_dir):
@@ -258,16 +258,16 @@ FLAGS = ["pmid", "include", "counted_overall", "counted_first", "counted_senior"
 
 def corrections_report(spark, sf_dir):
     accepted = view.citations(spark, sf_dir).where("ord % 3 = 0").select("pmid")
-    return review.report_correct(_rows(spark, sf_dir), accepted, _corrections(spark, sf_dir)).select(*FLAGS)
+    return review.report_correct(target_rows(spark, sf_dir), accepted, _corrections(spark, sf_dir)).select(*FLAGS)
 
 
 def corrections_finalize(spark, sf_dir):
-    rows = _rows(spark, sf_dir)
+    rows = target_rows(spark, sf_dir)
     return review.finalize(rows, rows.where("idx % 2 = 0").select("idx"), _corrections(spark, sf_dir)).select(*FLAGS)
 
 
 def report_rows(spark, sf_dir):
-    return review.report(_rows(spark, sf_dir)).drop("target_id")
+    return review.report(target_rows(spark, sf_dir)).drop("target_id")
 
 
 QUERIES = {

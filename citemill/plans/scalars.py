@@ -81,11 +81,16 @@ def institution_resolution(spark, sf_dir):
     return resolve.resolve(b, resolve.seed_registry(spark)).select("block", F.array_join("institutions", " | ").alias("institutions"))
 
 
-def affiliation_clean(spark, sf_dir):
+def cleaned(spark, sf_dir):
+    """Authors with cleaned affiliations, to every second of which a reference mark was put before."""
     a = view.authors(spark, sf_dir)
     marked = F.when(F.col("position") % 2 == 0, F.concat(F.lit("[2] "), "affiliation")).otherwise(F.col("affiliation"))
     made = a.withColumn("affiliation", marked).withColumn("blocks", text.affiliation_blocks(F.col("affiliation")))
-    return affiliation.clean_affiliations(made).select("pmid", "position", "affiliation", "changed")
+    return affiliation.clean_affiliations(made)
+
+
+def affiliation_clean(spark, sf_dir):
+    return cleaned(spark, sf_dir).select("pmid", "position", "affiliation", "changed")
 
 
 def json_recursive_ids(spark, sf_dir):
