@@ -25,15 +25,15 @@ ARTICLE = f"""'<PubmedArticleSet><PubmedArticle><MedlineCitation><PMID>' || {KEY
   || '<PublicationTypeList><PublicationType>Review</PublicationType><PublicationType>' || CASE o_orderstatus WHEN 'F' THEN 'REVIEW' ELSE 'Letter' END || '</PublicationType></PublicationTypeList></Article>'
   || '<CommentsCorrectionsList><CommentsCorrections RefType="UpdateIn"><PMID>9' || {KEY} || '</PMID></CommentsCorrections><CommentsCorrections RefType="CommentIn"><PMID>7</PMID></CommentsCorrections></CommentsCorrectionsList>'
   || '</MedlineCitation></PubmedArticle></PubmedArticleSet>'"""
-FULL_TEXT = """'<pmc-articleset><article><front><article-meta><article-id pub-id-type="pmc">' || CAST(n_nationkey AS STRING) || '</article-id><contrib-group>'
+FULL_TEXT = """'<pmc-articleset><article><front><article-meta><article-id pub-id-type="pmc">' || CAST(s_suppkey AS STRING) || '</article-id><contrib-group>'
   || '<contrib contrib-type="author"><name><surname>One</surname><given-names>Ann</given-names></name><xref ref-type="aff" rid="a1"/></contrib>'
-  || '<contrib contrib-type="author"><name><surname>Two</surname><given-names>Bo Cy</given-names></name><xref ref-type="aff" rid="a' || CAST(n_nationkey % 2 + 1 AS STRING) || '"/></contrib>'
+  || '<contrib contrib-type="author"><name><surname>Two</surname><given-names>Bo Cy</given-names></name><xref ref-type="aff" rid="a' || CAST(s_suppkey % 2 + 1 AS STRING) || '"/></contrib>'
   || '<contrib contrib-type="editor"><name><surname>Ed</surname></name></contrib></contrib-group>'
-  || '<aff id="a1"><label>1</label>Dept of ' || n_name || '</aff><aff id="a2"><label>2</label>Lab of ' || n_name || '</aff></article-meta></front></article></pmc-articleset>'"""
+  || '<aff id="a1"><label>1</label>Dept of ' || s_name || '</aff><aff id="a2"><label>2</label>Lab of ' || s_name || '</aff></article-meta></front></article></pmc-articleset>'"""
 WORKS = f"""'{{"group":[{{"external-ids":{{"external-id":[{{"external-id-type":"DOI","external-id-value":"10.5/RAW' || {KEY} || '","external-id-normalized":{{"value":"'
   || CASE WHEN o_orderkey % 2 = 0 THEN 'https://doi.org/10.5/N' || {KEY} ELSE '' END || '"}}}},{{"external-id-type":"PubMed","external-id-value":"PMID ' || {KEY} || '"}},{{"external-id-type":"isbn","external-id-value":"1"}}]}}}}]}}'"""
-RECORD = """'{"a":[{"organization":{"name":" ' || n_name || ' Academy","address":{"country":"us"}}},{"deep":{"organization":{"name":"","address":{}}}},{"organization":{"name":"Lab","disambiguated-organization":{"disambiguated-organization-identifier":"R'
-  || CAST(n_nationkey AS STRING) || '"}}}]}'"""
+RECORD = """'{"a":[{"organization":{"name":" ' || s_name || ' Academy","address":{"country":"us"}}},{"deep":{"organization":{"name":"","address":{}}}},{"organization":{"name":"Lab","disambiguated-organization":{"disambiguated-organization-identifier":"R'
+  || CAST(s_suppkey AS STRING) || '"}}}]}'"""
 
 
 def _articles(spark, sf_dir):
@@ -50,7 +50,7 @@ def xml_authors(spark, sf_dir):
 
 
 def xml_contributors(spark, sf_dir):
-    found = X.pmc(view.read(spark, sf_dir, "nation").select(F.expr(FULL_TEXT).alias("document")))
+    found = X.pmc(view.read(spark, sf_dir, "supplier").select(F.expr(FULL_TEXT).alias("document")))
     return X.pmc_contributors(found).select("pmcid", "position", "last_name", "fore_name", "initials", "affiliation")
 
 
@@ -59,15 +59,15 @@ def json_external_ids(spark, sf_dir):
 
 
 def json_organizations(spark, sf_dir):
-    found = payloads.organizations(spark, view.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.expr(RECORD).alias("json")))
+    found = payloads.organizations(spark, view.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.expr(RECORD).alias("json")))
     return found.select("id", F.trim("name").alias("name"), "country", "identifier")
 
 
 def cluster_institution_levels(spark, sf_dir):
-    """The strongest level of each institution that a supplier's customers' nations name, with clusters made from regions."""
-    n = view.read(spark, sf_dir, "nation")
-    level = F.element_at(F.array(*map(F.lit, organizations.LEVELS)), (F.col("n_nationkey") * 7 % 4 + 1).cast("int"))
-    rows = n.select(F.col("n_regionkey").alias("cluster_id"), F.concat(F.lit("Academy "), F.substring("n_name", 1, 1)).alias("institution"), level.alias("level"), F.col("n_nationkey").alias("ord"))
+    """The strongest level of each institution that the suppliers of a nation name, each of which has one."""
+    p = view.read(spark, sf_dir, "supplier")
+    level = F.element_at(F.array(*map(F.lit, organizations.LEVELS)), (F.col("s_suppkey") * 7 % 4 + 1).cast("int"))
+    rows = p.select(F.col("s_nationkey").alias("cluster_id"), F.concat(F.lit("Academy "), (F.col("s_suppkey") % 11).cast("string")).alias("institution"), level.alias("level"), F.col("s_suppkey").alias("ord"))
     return organizations.cluster_levels(rows).select("cluster_id", "key", "name", "level")
 
 
@@ -88,7 +88,7 @@ SQL = {
       SELECT pmid, row_number() OVER (PARTITION BY pmid ORDER BY position)::INT AS author_ord, position::INT AS position, regexp_extract(a, '<LastName>([^<]*)', 1) AS last_name,
         regexp_extract(a, '<ForeName>([^<]*)', 1) AS fore_name, regexp_extract(a, '<Initials>([^<]*)', 1) AS initials, regexp_extract(a, '<Affiliation>([^<]*)', 1) AS affiliation,
         upper(regexp_extract(a, '\\d{{4}}-\\d{{4}}-\\d{{4}}-\\d{{3}}[\\dx]')) AS orcid FROM e WHERE NOT contains(a, 'CollectiveName')""",
-    "xml_contributors": f"""WITH d AS (SELECT {FULL_TEXT} AS x FROM nation), s AS (
+    "xml_contributors": f"""WITH d AS (SELECT {FULL_TEXT} AS x FROM supplier), s AS (
       SELECT x, 'PMC' || regexp_extract(x, '"pmc">(\\d+)', 1) AS pmcid, regexp_extract_all(x, '<contrib contrib-type="author">(.*?)</contrib>', 1) AS l FROM d),
       e AS (SELECT x, pmcid, unnest(l) AS c, generate_subscripts(l, 1) AS position FROM s)
       SELECT pmcid, position::INT AS position, regexp_extract(c, '<surname>([^<]*)', 1) AS last_name, regexp_extract(c, '<given-names>([^<]*)', 1) AS fore_name,
@@ -98,10 +98,10 @@ SQL = {
       e AS (SELECT id, unnest(json_extract(j, '$.group[*]."external-ids"."external-id"[*]')) AS x FROM d),
       v AS (SELECT id, lower(x ->> '$."external-id-type"') AS t, coalesce(nullif(x ->> '$."external-id-normalized".value', ''), x ->> '$."external-id-value"') AS v FROM e)
       SELECT id, CASE t WHEN 'doi' THEN 'doi' ELSE 'pmid' END AS kind, CASE t WHEN 'doi' THEN lower(replace(v, 'https://doi.org/', '')) ELSE regexp_replace(v, '\\D', '', 'g') END AS value FROM v WHERE t IN ('doi', 'pubmed')""",
-    "json_organizations": f"""WITH d AS (SELECT n_nationkey AS id, ({RECORD})::JSON AS j FROM nation), e AS (SELECT id, unnest(json_extract(j, '$.a[*].organization')) AS x FROM d)
+    "json_organizations": f"""WITH d AS (SELECT s_suppkey AS id, ({RECORD})::JSON AS j FROM supplier), e AS (SELECT id, unnest(json_extract(j, '$.a[*].organization')) AS x FROM d)
       SELECT id, trim(x ->> '$.name') AS name, coalesce(x ->> '$.address.country', '') AS country,
         coalesce(x ->> '$."disambiguated-organization"."disambiguated-organization-identifier"', '') AS identifier FROM e""",
-    "cluster_institution_levels": """WITH r AS (SELECT n_regionkey AS cluster_id, 'Academy ' || n_name[1] AS name, n_nationkey * 7 % 4 AS k, n_nationkey AS ord FROM nation)
+    "cluster_institution_levels": """WITH r AS (SELECT s_nationkey AS cluster_id, 'Academy ' || (s_suppkey % 11) AS name, s_suppkey * 7 % 4 AS k, s_suppkey AS ord FROM supplier)
       SELECT cluster_id, lower(replace(name, ' ', '')) AS key, name, ['possible', 'contains', 'likely', 'verified'][k + 1] AS level
       FROM r QUALIFY row_number() OVER (PARTITION BY cluster_id, name ORDER BY k DESC, ord) = 1""",
 }

@@ -15,6 +15,16 @@ UPPER = "regexp_replace(lower({}), '[^a-z0-9]+', '', 'g')"
 NOW = 1_706_686_400
 
 
+#: An institute and its identifiers made from a key, and a block that names it in the way that an order's key says (o).
+WORD = "translate(substr(md5(CAST({k} AS STRING)), {at}, 10), '0123456789', 'ghijklmnop')"
+MADE = (
+    f"named_struct('name', 'Institute of ' || {WORD.replace('{at}', '1')} || ' ' || {WORD.replace('{at}', '11')}, 'ror', '0' || substr(md5(CAST({{k}} AS STRING)), 5, 8), "
+    f"'grid', 'grid.' || CAST({{k}} AS STRING) || '.a1', 'domain', {WORD.replace('{at}', '1')} || '.edu')"
+)
+MADE_BLOCK = """CASE o % 6 WHEN 0 THEN 'Department of Arts, https://ror.org/' || ror || ', Boston' WHEN 1 THEN 'Unit 7, ' || upper(grid) WHEN 2 THEN 'Write to a.b@Mail.' || domain || ' only'
+  WHEN 3 THEN name || '; Athens, Greece' WHEN 4 THEN 'Room ' || CAST(o AS STRING) ELSE 'Unit, ' || name || '; ROR: ' || ror END"""
+
+
 def pmid_scan_distinct(spark, sf_dir):
     found = view.read(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.pmids_in(F.col("text"))).alias("ord", "pmid"))
     return found.select("doc_id", F.col("ord").cast("long"), "pmid")
@@ -61,11 +71,11 @@ def email_signals(spark, sf_dir):
 
 
 def _blocks(spark, sf_dir):
-    """Affiliations made from nations: a state university, a country or neither at the end."""
-    n = view.read(spark, sf_dir, "nation")
-    ends = F.element_at(F.array(*map(F.lit, ("Athens, Greece", "Atlanta, Georgia", "UK.", "Boston, MA, USA", "Pretoria, South Africa"))), F.col("n_nationkey") % 5 + 1)
-    heads = F.element_at(F.array(*map(F.lit, ("University of Maryland School of Medicine", "University of Missouri-Kansas City", "University of Ohio", "University of North Carolina Project Malawi"))), F.col("n_nationkey") % 4 + 1)
-    return n.select(F.col("n_nationkey").alias("id"), F.concat_ws(", ", heads, ends).alias("block"))
+    """An affiliation for every order: a state university, a country or neither at the end."""
+    o = view.read(spark, sf_dir, "orders")
+    ends = F.element_at(F.array(*map(F.lit, ("Athens, Greece", "Atlanta, Georgia", "UK.", "Boston, MA, USA", "Pretoria, South Africa"))), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    heads = F.element_at(F.array(*map(F.lit, ("University of Maryland School of Medicine", "University of Missouri-Kansas City", "University of Ohio", "University of North Carolina Project Malawi"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    return o.select(F.col("o_orderkey").alias("id"), F.concat_ws(", ", heads, ends).alias("block"))
 
 
 def geo_suffix(spark, sf_dir):
@@ -76,9 +86,20 @@ def state_university(spark, sf_dir):
     return _blocks(spark, sf_dir).select("id", institutions.state_label(F.col("block")).alias("label"))
 
 
+def _registry(spark, sf_dir):
+    """Every supplier's institute by ROR, GRID, e-mail domain and name."""
+    s = view.read(spark, sf_dir, "supplier").select(F.expr(MADE.format(k="s_suppkey")).alias("m")).select("m.*")
+    kinds = {"ror": "'https://ror.org/' || ror", "grid": "grid", "email": "domain", "text": "replace(lower(name), ' ', '')"}
+    each = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.expr(key).alias("key"), F.col("name").alias("canonical")) for kind, key in kinds.items()]))
+    return s.select(each.alias("r")).select("r.*")
+
+
 def institution_resolution(spark, sf_dir):
-    b = _blocks(spark, sf_dir).withColumn("context", F.array().cast("array<string>"))
-    return resolve.resolve(b, resolve.seed_registry(spark)).select("block", F.array_join("institutions", " | ").alias("institutions"))
+    """Affiliations that name a supplier's institute in five ways, or none, resolved by a registry of all suppliers."""
+    line = view.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").distinct()
+    made = line.select(F.col("l_orderkey").alias("o"), F.expr(MADE.format(k="l_suppkey")).alias("m")).select("o", "m.*")
+    b = made.select(F.expr(MADE_BLOCK).alias("block"), F.array().cast("array<string>").alias("context"))
+    return resolve.resolve(b, _registry(spark, sf_dir).union(resolve.seed_registry(spark))).select("block", F.array_join("institutions", " | ").alias("institutions"))
 
 
 def cleaned(spark, sf_dir):
@@ -137,7 +158,8 @@ QUERIES = {
     )
 }
 
-LABELS = "CASE n_nationkey % 4 WHEN 0 THEN 'University of Maryland School of Medicine' WHEN 1 THEN 'University of Missouri, Kansas City' WHEN 2 THEN 'University of Ohio' END"
+MADE_SQL = MADE.replace("named_struct(", "struct_pack(").replace("'name', ", "name := ").replace("'ror', ", "ror := ").replace("'grid', ", "grid := ").replace("'domain', ", "domain := ")
+LABELS = "CASE o_orderkey % 4 WHEN 0 THEN 'University of Maryland School of Medicine' WHEN 1 THEN 'University of Missouri, Kansas City' WHEN 2 THEN 'University of Ohio' END"
 JOBS = """WITH j AS (SELECT event_id AS id, user_id AS run, event_type AS author, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'completed' ELSE 'running' END AS status,
   epoch_us(ts) AS created_at FROM events), last AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY run ORDER BY created_at DESC, id DESC) = 1)"""
 SQL = {
@@ -152,8 +174,10 @@ SQL = {
     "pmcid_normalize": "SELECT o_orderkey::VARCHAR AS pmid, 'PMC' || o_orderkey AS pmcid, o_orderkey::VARCHAR AS number FROM orders",
     "year_parse": "SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 0 THEN year(o_orderdate)::INT END AS year FROM orders",
     "email_signals": "SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}'))) AS email FROM documents",
-    "geo_suffix": "SELECT n_nationkey AS id, CASE n_nationkey % 5 WHEN 0 THEN 'Greece' WHEN 2 THEN 'United Kingdom' WHEN 4 THEN 'South Africa' ELSE '' END AS country FROM nation",
-    "state_university": f"SELECT n_nationkey AS id, {LABELS} AS label FROM nation",
+    "geo_suffix": "SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'Greece' WHEN 2 THEN 'United Kingdom' WHEN 4 THEN 'South Africa' ELSE '' END AS country FROM orders",
+    "state_university": f"SELECT o_orderkey AS id, {LABELS} AS label FROM orders",
+    "institution_resolution": f"""WITH l AS (SELECT DISTINCT l_orderkey AS o, {MADE_SQL.format(k='l_suppkey')} AS m FROM lineitem), e AS (SELECT o, m.name AS name, m.ror AS ror, m.grid AS grid, m.domain AS domain FROM l)
+      SELECT DISTINCT {MADE_BLOCK} AS block, CASE o % 6 WHEN 3 THEN name || ', Greece' WHEN 4 THEN '' ELSE name END AS institutions FROM e""",
     "affiliation_clean": """WITH li AS (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) = 1)
       SELECT l_orderkey::VARCHAR AS pmid, l_linenumber AS position, CASE WHEN l_returnflag = 'N' AND l_discount = 0 THEN CASE WHEN l_linenumber % 2 = 0 THEN '[2]' ELSE '' END
         WHEN l_linestatus = 'F' THEN n_name || '; ' || r_name ELSE n_name END AS affiliation, l_linenumber % 2 = 0 AS changed
