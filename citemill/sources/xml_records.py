@@ -2,7 +2,7 @@
 
 Only the extraction from XML is imperative, one pass per document inside mapInArrow; what
 follows (shared affiliations, roles, affiliation choice) is DataFrame work on its typed output.
-Documents that are not well-formed give no rows.
+Documents that are not well-formed give no rows, or where errors are asked for a row with nothing but the error.
 """
 
 from __future__ import annotations
@@ -64,10 +64,7 @@ def _first(node: ET.Element | None, *names: str) -> str:
 
 
 def _roots(document: str, item: str) -> list[ET.Element]:
-    try:
-        root = ET.fromstring(document)
-    except ET.ParseError:
-        return []
+    root = ET.fromstring(document)
     return [root] if _name(root) == item else _all(root, item)
 
 
@@ -144,9 +141,9 @@ def pmc_articles(document: str) -> Iterator[dict]:
         yield {"pmcid": f"PMC{pmcid}" if pmcid.isdigit() else pmcid, "doi": ids.get("doi"), "contributors": rows, "affs_by_id": list(by_id.items()), "affs_by_label": list(by_label.items()), "notes": list(notes.items())}
 
 
-def _parsed(documents: DataFrame, parse: Callable[[str], Iterator[dict]], schema: str) -> DataFrame:
+def _parsed(documents: DataFrame, parse: Callable[[str], Iterator[dict]], schema: str, errors: bool) -> DataFrame:
     ship(documents.sparkSession)
-    fields = T._parse_datatype_string(schema)
+    fields = T._parse_datatype_string(f"{schema}, error string" if errors else schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -154,7 +151,11 @@ def _parsed(documents: DataFrame, parse: Callable[[str], Iterator[dict]], schema
         wanted = to_arrow_schema(fields)
         for batch in batches:
             for document in batch.column(0):
-                if rows := list(parse(document.as_py() or "")):
+                try:
+                    rows = list(parse(document.as_py() or ""))
+                except ET.ParseError as e:
+                    rows = [{"error": str(e)}] if errors else []
+                if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=wanted)
 
     return documents.select("document").mapInArrow(run, fields)
@@ -212,9 +213,9 @@ def _pmcid(value: str) -> str:
     return f"PMC{raw}" if raw.isdigit() else raw
 
 
-def pubmed(documents: DataFrame) -> DataFrame:
+def pubmed(documents: DataFrame, errors: bool = False) -> DataFrame:
     """Citations of PubMed article sets (document): dates parsed, types distinct without regard to case, DOI without prefix."""
-    found = _parsed(documents, pubmed_articles, PUBMED)
+    found = _parsed(documents, pubmed_articles, PUBMED, errors)
     low = F.transform("publication_types", lambda t: F.lower(t))
     types = F.filter("publication_types", lambda t, i: F.array_position(low, F.lower(t)) == i + 1)
     return found.withColumns({"publication_types": types, "print_year": text.year(F.col("print_date")), "doi": F.nullif(text.parsed_doi(F.col("doi")), F.lit(""))})
@@ -226,8 +227,8 @@ def pubmed_authors(citations: DataFrame) -> DataFrame:
     return each.withColumns({"orcid": text.orcid(F.col("orcid")), "affiliation": F.array_join("blocks", "; ")})
 
 
-def pmc(documents: DataFrame) -> DataFrame:
-    return _parsed(documents, pmc_articles, PMC).withColumn("doi", F.nullif(text.parsed_doi(F.col("doi")), F.lit("")))
+def pmc(documents: DataFrame, errors: bool = False) -> DataFrame:
+    return _parsed(documents, pmc_articles, PMC, errors).withColumn("doi", F.nullif(text.parsed_doi(F.col("doi")), F.lit("")))
 
 
 def _says(note: Column, phrases: tuple[str, ...]) -> Column:

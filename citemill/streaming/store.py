@@ -32,7 +32,13 @@ def save_run(spark: SparkSession, root: str, run_id: str, tables: dict[str, Data
 
 
 def load_run(spark: SparkSession, root: str, run_id: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{run_id}/{name}.parquet")
+    """A table of a run; while its folder is being replaced, or if that was cut short, the version that was moved aside."""
+    files, path = _file_system(spark, root)
+    place = path(f"{root}/{run_id}")
+    if not files.exists(place):
+        old = files.globStatus(path(f"{root}/.{run_id}-*-old")) or []
+        place = max(old, key=lambda f: f.getModificationTime()).getPath() if len(old) else place
+    return spark.read.parquet(f"{place}/{name}.parquet")
 
 
 def delete_runs(spark: SparkSession, root: str, run_ids: list[str]) -> None:

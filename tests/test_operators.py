@@ -149,12 +149,12 @@ def test_filters_before_analysis(spark):
 
 
 def test_organisation_levels(spark):
-    orgs = organizations.organizations(spark.createDataFrame([(1, "Brigham and Women's Hospital", "us", "https://ror.org/04b6nzv94"), (2, "Harvard Medical School", "US", ""), (3, "brigham and women's  hospital", "US", "https://ror.org/04b6nzv94")], "ord int, name string, country string, identifier string"))
+    orgs = organizations.organizations(spark.createDataFrame([(1, "Harbor and Willow's Hospital", "us", "https://ror.org/0aa1bb2cc"), (2, "Tarland Medical School", "US", ""), (3, "harbor and willow's  hospital", "US", "https://ror.org/0aa1bb2cc")], "ord int, name string, country string, identifier string"))
     assert orgs.count() == 2
-    rows = [("a", "x 04b6nzv94", "Brigham and Women's Hospital"), ("b", "y", "Brigham & Women’s Hospital"), ("c", "z", "Partners - Brigham and Women's Hospital Boston"), ("d", "w", "Harvard Med School"), ("e", "v", "Medical School Hospital"), ("f", "u", "Stanford")]
+    rows = [("a", "x 0aa1bb2cc", "Harbor and Willow's Hospital"), ("b", "y", "Harbor & Willow’s Hospital"), ("c", "z", "Partners - Harbor and Willow's Hospital Boston"), ("d", "w", "Tarland Med School"), ("e", "v", "Medical School Hospital"), ("f", "u", "Stanford")]
     names_ = spark.createDataFrame([(i, 0, a, 0, n) for i, a, n in rows], "id string, affiliation_ord int, affiliation string, name_ord int, name string")
     got = {r.id: (r.level, r.institution) for r in organizations.affiliation_matches(names_, orgs).collect()}
-    assert got == {"a": ("verified", "Brigham and Women's Hospital"), "b": ("likely", "Brigham and Women's Hospital"), "c": ("contains", "Brigham and Women's Hospital"), "d": ("possible", "Harvard Medical School")}
+    assert got == {"a": ("verified", "Harbor and Willow's Hospital"), "b": ("likely", "Harbor and Willow's Hospital"), "c": ("contains", "Harbor and Willow's Hospital"), "d": ("possible", "Tarland Medical School")}
 
 
 def test_badges(spark):

@@ -40,6 +40,10 @@ def test_runs(spark, tmp_path):
     for n in (2, 3):
         store.save_run(spark, root, "r1", {"rows": spark.range(n)})
         assert store.load_run(spark, root, "r1", "rows").count() == n
+    # A replacement that was cut short between its two moves leaves the old version readable.
+    (tmp_path / "runs/r1").rename(tmp_path / "runs/.r1-0123-old")
+    assert store.load_run(spark, root, "r1", "rows").count() == n
+    (tmp_path / "runs/.r1-0123-old").rename(tmp_path / "runs/r1")
     store.delete_runs(spark, root, ["r1"])
     assert not (tmp_path / "runs" / "r1").exists()
     store.export_report(spark.createDataFrame([(1, 0, "b"), (0, 1, "a")], "bucket int, idx int, pmid string"), str(tmp_path / "out"))
