@@ -5,7 +5,7 @@ predecessor, modulo FINE, falls below the line's number of words. Boundaries dep
 around them alone and so survive shifts; a line of FINE words or more is a chunk of its own. Chunks
 that occur more than once in the corpus anchor the search: they and BESIDE chunks on either side make up
 a document's suspected stretches (a passage's first and last lines lie in chunks that reach beyond
-it). From each line of a stretch the passage of LONG words or just over is taken forwards and
+it). From each line of a stretch the passage of LONG words (an argument, 1 to 63) or just over is taken forwards and
 backwards. Passages that occur more than once are removed but for the one with the smallest
 doc_id (then the smallest text hash and place), so a repeated run of LONG words or more goes line by
 line up to its ends, even if its parts were first seen in different documents.
@@ -80,24 +80,31 @@ def _stretches(lined: DataFrame) -> DataFrame:
     return pinned(bounds.select("doc_id", "th", *[F.slice(c, F.col("low") + 1, F.col("n")).alias(c) for c in ("at", "v", "w")]))
 
 
-def _passages(lined: DataFrame) -> DataFrame:
+def _passages(lined: DataFrame, least: int) -> DataFrame:
     """doc_id, th, start and n (lines taken, those without words included) and key (the hashes of its lines) of every passage in a suspected stretch."""
-    # A passage has at most LONG lines with words: sum and number of lines share one number, sum * 64 + lines.
-    reach = lambda ws: F.aggregate(ws, F.lit(0).cast("long"), lambda s, w: F.when(s >= LONG * 64, s).otherwise(s + w * 64 + 1))
-    code = lambda first, s: F.when(s >= LONG * 64, first(s % 64) * 64 + s % 64)
+    if not 0 < least < 64:
+        raise ValueError("a passage has 1 to 63 words at least")
+    # A passage has at most least lines with words: sum and number of lines share one number, sum * 64 + lines.
+    reach = lambda ws: F.aggregate(ws, F.lit(0).cast("long"), lambda s, w: F.when(s >= least * 64, s).otherwise(s + w * 64 + 1))
+    code = lambda first, s: F.when(s >= least * 64, first(s % 64) * 64 + s % 64)
     places = F.sequence(F.lit(0), F.size("w") - 1)
-    forwards = F.transform(places, lambda i: code(lambda n: i.cast("long"), reach(F.slice("w", i + 1, F.lit(LONG)))))
-    low = lambda i: F.greatest(i - LONG + 1, F.lit(0))
+    forwards = F.transform(places, lambda i: code(lambda n: i.cast("long"), reach(F.slice("w", i + 1, F.lit(least)))))
+    low = lambda i: F.greatest(i - least + 1, F.lit(0))
     backwards = F.transform(places, lambda i: code(lambda n: i - n + 1, reach(F.reverse(F.slice("w", low(i) + 1, i - low(i) + 1)))))
-    coded = pinned(_stretches(lined).withColumn("code", F.explode(F.array_distinct(F.filter(F.concat(forwards, backwards), lambda c: c.isNotNull())))))
-    first, n = F.floor(F.col("code") / 64).cast("int"), (F.col("code") % 64).cast("int")
-    at = F.get("at", first)
-    return coded.select("doc_id", "th", at.alias("start"), (F.get("at", first + n - 1) - at + 1).alias("n"), F.slice("v", first + 1, n).alias("key"))
+    coded = pinned(_stretches(lined).withColumn("codes", F.array_distinct(F.filter(F.concat(forwards, backwards), lambda c: c.isNotNull()))))
 
+    def passage(c: Column) -> Column:
+        first, n = F.floor(c / 64).cast("int"), (c % 64).cast("int")
+        start = F.get("at", first)
+        return F.struct(start.alias("start"), (F.get("at", first + n - 1) - start + 1).alias("n"), F.slice("v", first + 1, n).alias("key"))
 
-def removals(docs: DataFrame) -> DataFrame:
-    """doc_id, th and cuts (sorted structs of start and n, lines to take out; they may overlap) of texts that repeat passages; docs has doc_id and text."""
-    passages = written(_passages(written(_lined(docs))))
+    # Passages are cut out in the stretch's own row; exploding places would copy the whole stretch for each.
+    return coded.select("doc_id", "th", F.explode(F.transform("codes", passage)).alias("p")).select("doc_id", "th", "p.*")
+
+
+def removals(docs: DataFrame, least: int = LONG) -> DataFrame:
+    """doc_id, th and cuts (sorted structs of start and n, lines to take out; they may overlap) of texts that repeat passages of at least so many words; docs has doc_id and text."""
+    passages = written(_passages(written(_lined(docs)), least))
     grouped = passages.groupBy("key").agg(F.count("*").alias("c"), F.min("doc_id").alias("first")).where("c > 1")
     doubtful = grouped.select("key", F.explode("key").alias("v")).join(_clashes(docs), F.col("v") == F.col("clash")).select(F.col("key").alias("bad")).distinct()
     repeated = written(grouped.join(doubtful, F.col("key") == F.col("bad"), "left_anti"))
@@ -111,9 +118,9 @@ def removals(docs: DataFrame) -> DataFrame:
     return gone.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("start", "n"))).alias("cuts"))
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
-    """row (the input's columns as a struct), n_lines, n_removed and kept (the text without repeated passages) of every row of docs."""
-    cuts = removals(docs.select("doc_id", "text")).select(F.col("doc_id").alias("cut_id"), F.col("th").alias("cut_th"), "cuts")
+def line_dedup(docs: DataFrame, least: int = LONG) -> DataFrame:
+    """row (the input's columns as a struct), n_lines, n_removed and kept (the text without repeated passages of least words or more) of every row of docs."""
+    cuts = removals(docs.select("doc_id", "text"), least).select(F.col("doc_id").alias("cut_id"), F.col("th").alias("cut_th"), "cuts")
     rows = docs.select(F.struct("*").alias("row"))
     joined = rows.join(cuts, F.col("row.doc_id").eqNullSafe(F.col("cut_id")) & (F.xxhash64("row.text") == F.col("cut_th")), "left")
     lined = pinned(joined.select("row", F.coalesce("cuts", F.array().cast("array<struct<start:int,n:int>>")).alias("cuts"), F.split("row.text", "\n", -1).alias("lines")))
