@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text
 from ..runtime import ship
+from . import resolve
 
 LEVELS = ("possible", "contains", "likely", "verified")
 LEAST_KEY, LEAST_RATIO = 10, 0.9
@@ -29,10 +30,22 @@ def identifier_matches(cites: DataFrame, record: DataFrame) -> DataFrame:
     return joined.select("pmid", kinds.alias("kinds")).where(F.size("kinds") > 0)
 
 
-def organizations(raw: DataFrame) -> DataFrame:
-    """ord, name, key, signature, country, identifier of raw (ord, name, country, identifier); the first of each key, country and identifier."""
-    named = raw.select(
-        "ord", F.trim(F.regexp_replace("name", r"(?U)\s+", " ")).alias("name"), text.institution_key(F.col("name")).alias("key"),
+def organizations(raw: DataFrame, registry: DataFrame | None = None) -> DataFrame:
+    """ord, name, key, signature, country, identifier of raw (ord, name, country, identifier); the first of each key, country and identifier.
+
+    With a registry (resolve.resolve) the key is that of the first institution that the name resolves to, so that spellings of one
+    institution share it; a name that resolves to nothing has its own.
+    """
+    shown = raw.withColumn("name", F.trim(F.regexp_replace("name", r"(?U)\s+", " ")))
+    if registry is None:
+        met = shown.withColumn("canonical", F.lit(None).cast("string"))
+    else:
+        names = shown.select(F.col("name").alias("block"), F.array().cast("array<string>").alias("context"))
+        found = resolve.resolve(names, registry).select(F.col("block").alias("r_name"), F.get("institutions", 0).alias("canonical"))
+        met = shown.join(found, F.col("name") == F.col("r_name"), "left").drop("r_name")
+    own = text.institution_key(F.col("name"))
+    named = met.select(
+        "ord", "name", F.coalesce(F.nullif(text.institution_key(F.col("canonical")), F.lit("")), own).alias("key"),
         text.organization_signature(F.col("name")).alias("signature"), F.upper(F.coalesce("country", F.lit(""))).alias("country"),
         text.organization_identifier(F.coalesce("identifier", F.lit(""))).alias("identifier"),
     ).where("key <> ''")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import assembly, identity, review
+from ..operators import assembly, badges, identity, organizations, review
 from ..operators.counts import RunCounts
 from ..runtime import written
 from ..sources import bibliography as view
@@ -88,7 +88,19 @@ def report_workbook(spark, sf_dir):
     return found.select("row", F.array_join("cells", "|").alias("cells"), links.alias("links"))
 
 
-QUERIES = {f.__name__: f for f in (citation_assembly, xml_assembly, run_counts, report_workbook)}
+def record_badges(spark, sf_dir):
+    """How every citation stands to a record that holds some of them by identifier, and to affiliations of some more."""
+    c = view.citations(spark, sf_dir)
+    record = c.where("ord % 7 = 0").select(F.lit("doi").alias("kind"), F.upper("doi").alias("value")).union(c.where("ord % 11 = 0").select(F.lit("pmid"), "pmid"))
+    level = F.element_at(F.array(*map(F.lit, organizations.LEVELS)), (F.col("ord") % 4 + 1).cast("int"))
+    places = c.where("ord % 5 = 0").select("pmid", F.upper(level).alias("level"), F.lit("Academy").alias("institution"), F.when(F.col("ord") % 2 == 0, "").otherwise("match (Academy)").alias("label"))
+    tags = F.array_compact(F.array(F.when(F.col("ord") % 3 == 0, "litsense"), F.when(F.col("ord") % 2 == 0, "user"), F.when(F.col("ord") % 5 == 0, "other")))
+    rows = c.select("pmid", F.array_join(F.transform(badges.source_badges(tags), lambda b: F.concat_ws(":", b["label"], b["class"], b["title"])), "; ").alias("sources"))
+    found = badges.record_fields(rows, organizations.identifier_matches(c, record), places, "0000000000000007")
+    return found.drop("match_types")
+
+
+QUERIES = {f.__name__: f for f in (citation_assembly, xml_assembly, run_counts, report_workbook, record_badges)}
 
 _ONE = "concat_ws('|', position::VARCHAR, last_name, fore_name, initials, blocks, orcid)"
 SQL = {
@@ -138,4 +150,12 @@ SQL = {
         concat_ws('|', 'PMID ' || pmid || CASE WHEN p THEN ' | PMC' || pmid ELSE '' END, 'PubMed', CASE WHEN p THEN 'PMC' ELSE '' END, '10.1000/' || (k // 2), 'Order <' || pmid || '>', j, y::VARCHAR, 'A B', t, category) AS cells,
         'https://pubmed.ncbi.nlm.nih.gov/' || pmid || '/ ' || CASE WHEN p THEN 'https://pmc.ncbi.nlm.nih.gov/articles/PMC' || pmid || '/' ELSE '-' END || ' https://doi.org/10.1000/' || (k // 2) AS links
       FROM r JOIN o USING (pmid)""",
+    "record_badges": f"""WITH {view.VIEW_SQL.strip()}, d AS (SELECT doi FROM citations WHERE ord % 7 = 0),
+      k AS (SELECT pmid, ord, concat_ws('/', CASE WHEN doi IN (SELECT doi FROM d) THEN 'DOI' END, CASE WHEN ord % 11 = 0 THEN 'PMID' END) AS label,
+        CASE WHEN ord % 5 = 0 THEN ['possible', 'contains', 'likely', 'verified'][ord % 4 + 1] ELSE '' END AS lv, CASE WHEN ord % 5 = 0 AND ord % 2 = 1 THEN 'match (Academy)' ELSE '' END AS al FROM citations)
+      SELECT pmid, concat_ws('; ', CASE WHEN ord % 2 = 0 THEN 'user:source-badge source-user:Citation added from user file' END, CASE WHEN ord % 3 = 0 THEN 'litsense:source-badge source-litsense:Citation added from LitSense' END) AS sources,
+        label <> '' AS verified, label AS match_label, al <> '' AS affiliation_verified, lv AS affiliation_level, al AS affiliation_label, CASE WHEN ord % 5 = 0 THEN 'Academy' ELSE '' END AS affiliation_institution,
+        label <> '' AS badge_show, 'orcid-badge' AS badge_class,
+        CASE WHEN label <> '' THEN 'Citation added from ORCiD record (matched by ' || label || ')' WHEN lv = '' THEN 'ORCiD match' WHEN al <> '' THEN 'ORCiD affiliation ' || lv || ': ' || al ELSE 'ORCiD affiliation ' || lv || ' match' END AS badge_title,
+        CASE WHEN label <> '' THEN 'https://orcid.org/0000-0000-0000-0007' END AS record_url FROM k""",
 }

@@ -55,3 +55,26 @@ def test_similar_names_equal_difflib(spark):
     found = {(r.name, r.o_name, round(r.ratio, 6)) for r in organizations.candidates(spark.createDataFrame([(n,) for n in names], "name string"), table).where("tier = 'similar'").collect()}
     want = {(n, o, round(r, 6)) for n in names for _, o, *_ in orgs if (r := SequenceMatcher(a=n.lower(), b=o.lower()).ratio()) >= 0.9}
     assert found == want and len(found) == 2
+
+
+def test_keys_of_the_first_resolved_institution(spark):
+    registry = spark.createDataFrame([("text", "harborinstitute", "Harbor Institute of Seas"), ("text", "institutharbor", "Harbor Institute of Seas")], "kind string, key string, canonical string")
+    raw = spark.createDataFrame([(1, " Harbor  Institute", "us", ""), (2, "Institut Harbor", "US", ""), (3, "Nameless Club", "us", ""), (4, "", "us", "")], "ord int, name string, country string, identifier string")
+    found = {r.ord: (r.name, r.key) for r in organizations.organizations(raw, registry).collect()}
+    assert found == {1: ("Harbor Institute", "harborinstituteofseas"), 3: ("Nameless Club", "namelessclub")}
+    assert sorted(r.key for r in organizations.organizations(raw).collect()) == ["harborinstitute", "institutharbor", "namelessclub"]
+
+
+def test_badges(spark):
+    from datetime import date
+
+    from citemill.operators import badges
+
+    assert badges.year_options(date(1952, 5, 1)) == [1952, 1951, 1950]
+    weak = spark.createDataFrame([(False, " Contains "), (True, "contains"), (False, "likely")], "m boolean, l string").select(badges.badge_class(F.col("m"), F.col("l")).alias("c"))
+    assert [r.c for r in weak.collect()] == [badges.WEAK, badges.BADGE, badges.BADGE]
+    rows = spark.createDataFrame([("1",), ("2",), ("3",)], "pmid string")
+    ids = spark.createDataFrame([("1", ["doi", "pmid"])], "pmid string, kinds array<string>")
+    places = spark.createDataFrame([("2", "Likely", "X", "")], "pmid string, level string, institution string, label string")
+    found = {r.pmid: (r.badge_show, r.badge_title, r.record_url, r.affiliation_verified) for r in badges.record_fields(rows, ids, places, "").collect()}
+    assert found == {"1": (True, "Citation added from ORCiD record (matched by DOI/PMID)", None, False), "2": (False, "ORCiD affiliation likely match", None, False), "3": (False, "ORCiD match", None, False)}
