@@ -3,7 +3,7 @@
 A page is read once into words and tags with the element each stands in. Elements that are never article text (scripts,
 menus, forms, and elements whose class, id or role says advert, sidebar, comments and the like) fall out with all they
 hold; of a header inside the article only its headings stay. A wrapper named like that which holds the page's article or
-main element stays. In what is left every word scores positive and every tag negative; a linear scan finds the
+main element, or a first-level heading and a paragraph, stays. In what is left every word scores positive and every tag negative; a linear scan finds the
 contiguous stretch with the highest sum (the first of equal ones), and the blocks it touches are the main text.
 
 The weights come from labelled pages: pages with exactly one article (or else one main) element, which marks its content.
@@ -76,6 +76,7 @@ class Element:
     link: bool
     noise: str = ""  # always, named or header
     holds: bool = False  # an article or main element
+    marks: set[str] = field(default_factory=set)  # h1 and p, if it holds them
     fate: int = OPEN
 
 
@@ -140,7 +141,7 @@ def _noise(name: str, attributes: str) -> str:
         return found
     if any(NOISE.fullmatch(w) for w in words):
         return "named"
-    return "header" if any(HEADER.fullmatch(w) for w in words) else found
+    return "header" if name not in HEADINGS and any(HEADER.fullmatch(w) for w in words) else found
 
 
 def parse(html: str) -> Page:
@@ -171,6 +172,11 @@ def parse(html: str) -> Page:
             above: Element | None = top
             while above and not above.holds:
                 above.holds, above = True, above.parent
+        if tag in ("h1", "p"):
+            above = top
+            while above and tag not in above.marks:
+                above.marks.add(tag)
+                above = above.parent
         if tag not in VOID and not attributes.endswith("/"):
             stack.append(element)
     _settle(page)
@@ -196,7 +202,7 @@ def _settle(page: Page) -> None:
         above = e.parent.fate if e.parent else OPEN
         if e.name in ("article", "main") or id(e.parent) in inside:
             inside.add(id(e))
-        if above == DROPPED or e.noise == "always" or (e.noise == "named" and not e.holds):
+        if above == DROPPED or e.noise == "always" or (e.noise == "named" and not e.holds and len(e.marks) < 2):
             e.fate = DROPPED
         elif e.noise == "header" and not e.holds:
             e.fate = HEADINGS_ONLY if id(e.parent) in inside else DROPPED

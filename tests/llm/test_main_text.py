@@ -32,6 +32,7 @@ BODY = "<p>First  part\n of the <i>te</i>xt.<p>Second &amp; last &lt;part&gt; of
         f'<div role="banner">Name of the site</div><section>{BODY}</section><div style="display: none">hidden words of the page</div><div hidden>more of them</div>',
         f"<!-- <p>no --><article>{BODY}</article><!-- never closed <p>words",
         f'<article data-x="a > b">{BODY}<div class="ad">Buy this</div></article><p class="notice">All rights are reserved by them</p>',
+        f'<div class="page with-sidebar"><h1 class="page-header">First part of the text.</h1><p>{BODY.partition("<p>Second")[1][3:]}{BODY.partition("<p>Second")[2]}</div><div class="comments"><p>A very long comment by a reader of it, who says a lot more than the article does</p></div>',
         f"<ARTICLE>{BODY}</ARTICLE><noscript>turn it on please</noscript><style>p{{}}</style>",
     ],
 )
