@@ -73,7 +73,7 @@ def divergence(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame
     far = lambda p, q: F.expr(f"({p} - {q}) * ({p} - {q}) div {q}")
     side = dense.select("lang", "term", "source", "p")
     # Each two sources meet once a term and give both directions.
-    one, two = side.alias("one"), side.alias("two").hint("shuffle_hash")
+    one, two = side.alias("one"), side.alias("two")
     met = one.join(two, F.expr("one.lang = two.lang AND one.term = two.term AND one.source < two.source")).selectExpr("one.lang", "one.source", "two.source AS item", "one.p", "two.p AS p2")
     both = met.groupBy("lang", "source", "item").agg(F.sum(far("p", "p2")).alias("there"), F.sum(far("p2", "p")).alias("back"))
     ways = F.array(F.struct("source", "item", F.col("there").alias("value")), F.struct(F.col("item").alias("source"), F.col("source").alias("item"), F.col("back").alias("value")))
