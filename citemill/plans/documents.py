@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import organizations
+from ..runtime import spread
 from ..sources import bibliography as view
 from ..sources import payloads
 from ..sources import xml_records as X
@@ -36,17 +37,23 @@ RECORD = """'{"a":[{"organization":{"name":" ' || s_name || ' Academy","address"
   || CAST(s_suppkey AS STRING) || '"}}}]}'"""
 
 
-def _articles(spark, sf_dir):
-    return X.pubmed(view.read(spark, sf_dir, "orders").select(F.expr(ARTICLE).alias("document")))
+def orders(spark, sf_dir):
+    """What documents are made of, spread before they are made: an order is far smaller than its document."""
+    return spread(view.read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority", "o_orderstatus"), "o_orderkey")
+
+
+def articles(spark, sf_dir, *only):
+    return X.pubmed(orders(spark, sf_dir).select(F.expr(ARTICLE).alias("document")), only=only)
 
 
 def xml_citations(spark, sf_dir):
     joined = {c: F.array_join(c, "|").alias(c) for c in ("publication_types", "update_in", "update_of")}
-    return _articles(spark, sf_dir).select("pmid", "title", "journal", "print_date", "print_year", "doi", *joined.values())
+    found = articles(spark, sf_dir, "title", "journal", "print_date", "doi", *joined)
+    return found.select("pmid", "title", "journal", "print_date", "print_year", "doi", *joined.values())
 
 
 def xml_authors(spark, sf_dir):
-    return X.pubmed_authors(_articles(spark, sf_dir)).select("pmid", "author_ord", "position", "last_name", "fore_name", "initials", "affiliation", "orcid")
+    return X.pubmed_authors(articles(spark, sf_dir, "authors")).select("pmid", "author_ord", "position", "last_name", "fore_name", "initials", "affiliation", "orcid")
 
 
 def xml_contributors(spark, sf_dir):
@@ -55,7 +62,7 @@ def xml_contributors(spark, sf_dir):
 
 
 def json_external_ids(spark, sf_dir):
-    return payloads.external_ids(spark, view.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.expr(WORKS).alias("json")))
+    return payloads.external_ids(spark, orders(spark, sf_dir).select(F.col("o_orderkey").alias("id"), F.expr(WORKS).alias("json")))
 
 
 def json_organizations(spark, sf_dir):

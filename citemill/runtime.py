@@ -51,6 +51,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df dealt by key over a few tasks a core, for costly work on each row: a file of few row groups would leave most cores idle."""
+    spark = df.sparkSession
+    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def clean_up(spark: SparkSession) -> None:
     """Deletes what this session wrote to the shared folder. Call it when all results have been stored elsewhere."""
     for place in vars(spark).pop("_citemill_places", []):

@@ -10,7 +10,8 @@ from __future__ import annotations
 import html
 import re
 import xml.etree.ElementTree as ET
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -25,6 +26,8 @@ AUTHOR = "struct<author_ord:int,position:int,last_name:string,fore_name:string,i
 PUBMED = f"pmid string, title string, journal string, print_date string, doi string, publication_types array<string>, update_in array<string>, update_of array<string>, article_blocks array<string>, authors array<{AUTHOR}>"
 CONTRIBUTOR = "struct<author_ord:int,position:int,last_name:string,fore_name:string,orcid:string,inline:array<string>,rids:array<string>,labels:array<string>,note_rids:array<string>,has_xref:boolean>"
 PMC = f"pmcid string, doi string, contributors array<{CONTRIBUTOR}>, affs_by_id map<string,string>, affs_by_label map<string,string>, notes map<string,string>"
+#: So many characters of documents are parsed into one batch, or one document that has more.
+MOST_PARSED = 1 << 21
 #: Words that make a note an affiliation (fixed values).
 HINTS = ("department", "division", "institute", "university", "school", "college", "hospital", "laboratory", "center", "centre", "nih", "national institutes of health")
 
@@ -33,16 +36,24 @@ def _name(node: ET.Element) -> str:
     return node.tag.rpartition("}")[2] if isinstance(node.tag, str) else ""
 
 
+def _local(root: ET.Element) -> ET.Element:
+    """root with all tags below as local names, so that elements are found by tag."""
+    for n in root.iter():
+        if "}" in n.tag:
+            n.tag = _name(n)
+    return root
+
+
 def _all(node: ET.Element, *path: str) -> list[ET.Element]:
     """Descendants by a path of local names; the first step may be at any depth, the others are children."""
-    found = [n for n in node.iter() if _name(n) == path[0] and n is not node]
+    found = [n for n in node.iter(path[0]) if n is not node]
     for step in path[1:]:
-        found = [c for n in found for c in n if _name(c) == step]
+        found = [c for n in found for c in n.findall(step)]
     return found
 
 
 def _children(node: ET.Element | None, name: str) -> list[ET.Element]:
-    return [] if node is None else [c for c in node if _name(c) == name]
+    return [] if node is None else node.findall(name)
 
 
 def _text(node: ET.Element | None, skip: tuple[str, ...] = ()) -> str:
@@ -51,11 +62,14 @@ def _text(node: ET.Element | None, skip: tuple[str, ...] = ()) -> str:
     def parts(n: ET.Element) -> Iterator[str]:
         yield n.text or ""
         for c in n:
-            if _name(c) not in skip:
+            if c.tag not in skip:
                 yield from parts(c)
             yield c.tail or ""
 
-    return "" if node is None else html.unescape(" ".join("".join(parts(node)).split()))
+    if node is None:
+        return ""
+    told = (node.text or "") if not len(node) else "".join(parts(node) if skip else node.itertext())
+    return html.unescape(" ".join(told.split()))
 
 
 def _first(node: ET.Element | None, *names: str) -> str:
@@ -64,8 +78,8 @@ def _first(node: ET.Element | None, *names: str) -> str:
 
 
 def _roots(document: str, item: str) -> list[ET.Element]:
-    root = ET.fromstring(document)
-    return [root] if _name(root) == item else _all(root, item)
+    root = _local(ET.fromstring(document))
+    return [root] if root.tag == item else _all(root, item)
 
 
 def _date(node: ET.Element | None) -> str:
@@ -73,35 +87,57 @@ def _date(node: ET.Element | None) -> str:
     return "-".join(p for p in parts if p) or _first(node, "MedlineDate")
 
 
-def pubmed_articles(document: str) -> Iterator[dict]:
+def _authors(body: ET.Element | None) -> list[dict]:
+    authors: list[dict] = []
+    for i, a in enumerate(n for people in _children(body, "AuthorList") for n in people.findall("Author")):
+        if a.find("CollectiveName") is not None:
+            continue
+        ids = [(n.get("Source", "").lower(), _text(n)) for name in ("Identifier", "AuthorIdentifier") for n in a.findall(name)]
+        ids.sort(key=lambda x: x[0] not in ("", "orcid"))
+        blocks = [_text(n) for info in a.findall("AffiliationInfo") for n in info.findall("Affiliation")] + [_text(n) for n in a.findall("Affiliation")]
+        authors.append({
+            "author_ord": len(authors) + 1, "position": i + 1, "last_name": _first(a, "LastName"), "fore_name": _first(a, "ForeName"),
+            "initials": _first(a, "Initials"), "blocks": [b for b in blocks if b], "orcid": next((t for _, t in ids if re.search(r"(?:\d{4}-?){3}\d{3}[\dXx]", t)), ""),
+        })
+    return authors
+
+
+def _print_date(article: ET.Element) -> str:
+    dates = _all(article, "JournalIssue", "PubDate") + [n for n in _all(article, "History", "PubMedPubDate") if n.get("PubStatus") == "pubmed"]
+    return next((d for n in dates if (d := _date(n))), "")
+
+
+def _doi(article: ET.Element, body: ET.Element | None) -> str | None:
+    dois = [_text(n) for n in _all(article, "PubmedData", "ArticleIdList", "ArticleId") if n.get("IdType") == "doi"] + [_text(n) for n in _children(body, "ELocationID") if n.get("EIdType") == "doi"]
+    return next((d for d in dois if d), None)
+
+
+def _linked(article: ET.Element, kind: str) -> list[str]:
+    links = _all(article, "CommentsCorrectionsList", "CommentsCorrections")
+    return sorted({t for n in links if n.get("RefType", "").lower() == kind and (t := _first(n, "PMID"))})
+
+
+#: How each column is taken from an article and its body.
+TAKEN: dict[str, Callable[[ET.Element, ET.Element | None], object]] = {
+    "title": lambda article, body: _text(next(iter(_children(body, "ArticleTitle")), None)),
+    "journal": lambda article, body: _first(next(iter(_children(body, "Journal")), None), "ISOAbbreviation", "Title") or "(unknown journal)",
+    "print_date": lambda article, body: _print_date(article),
+    "doi": _doi,
+    "publication_types": lambda article, body: [t for n in _all(article, "PublicationTypeList", "PublicationType") if (t := _text(n))],
+    "update_in": lambda article, body: _linked(article, "updatein"),
+    "update_of": lambda article, body: _linked(article, "updateof"),
+    "article_blocks": lambda article, body: [t for n in _children(body, "Affiliation") if (t := _text(n))],
+    "authors": lambda article, body: _authors(body),
+}
+
+
+def pubmed_articles(document: str, only: Iterable[str] = tuple(TAKEN)) -> Iterator[dict]:
+    """pmid and the columns of only."""
     for article in _roots(document, "PubmedArticle"):
         pmid = next((t for n in _all(article, "MedlineCitation", "PMID") if (t := _text(n))), "")
-        if not pmid:
-            continue
-        body = next(iter(_all(article, "Article")), None)
-        journal = next(iter(_children(body, "Journal")), None)
-        dates = _all(article, "JournalIssue", "PubDate") + [n for n in _all(article, "History", "PubMedPubDate") if n.get("PubStatus") == "pubmed"]
-        dois = [_text(n) for n in _all(article, "PubmedData", "ArticleIdList", "ArticleId") if n.get("IdType") == "doi"] + [_text(n) for n in _children(body, "ELocationID") if n.get("EIdType") == "doi"]
-        links = _all(article, "CommentsCorrectionsList", "CommentsCorrections")
-        linked = lambda kind: sorted({t for n in links if n.get("RefType", "").lower() == kind and (t := _first(n, "PMID"))})  # noqa: E731, B023
-        authors = []
-        for i, a in enumerate(n for people in _children(body, "AuthorList") for n in _children(people, "Author")):
-            if _children(a, "CollectiveName"):
-                continue
-            ids = [(n.get("Source", "").lower(), _text(n)) for name in ("Identifier", "AuthorIdentifier") for n in _children(a, name)]
-            ids.sort(key=lambda x: x[0] not in ("", "orcid"))
-            blocks = [_text(n) for info in _children(a, "AffiliationInfo") for n in _children(info, "Affiliation")] + [_text(n) for n in _children(a, "Affiliation")]
-            authors.append({
-                "author_ord": len(authors) + 1, "position": i + 1, "last_name": _first(a, "LastName"), "fore_name": _first(a, "ForeName"),
-                "initials": _first(a, "Initials"), "blocks": [b for b in blocks if b], "orcid": next((t for _, t in ids if re.search(r"(?:\d{4}-?){3}\d{3}[\dXx]", t)), ""),
-            })
-        yield {
-            "pmid": pmid, "title": _text(next(iter(_children(body, "ArticleTitle")), None)), "journal": _first(journal, "ISOAbbreviation", "Title") or "(unknown journal)",
-            "print_date": next((d for n in dates if (d := _date(n))), ""), "doi": next((d for d in dois if d), None),
-            "publication_types": [t for n in _all(article, "PublicationTypeList", "PublicationType") if (t := _text(n))],
-            "update_in": linked("updatein"), "update_of": linked("updateof"),
-            "article_blocks": [t for n in _children(body, "Affiliation") if (t := _text(n))], "authors": authors,
-        }
+        if pmid:
+            body = next(iter(_all(article, "Article")), None)
+            yield {"pmid": pmid} | {c: TAKEN[c](article, body) for c in only}
 
 
 def _split(value: str | None) -> list[str]:
@@ -127,7 +163,7 @@ def pmc_articles(document: str) -> Iterator[dict]:
         people = [n for n in _all(meta, "contrib") if n.get("contrib-type", "author") == "author"] or [n for n in _all(article, "contrib") if n.get("contrib-type") == "author"]
         rows = []
         for i, c in enumerate(people):
-            name = next((n for n in c.iter() if _name(n) == "name"), None)
+            name = next(c.iter("name"), None)
             last = _first(name, "surname") or next((t for k in ("collab", "string-name") for n in _all(c, k) if (t := _text(n))), "")
             refs = [(n.get("ref-type", ""), r) for n in _all(c, "xref") for r in _split(n.get("rid"))]
             ids_ = [_text(n) for n in _all(c, "contrib-id") if n.get("contrib-id-type", "orcid") == "orcid"] + [v for n in (*_all(c, "contrib-id"), c) for k, v in n.attrib.items() if k.rpartition("}")[2] == "href"]
@@ -141,22 +177,32 @@ def pmc_articles(document: str) -> Iterator[dict]:
         yield {"pmcid": f"PMC{pmcid}" if pmcid.isdigit() else pmcid, "doi": ids.get("doi"), "contributors": rows, "affs_by_id": list(by_id.items()), "affs_by_label": list(by_label.items()), "notes": list(notes.items())}
 
 
-def _parsed(documents: DataFrame, parse: Callable[[str], Iterator[dict]], schema: str, errors: bool) -> DataFrame:
+def batches(documents: Iterator[str | None], parse: Callable[[str], Iterator[dict]], wanted: pa.Schema, errors: bool = False) -> Iterator[pa.RecordBatch]:
+    """What documents hold, many documents to a batch, as each batch costs about as much as a document."""
+    rows: list[dict] = []
+    size = 0
+    for document in documents:
+        try:
+            rows += list(parse(document or ""))
+        except ET.ParseError as e:
+            rows += [{"error": str(e)}] if errors else []
+        size += len(document or "")
+        if size >= MOST_PARSED and rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=wanted)
+            rows, size = [], 0
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, schema=wanted)
+
+
+def _parsed(documents: DataFrame, parse: Callable[[str], Iterator[dict]], schema: str, errors: bool, only: Iterable[str] | None = None) -> DataFrame:
     ship(documents.sparkSession)
-    fields = T._parse_datatype_string(f"{schema}, error string" if errors else schema)
+    every = T._parse_datatype_string(f"{schema}, error string" if errors else schema)
+    fields = T.StructType([f for f in every.fields if only is None or f.name in (*only, "pmid", "error")])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        wanted = to_arrow_schema(fields)
-        for batch in batches:
-            for document in batch.column(0):
-                try:
-                    rows = list(parse(document.as_py() or ""))
-                except ET.ParseError as e:
-                    rows = [{"error": str(e)}] if errors else []
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=wanted)
+        yield from batches((d for batch in found for d in batch.column(0).to_pylist()), parse, to_arrow_schema(fields), errors)
 
     return documents.select("document").mapInArrow(run, fields)
 
@@ -193,7 +239,7 @@ def split_articles(answers: DataFrame) -> DataFrame:
         if error:
             yield from ((i, None, error) for i in ids)
             return
-        found = [root] if _name(root) == "article" else _all(root, "article")
+        found = [root] if _name(root) == "article" else [n for n in root.iter() if _name(n) == "article"]
         for k, article in enumerate(found):
             own = next((t for n in article.iter() if _name(n) == "article-id" and n.get("pub-id-type", "").strip().lower() in ("pmc", "pmcid") and (t := _pmcid(_text(n)))), "")
             if pmcid := own or (ids[k] if len(found) == len(ids) else ""):
@@ -213,12 +259,16 @@ def _pmcid(value: str) -> str:
     return f"PMC{raw}" if raw.isdigit() else raw
 
 
-def pubmed(documents: DataFrame, errors: bool = False) -> DataFrame:
-    """Citations of PubMed article sets (document): dates parsed, types distinct without regard to case, DOI without prefix."""
-    found = _parsed(documents, pubmed_articles, PUBMED, errors)
+def pubmed(documents: DataFrame, errors: bool = False, only: tuple[str, ...] = tuple(TAKEN)) -> DataFrame:
+    """Citations of PubMed article sets (document): dates parsed, types distinct without regard to case, DOI without prefix.
+
+    Beside pmid only the columns of only are taken from the documents (print_year with print_date): the parser cannot see which ones a query reads.
+    """
+    found = _parsed(documents, partial(pubmed_articles, only=only), PUBMED, errors, only)
     low = F.transform("publication_types", lambda t: F.lower(t))
     types = F.filter("publication_types", lambda t, i: F.array_position(low, F.lower(t)) == i + 1)
-    return found.withColumns({"publication_types": types, "print_year": text.year(F.col("print_date")), "doi": F.nullif(text.parsed_doi(F.col("doi")), F.lit(""))})
+    new = {"publication_types": ("publication_types", types), "print_year": ("print_date", text.year(F.col("print_date"))), "doi": ("doi", F.nullif(text.parsed_doi(F.col("doi")), F.lit("")))}
+    return found.withColumns({c: made for c, (source, made) in new.items() if source in only})
 
 
 def pubmed_authors(citations: DataFrame) -> DataFrame:
