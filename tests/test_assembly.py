@@ -2,6 +2,7 @@
 
 import pytest
 from citemill.operators import assembly as A
+from citemill.plans import assembled as plan
 from citemill.sources import xml_records as X
 
 CITE = f"pmid string, doi string, authors {A.AUTHORS}, title string"
@@ -112,3 +113,11 @@ def test_documents_to_records(spark):
     index = "<PubmedArticle><MedlineCitation><PMID>1</PMID><Article><AuthorList><Author><LastName>One</LastName></Author><Author><LastName>Two</LastName></Author></AuthorList><Affiliation>Home</Affiliation></Article></MedlineCitation></PubmedArticle>"
     (r,) = A.index_records(X.pubmed(spark.createDataFrame([(index,)], "document string"))).collect()
     assert [a.blocks for a in r.authors] == [["Home"], ["Home"]]
+
+
+def test_full_text_that_lists_nobody_is_read(spark):
+    full = plan._full_texts(spark, "/root/testdata/sf0.01").where("size(authors) = 0").select("pmcid", "co_first").collect()
+    assert full and all(r.pmcid.endswith("2") and r.co_first == [1] for r in full)
+    rows = spark.createDataFrame([("PMC1", *person(2, "Lee"), False), ("PMC2", *person(2, "Roe"), True), ("PMC2", *person(1, "Poe"), False)], "pmcid string, position int, last_name string, fore_name string, initials string, blocks array<string>, orcid string, listed boolean")
+    lists = {r.pmcid: [a.last_name for a in r.authors] for r in A.author_list(rows, "pmcid", rows.listed).collect()}
+    assert lists == {"PMC1": [], "PMC2": ["Roe"]}
