@@ -13,7 +13,7 @@ zero, which links like any other. Repeated rows get the same answer; an empty ta
 rows; other columns are ignored. A null doc_id is never the representative unless all are null.
 
 Copies of a given Jaccard similarity mostly differ in more bits than a ball can hold (about 10 of
-64 at 0.8), so near_copies takes other meeting points in place of the ball: the fingerprint itself and
+64 at 0.8), so near_copies takes more meeting points beside the ball of the fingerprint:
 BANDS hashes of ROWS minima of a text's shingles (MinHash). Texts that meet at a point are compared by the exact share of their
 distinct shingles. Two texts of similarity s share no band with chance (1 - s ** ROWS) ** BANDS,
 which is 7e-5 at 0.8. Of a group at a point, every text is compared with the group's centre (the
@@ -119,8 +119,7 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
         return distinct.selectExpr("fp a", "fp b").where("false")
     if radius % 2:
         raise ValueError("an odd radius would need every pair that meets; use an even one")
-    masks = F.array(*[F.lit(m).cast("long") for m in ball(radius // 2)])
-    variants = distinct.select("fp", F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m))).alias("variant"))
+    variants = _variants(distinct, radius)
     meeting = Window.partitionBy("variant").orderBy("fp")
     linked = variants.select("fp", F.lag("fp").over(meeting).alias("other")).where("other is not null")
     return linked.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius).selectExpr("fp a", "other b").distinct()
@@ -170,9 +169,23 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFram
     return _named(rows, classes, _linked(docs, classes, width, least), "same").select("doc_id", "th", "component_id")
 
 
+def _variants(prints: DataFrame, radius: int) -> DataFrame:
+    """fp and variant: all that is at most radius / 2 bits from each fingerprint of prints."""
+    masks = F.array(*[F.lit(m).cast("long") for m in ball(radius // 2)])
+    return prints.select("fp", F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m))).alias("variant"))
+
+
+def _ball_points(classes: DataFrame, radius: int = 2) -> DataFrame:
+    """same and point of every class whose fingerprint (the first of its points) has another within radius bits: two that are so near share a variant, and a variant has 65 fingerprints at most."""
+    printed = classes.where(F.size("points") > 0).select("same", F.get("points", 0).alias("fp"))
+    near = _variants(printed.select("fp").distinct(), radius).groupBy("variant").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+    meeting = written(near.select(F.explode("fps").alias("fp"), F.xxhash64("variant", F.lit("ball")).alias("point")))
+    return keyed_join(printed, meeting, "fp").select("same", "point")
+
+
 def _meetings(classes: DataFrame) -> DataFrame:
     """point, same, c (classes at the point) and pop (how many others a class meets, over all its points) of every class at a point with others."""
-    points = classes.select("same", F.explode("points").alias("point"))
+    points = classes.select("same", F.explode("points").alias("point")).union(_ball_points(classes))
     shared = written(points.groupBy("point").agg(F.count("*").alias("c")).where("c > 1"))
     met = written(keyed_join(points, shared, "point").select("point", "same", "c"))
     popular = met.groupBy("same").agg(F.sum("c").alias("pop")).withColumnRenamed("same", "own")

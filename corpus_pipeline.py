@@ -29,7 +29,7 @@ def drop_repeated_lines(spark, docs, sf_dir):
 
 
 def drop_near_duplicates(spark, docs, sf_dir):
-    """The document with the smallest doc_id of each group of near-duplicates: five-word shingles, similarity 0.8 or more.
+    """The document with the smallest doc_id of each group of near-duplicates: texts that meet within two bits of their SimHash, or at a MinHash band, and whose five-word shingles have a similarity of 0.8 or more.
 
     Null, empty and blank texts are one group; of rows equal in doc_id and text one stays; a null doc_id stays only where its group has no other.
     """

@@ -128,6 +128,17 @@ def test_the_registered_query_equals_brute_force(spark, some_docs, tmp_path):
     assert rows(simhash.op8_simhash(spark, str(tmp_path)).select("doc_id", "fingerprint", "component_id")) == want
 
 
+def test_near_copies_meet_within_two_bits(spark):
+    fps = [0, 0b11, 0b111111, -1, (1 << 63) - 1, 0b1001 << 40, 0]
+    classes = spark.createDataFrame([(k, [fp, 1000 + k]) for k, fp in enumerate(fps)] + [(99, [])], "same long, points array<long>")
+    met = {}
+    for r in simhash._meetings(classes).collect():
+        met.setdefault(r.point, set()).add(r.same)
+    pairs = {(a, b) for group in met.values() for a in group for b in group if a < b}
+    near = {(a, b) for a in range(7) for b in range(a + 1, 7) if ((fps[a] ^ fps[b]) & (2**64 - 1)).bit_count() <= 2}
+    assert near == pairs == {(0, 1), (0, 5), (0, 6), (1, 6), (3, 4), (5, 6)}
+
+
 def test_near_copies_equal_brute_force(spark):
     """Copies around originals that are unlike each other, texts that share a passage, exact copies and odd rows."""
     rng = random.Random(12)
