@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 from ..runtime import ship, written
 
 State = Any  # what JSON can hold
+#: About so many rows go to a file; a task's Python holds one file's at a time.
+FILE_ROWS = 100_000
 
 
 class Fold:
@@ -50,7 +52,9 @@ def ordered_fold(rows: DataFrame, key: str, order: list[str], fold: Fold) -> Dat
     """
     ship(rows.sparkSession)
     by = [key, *order]
-    files = written(rows.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()))
+    # A number of files that is given is kept by adaptive execution, which would join small ones up to bytes, not rows.
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // FILE_ROWS))
+    files = written(rows.repartitionByRange(n, *by).withColumn("_part", F.spark_partition_id()))
     own = [key, *fold.needs]
 
     def in_order(table: pa.Table) -> pa.Table:

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from citemill.runtime import written
 from citemill.streaming import folds, limits, phases
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -42,6 +43,17 @@ def test_bucket_equals_fractions_and_composes(seed):
     assert state == end
 
 
+def test_files_hold_so_many_rows_whatever_the_input(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(folds, "FILE_ROWS", 100)
+    kept = []
+    monkeypatch.setattr(folds, "written", lambda df: kept.append(written(df)) or kept[-1])
+    events = spark.range(3000).selectExpr("'one' who", "timestamp_millis(id * 300) ts", "id")
+    found = limits.limited(events, "who", "ts", "id", requests=1, period=1_000_000)
+    assert found.count() == 3000 and found.where("accepted").count() == 750
+    sizes = [r["count"] for r in kept[0].groupBy("_part").count().collect()]
+    assert sum(sizes) == 3000 and max(sizes) <= 300
+
+
 def test_a_hot_key_split_over_files(spark):
     rng = random.Random(4)
     rows = [(rng.choices(["hot", "b", None, "c"], [20, 1, 1, 1])[0], rng.randint(0, 40_000), k) for k in range(1500)]
