@@ -28,18 +28,21 @@ def mentions(authors: DataFrame, wanted: DataFrame) -> DataFrame:
     """Authors that match a target, with target_id and method (orcid, given or initials).
 
     Candidates meet on surname key or identifier, both equi-joins, so many targets run at once.
-    Where a citation has identifier matches only those stay.
+    Where a citation has identifier matches only those stay. Where authors bring surname_keys
+    (names.surname_keys of last_name, worked out where surnames stand once), these are used.
     """
-    by_name = authors.select("*", F.explode(names.surname_keys(F.col("last_name"))).alias("key"))
+    if "surname_keys" not in authors.columns:
+        authors = authors.withColumn("surname_keys", names.surname_keys(F.coalesce("last_name", F.lit(""))))
+    by_name = authors.select("*", F.explode("surname_keys").alias("key"))
     named = by_name.join(wanted, F.col("key") == F.col("t_surname")).drop("key")
     known = authors.withColumn("own", text.orcid(F.coalesce("orcid", F.lit("")))).where("own <> ''")
     identified = known.join(wanted.where("t_orcid <> ''"), F.col("own") == F.col("t_orcid")).drop("own")
-    author = {k: F.col(k) for k in ("last_name", "fore_name", "initials", "orcid")}
+    author = {k: F.col(k) for k in ("last_name", "fore_name", "initials", "orcid", "surname_keys")}
     target = {k: F.col(f"t_{k}") for k in ("surname", "given", "initials", "style", "orcid")}
     both = named.union(identified).withColumn("method", names.match_method(author, target)).where("method IS NOT NULL")
     once = both.withColumn("again", F.row_number().over(Window.partitionBy("target_id", "ord", "position").orderBy("method"))).where("again = 1")
     any_orcid = F.max((F.col("method") == "orcid").cast("int")).over(Window.partitionBy("target_id", "ord"))
-    return once.withColumn("exclusive", any_orcid).where("(exclusive = 0) OR (method = 'orcid')").drop("again", "exclusive", "t_surname", "t_given", "t_initials", "t_style", "t_orcid")
+    return once.withColumn("exclusive", any_orcid).where("(exclusive = 0) OR (method = 'orcid')").drop("surname_keys", "again", "exclusive", "t_surname", "t_given", "t_initials", "t_style", "t_orcid")
 
 
 def fingerprint(institutions: Column, blocks: Column) -> Column:

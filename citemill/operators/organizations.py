@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
-from ..runtime import ship
+from ..runtime import ship, written
 from . import resolve
 
 LEVELS = ("possible", "contains", "likely", "verified")
@@ -145,6 +145,16 @@ def affiliation_matches(affiliations: DataFrame, orgs: DataFrame) -> DataFrame:
     return every.select("*", F.concat(said[F.col("level")], "institution", F.lit(")")).alias("label"))
 
 
+def text_matches(texts: DataFrame, orgs: DataFrame) -> DataFrame:
+    """affiliation, level, institution, label: the best match of each different text of texts (affiliation), by the phrases in it; kept as a table.
+
+    Texts repeat: each is taken apart and matched once, and the result, whose size is known, joins whatever rows hold the texts.
+    """
+    once = written(texts.select("affiliation").where("affiliation IS NOT NULL").distinct())
+    named = once.select(F.col("affiliation").alias("id"), F.lit(0).alias("affiliation_ord"), "affiliation", F.posexplode(phrases(F.col("affiliation"))).alias("name_ord", "name"))
+    return written(affiliation_matches(named, orgs).withColumnRenamed("id", "affiliation"))
+
+
 def level_rank(level: Column) -> Column:
     return F.array_position(F.array(*map(F.lit, LEVELS)), level)
 
