@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import affiliation, institutions, text
 from ..operators import resolve
+from ..runtime import written
 from ..sources import bibliography as view
 from ..sources import payloads
 from ..streaming import jobs
@@ -102,16 +103,16 @@ def institution_resolution(spark, sf_dir):
     return resolve.resolve(b, _registry(spark, sf_dir).union(resolve.seed_registry(spark))).select("block", F.array_join("institutions", " | ").alias("institutions"))
 
 
-def cleaned(spark, sf_dir):
-    """Authors with cleaned affiliations, to every second of which a reference mark was put before."""
-    a = view.authors(spark, sf_dir)
-    marked = F.when(F.col("position") % 2 == 0, F.concat(F.lit("[2] "), "affiliation")).otherwise(F.col("affiliation"))
-    made = a.withColumn("affiliation", marked).withColumn("blocks", text.affiliation_blocks(F.col("affiliation")))
+def cleaned(authors):
+    """pmid, position, affiliation, blocks and changed of authors with cleaned affiliations, to every second of which a reference mark was put before."""
+    even, marked = F.col("position") % 2 == 0, F.concat(F.lit("[2] "), "affiliation")
+    own = authors.select("pmid", "position", "affiliation", "blocks")
+    made = own.select("pmid", "position", F.when(even, marked).otherwise(F.col("affiliation")).alias("affiliation"), F.when(even, text.affiliation_blocks(marked)).otherwise(F.col("blocks")).alias("blocks"))
     return affiliation.clean_affiliations(made)
 
 
 def affiliation_clean(spark, sf_dir):
-    return cleaned(spark, sf_dir).select("pmid", "position", "affiliation", "changed")
+    return cleaned(written(view.authors(spark, sf_dir).select("pmid", "position", "affiliation", "blocks"))).select("pmid", "position", "affiliation", "changed")
 
 
 def json_recursive_ids(spark, sf_dir):

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from citemill.functions import names
+from citemill.functions import affiliation, names
 from citemill.operators import identity, organizations
 from citemill.plans import publication
 from citemill.sources import bibliography as view
@@ -27,6 +27,16 @@ def test_organisation_query_takes_no_author_apart(spark, sf_dir):
     assert "Generate" not in plan and "Aggregate" not in plan
 
 
+def test_cleaned_authors_keep_their_own_blocks(spark):
+    raw = [("1", 1, 1, "[2] A", ["[2] A", "B"]), ("2", 1, 1, "B", ["B"]), ("3", 2, 1, None, None), ("4", 2, 2, "B", []), ("5", 3, 1, "B", ["B", None, "[3] B"]), ("6", 3, 1, "[2] A", ["B"])]
+    authors = spark.createDataFrame(raw, "pmid string, ord int, position int, affiliation string, blocks array<string>")
+    got = {r.pmid: (r.affiliation, r.blocks, r.changed) for r in affiliation.clean_affiliations(authors).collect()}
+    # authors of one place (1 and 2, 5 and 6) got each other's blocks before
+    assert got["1"] == ("A", ["A", "B"], True) and got["2"] == ("B", ["B"], False)
+    assert got["3"][:2] == (None, []) and got["4"] == ("B", [], False)
+    assert got["5"][:2] == ("B", ["B"]) and got["6"] == ("A", ["B"], True)
+
+
 def test_authors_bring_surname_keys_and_lines_are_sorted_once(spark, sf_dir):
     authors = view.authors(spark, sf_dir)
     assert authors.where(~F.col("surname_keys").eqNullSafe(names.surname_keys(F.col("last_name")))).count() == 0
