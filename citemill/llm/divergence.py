@@ -2,11 +2,12 @@
 
 Plain relational steps. The matches of a regular expression (taken as the pieces between the matches of its complement: extracting
 them one by one takes time that grows with the square of a text's length) are exploded to (lang, source, term) and counted with
-map-side partial sums; the first of equal terms in a document's sorted list counts the document in the same pass. Each language keeps the terms of at least LEAST documents. Every (lang, source) group is crossed with the kept
-vocabulary of its language, so that absent terms count zero; the cross is an equi-join on the language and a deal of the
-terms over the tasks, so no language lands in one task. The dense table, joined to itself on (lang, term), gives each
-ordered pair of sources a sum; windows rank sources and terms in each group. Its work is the vocabulary times the square
-of a language's sources, as the pairs asked for are.
+map-side partial sums; the first of equal terms in a document's sorted list counts the document in the same pass. Each language keeps
+the terms of at least LEAST documents. Every (lang, source) group gives every kept term of its language, absent ones with count zero.
+An absent term's p is the same for all of a group's absent terms, so these are counted and not spelled out: a pair's sum over all kept
+terms is that of a vocabulary which both lack, plus what each source's terms change, counted by p, plus what the terms change that both
+have, for which the groups' own terms are joined to themselves on (lang, term). Every part is a whole number, so the sum is exact.
+Windows rank sources and terms in each group. The work is, for each term, the square of the sources that have it.
 
 All arithmetic is exact: with N the count's sum over the V kept terms, p = 1 + floor(SCALE * (count + 1) / (N + V)) is
 worked out in decimals, so counts of 10^18 do not overflow; p and q are at most SCALE + 1, their squares fit in a long.
@@ -48,43 +49,48 @@ def _share(count: str, base: str):
 
 
 def shares(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """groups: lang, source, v (kept terms), one row for every (lang, source); dense: lang, source, term, c, p, q for every group and every kept term of its language."""
+    """groups: lang, source, v (kept terms) and zero (p of an absent term; null if v is 0), one row for every (lang, source); present: lang, source, term, p, q, zero for every group and each kept term that it has."""
     docs = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    spark = docs.sparkSession
     counts = written(term_counts(docs))
     vocab = written(counts.groupBy("lang", "term").agg(F.sum("c").alias("all"), F.sum("docs").alias("docs")).where(F.col("docs") >= least).select("lang", "term", "all"))
     sizes = written(vocab.groupBy("lang").agg(F.count("*").alias("v"), F.sum("all").alias("whole")))
-    kept = counts.join(vocab.select("lang", "term"), ["lang", "term"], "left_semi").select("lang", "source", "term", "c")
+    kept = written(counts.select("lang", "source", "term", "c").join(vocab, ["lang", "term"]))
     own = kept.groupBy("lang", "source").agg(F.sum("c").alias("n"))
-    groups = written(docs.select("lang", "source").distinct().join(own, ["lang", "source"], "left").join(sizes, "lang", "left").fillna({"n": 0, "v": 0}))
-    deal = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = groups.where("v > 0").select("lang", "source", (F.col("n") + F.col("v")).alias("base"), F.explode(F.sequence(F.lit(0), F.lit(deal - 1))).alias("part"))
-    whole = sizes.select("lang", (F.col("whole") + F.col("v")).alias("base"))
-    terms = vocab.join(whole, "lang").select("lang", "term", _share("all", "base").alias("q"), F.pmod(F.xxhash64("term"), F.lit(deal)).cast("int").alias("part"))
-    cross = terms.join(dealt, ["lang", "part"]).drop("part")
-    # Keys are unique here, and meet a row for each source below: partitions are even, and hashing spares sorting the dense rows.
-    dense = cross.join(kept.hint("shuffle_hash"), ["lang", "term", "source"], "left").fillna(0, "c").select("lang", "source", "term", "c", _share("c", "base").alias("p"), "q")
-    return groups, written(dense)
+    found = docs.select("lang", "source").distinct().join(own, ["lang", "source"], "left").join(sizes, "lang", "left").fillna({"n": 0, "v": 0, "whole": 0})
+    based = found.select("lang", "source", "v", (F.col("n") + F.col("v")).alias("base"), (F.col("whole") + F.col("v")).alias("whole"), F.lit(0).cast("long").alias("none"))
+    groups = written(based.select("lang", "source", "v", "base", "whole", F.when(F.col("v") > 0, _share("none", "base")).alias("zero")))
+    placed = kept.join(groups.drop("v"), ["lang", "source"])
+    return groups, placed.select("lang", "source", "term", _share("c", "base").alias("p"), _share("all", "whole").alias("q"), "zero")
 
 
 def divergence(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
     """lang, source, part (pair or term), item, value and rank of every row of the audit of docs (lang, source, text)."""
-    groups, dense = shares(docs, least)
+    groups, present = shares(docs, least)
     far = lambda p, q: F.expr(f"({p} - {q}) * ({p} - {q}) div {q}")
-    side = dense.select("lang", "term", "source", "p")
-    # Each two sources meet once a term and give both directions.
+    both = lambda p, q: (far(p, q), far(q, p))
+    # Where both sources have the term: what they give, less what each alone (one row of a count below) and neither (v times) gave for it.
+    side = present.select("lang", "term", "source", "p", "zero")
     one, two = side.alias("one"), side.alias("two")
-    met = one.join(two, F.expr("one.lang = two.lang AND one.term = two.term AND one.source < two.source")).selectExpr("one.lang", "one.source", "two.source AS item", "one.p", "two.p AS p2")
-    both = met.groupBy("lang", "source", "item").agg(F.sum(far("p", "p2")).alias("there"), F.sum(far("p2", "p")).alias("back"))
+    met = one.join(two, F.expr("one.lang = two.lang AND one.term = two.term AND one.source < two.source"))
+    pairs = met.selectExpr("one.lang", "one.source", "two.source AS item", "one.p", "two.p AS p2", "one.zero", "two.zero AS zero2")
+    more = [x - y - z + w for x, y, z, w in zip(both("p", "p2"), both("p", "zero2"), both("zero", "p2"), both("zero", "zero2"), strict=True)]
+    shared = pairs.groupBy("lang", "source", "item").agg(F.sum(more[0]).alias("there"), F.sum(more[1]).alias("back"))
     ways = F.array(F.struct("source", "item", F.col("there").alias("value")), F.struct(F.col("item").alias("source"), F.col("source").alias("item"), F.col("back").alias("value")))
-    sums = both.select("lang", F.explode(ways).alias("w")).select("lang", "w.*")
-    bare = groups.where("v = 0")  # pairs of languages that keep no term
-    zeros = bare.select("lang", "source").join(bare.select("lang", F.col("source").alias("item")), "lang").where("source <> item").select("lang", "source", "item", F.lit(0).cast("long").alias("value"))
-    terms = dense.where("c > 0 and p > q").select("lang", "source", F.col("term").alias("item"), far("p", "q").alias("value"))
+    shared = shared.select("lang", F.explode(ways).alias("w")).select("lang", "w.*")
+    # Where one has the term: its terms of a count give the same, so the counts meet the other sources, not the terms.
+    other = groups.select("lang", F.col("source").alias("item"), F.col("zero").alias("zero2"))
+    alone = present.groupBy("lang", "source", "p", "zero").agg(F.count("*").alias("m")).join(other, "lang").where("source <> item")
+    less = lambda k: F.col("m") * (both("p", "zero2")[k] - both("zero", "zero2")[k])
+    ways = F.array(F.struct("source", "item", less(0).alias("value")), F.struct(F.col("item").alias("source"), F.col("source").alias("item"), less(1).alias("value")))
+    alone = alone.select("lang", F.explode(ways).alias("w")).select("lang", "w.*")
+    # Every kept term as if neither had it; languages that keep no term give 0.
+    every = groups.join(other, "lang").where("source <> item").select("lang", "source", "item", F.when(F.col("v") > 0, F.col("v") * far("zero", "zero2")).otherwise(0).cast("long").alias("value"))
+    sums = shared.union(alone).union(every).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
+    terms = present.where("p > q").select("lang", "source", F.col("term").alias("item"), far("p", "q").alias("value"))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-    pairs = sums.union(zeros).select("lang", "source", F.lit("pair").alias("part"), "item", "value", F.row_number().over(order).alias("rank"))
+    ranked = sums.select("lang", "source", F.lit("pair").alias("part"), "item", "value", F.row_number().over(order).alias("rank"))
     best = terms.select("lang", "source", F.lit("term").alias("part"), "item", "value", F.row_number().over(order).alias("rank")).where(F.col("rank") <= top)
-    return pairs.union(best)
+    return ranked.union(best)
 
 
 def op11_divergence(spark, sf_dir: str) -> DataFrame:

@@ -118,3 +118,11 @@ def test_walk_gives_paths_that_fold_to_the_root(fan):
             node = H(before, node, after)
         assert node == root
     assert M.walk(digests[:1], 0) == (digests[0], [[]])
+
+
+def test_divergence_spells_out_no_absent_terms(spark):
+    """Forty sources of one language with terms of their own: their own terms are kept, not every source's row for each."""
+    rows = [("x", f"s{i % 40}", f"own{i % 40} common") for i in range(160)] + [("x", "s0", None), ("y", "s1", "lone")]
+    docs = spark.createDataFrame(rows, "lang string, source string, text string")
+    assert D.shares(docs)[1].count() == 80  # 41 kept terms of 40 sources: 1,640 rows before
+    assert sorted(map(tuple, D.divergence(docs).collect())) == audit(rows)
