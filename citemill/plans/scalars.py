@@ -96,11 +96,11 @@ def _registry(spark, sf_dir):
 
 
 def institution_resolution(spark, sf_dir):
-    """Affiliations that name a supplier's institute in five ways, or none, resolved by a registry of all suppliers."""
+    """Affiliations that name a supplier's institute in five ways, or none, resolved by a registry of all suppliers; a row for each institute that holds the identifier."""
     line = view.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").distinct()
     made = line.select(F.col("l_orderkey").alias("o"), F.expr(MADE.format(k="l_suppkey")).alias("m")).select("o", "m.*")
     b = made.select(F.expr(MADE_BLOCK).alias("block"), F.array().cast("array<string>").alias("context"))
-    return resolve.resolve(b, _registry(spark, sf_dir).union(resolve.seed_registry(spark))).select("block", F.array_join("institutions", " | ").alias("institutions"))
+    return resolve.resolve(b, _registry(spark, sf_dir).union(resolve.seed_registry(spark)), readings=True).select("block", F.array_join("institutions", " | ").alias("institutions"))
 
 
 def cleaned(authors):

@@ -141,6 +141,16 @@ def test_resolution(spark):
     assert found == {b: want for b, _, want in RESOLVED}
 
 
+def test_holders_of_one_identifier(spark):
+    ror = "https://ror.org/0aa1bb2cc"
+    known = spark.createDataFrame([("ror", ror, "Alder Institute"), ("ror", ror, "Birch Institute"), ("ror", "https://ror.org/0dd1ee2ff", "Cedar Hall")], "kind string, key string, canonical string")
+    blocks = spark.createDataFrame([(f"Unit, Birch Institute; {ror}",), (f"Hall 1, {ror}",), (f"Hall 2, {ror}; ror.org/0dd1ee2ff",), ("Hall 3, ror.org/0dd1ee2ff",)], "block string").withColumn("context", F.array().cast("array<string>"))
+    found = lambda **how: sorted((r.block.split(",")[0], *r.institutions) for r in resolve.resolve(blocks, known, **how).collect())
+    # the block's own name decides (the smallest name did before); where it has none, every holder is a reading
+    assert found() == [("Hall 1", "Alder Institute"), ("Hall 2", "Alder Institute", "Cedar Hall"), ("Hall 3", "Cedar Hall"), ("Unit", "Birch Institute")]
+    assert found(readings=True) == sorted([*found(), ("Hall 1", "Birch Institute"), ("Hall 2", "Birch Institute", "Cedar Hall")])
+
+
 def test_signals(spark):
     got = spark.range(1).select(institutions.ror_ids(F.lit("https://ror.org/03 vek6s52grid.38142.3c")).alias("ror"), institutions.grid_ids(F.lit("https://ror.org/03 vek6s52grid.38142.3c")).alias("grid"), institutions.grid_candidates(F.lit("grid.1.370000")).alias("cut"), institutions.country(F.lit("X, Atlanta, Georgia")).alias("ga"), institutions.email_domains(F.lit("a@b.c.edu")).alias("mail")).first()
     assert got.ror == ["https://ror.org/03vek6s52"] and got.grid == [] and got.ga == "" and got.mail == ["b.c.edu", "c.edu"]
