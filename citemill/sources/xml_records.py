@@ -28,6 +28,8 @@ CONTRIBUTOR = "struct<author_ord:int,position:int,last_name:string,fore_name:str
 PMC = f"pmcid string, doi string, contributors array<{CONTRIBUTOR}>, affs_by_id map<string,string>, affs_by_label map<string,string>, notes map<string,string>"
 #: So many characters of documents are parsed into one batch, or one document that has more.
 MOST_PARSED = 1 << 21
+#: What references and labels are parted into.
+PIECES = re.compile(r"[^,\s;]+")
 #: Words that make a note an affiliation (fixed values).
 HINTS = ("department", "division", "institute", "university", "school", "college", "hospital", "laboratory", "center", "centre", "nih", "national institutes of health")
 
@@ -52,24 +54,47 @@ def _all(node: ET.Element, *path: str) -> list[ET.Element]:
     return found
 
 
+def _by_tag(nodes: Iterable[ET.Element]) -> dict[str, list[ET.Element]]:
+    """nodes by local name, in order: one pass, where many names are asked for."""
+    found: dict[str, list[ET.Element]] = {}
+    for n in nodes:
+        if n.tag in found:
+            found[n.tag].append(n)
+        else:
+            found[n.tag] = [n]
+    return found
+
+
+def _below(node: ET.Element) -> dict[str, list[ET.Element]]:
+    every = node.iter()
+    next(every)
+    return _by_tag(every)
+
+
 def _children(node: ET.Element | None, name: str) -> list[ET.Element]:
     return [] if node is None else node.findall(name)
 
 
-def _text(node: ET.Element | None, skip: tuple[str, ...] = ()) -> str:
-    """All text below a node, white space collapsed, entities decoded; without the text of skipped elements."""
+def _parts(n: ET.Element, skip: tuple[str, ...]) -> Iterator[str]:
+    yield n.text or ""
+    for c in n:
+        if c.tag not in skip:
+            yield from _parts(c, skip)
+        yield c.tail or ""
 
-    def parts(n: ET.Element) -> Iterator[str]:
-        yield n.text or ""
-        for c in n:
-            if c.tag not in skip:
-                yield from parts(c)
-            yield c.tail or ""
 
+def _text(node: ET.Element | None, skip: tuple[str, ...] = ()) -> str:
+    """All text below a node, white space collapsed, entities decoded; without the text of skipped elements."""
     if node is None:
         return ""
-    told = (node.text or "") if not len(node) else "".join(parts(node) if skip else node.itertext())
-    return html.unescape(" ".join(told.split()))
+    told = node.text if not len(node) else "".join(_parts(node, skip) if skip else node.itertext())
+    plain = " ".join(told.split()) if told else ""
+    return html.unescape(plain) if "&" in plain else plain
+
+
+def _said(nodes: Iterable[ET.Element]) -> str:
+    """Text of the first of nodes that has any."""
+    return next((t for n in nodes if (t := _text(n))), "")
 
 
 def _first(node: ET.Element | None, *names: str) -> str:
@@ -78,7 +103,9 @@ def _first(node: ET.Element | None, *names: str) -> str:
 
 
 def _roots(document: str, item: str) -> list[ET.Element]:
-    root = _local(ET.fromstring(document))
+    root = ET.fromstring(document)
+    if "xmlns" in document or "xml:" in document:  # else all names are local
+        _local(root)
     return [root] if root.tag == item else _all(root, item)
 
 
@@ -90,14 +117,15 @@ def _date(node: ET.Element | None) -> str:
 def _authors(body: ET.Element | None) -> list[dict]:
     authors: list[dict] = []
     for i, a in enumerate(n for people in _children(body, "AuthorList") for n in people.findall("Author")):
-        if a.find("CollectiveName") is not None:
+        own = _by_tag(a)
+        if "CollectiveName" in own:
             continue
-        ids = [(n.get("Source", "").lower(), _text(n)) for name in ("Identifier", "AuthorIdentifier") for n in a.findall(name)]
+        ids = [(n.get("Source", "").lower(), _text(n)) for name in ("Identifier", "AuthorIdentifier") for n in own.get(name, ())]
         ids.sort(key=lambda x: x[0] not in ("", "orcid"))
-        blocks = [_text(n) for info in a.findall("AffiliationInfo") for n in info.findall("Affiliation")] + [_text(n) for n in a.findall("Affiliation")]
+        blocks = [_text(n) for info in own.get("AffiliationInfo", ()) for n in info.findall("Affiliation")] + [_text(n) for n in own.get("Affiliation", ())]
         authors.append({
-            "author_ord": len(authors) + 1, "position": i + 1, "last_name": _first(a, "LastName"), "fore_name": _first(a, "ForeName"),
-            "initials": _first(a, "Initials"), "blocks": [b for b in blocks if b], "orcid": next((t for _, t in ids if re.search(r"(?:\d{4}-?){3}\d{3}[\dXx]", t)), ""),
+            "author_ord": len(authors) + 1, "position": i + 1, "last_name": _said(own.get("LastName", ())), "fore_name": _said(own.get("ForeName", ())),
+            "initials": _said(own.get("Initials", ())), "blocks": [b for b in blocks if b], "orcid": next((t for _, t in ids if re.search(r"(?:\d{4}-?){3}\d{3}[\dXx]", t)), ""),
         })
     return authors
 
@@ -141,7 +169,7 @@ def pubmed_articles(document: str, only: Iterable[str] = tuple(TAKEN)) -> Iterat
 
 
 def _split(value: str | None) -> list[str]:
-    return [t for t in re.split(r"[,\s;]+", value or "") if t]
+    return PIECES.findall(value) if value else []
 
 
 def _label(value: str) -> str:
@@ -163,14 +191,16 @@ def pmc_articles(document: str) -> Iterator[dict]:
         people = [n for n in _all(meta, "contrib") if n.get("contrib-type", "author") == "author"] or [n for n in _all(article, "contrib") if n.get("contrib-type") == "author"]
         rows = []
         for i, c in enumerate(people):
-            name = next(c.iter("name"), None)
-            last = _first(name, "surname") or next((t for k in ("collab", "string-name") for n in _all(c, k) if (t := _text(n))), "")
-            refs = [(n.get("ref-type", ""), r) for n in _all(c, "xref") for r in _split(n.get("rid"))]
-            ids_ = [_text(n) for n in _all(c, "contrib-id") if n.get("contrib-id-type", "orcid") == "orcid"] + [v for n in (*_all(c, "contrib-id"), c) for k, v in n.attrib.items() if k.rpartition("}")[2] == "href"]
+            own = _below(c)
+            name = next(iter(own.get("name", ())), None)
+            last = _first(name, "surname") or _said([*own.get("collab", ()), *own.get("string-name", ())])
+            xrefs, known = own.get("xref", []), own.get("contrib-id", [])
+            refs = [(n.get("ref-type", ""), r) for n in xrefs for r in _split(n.get("rid"))]
+            ids_ = [_text(n) for n in known if n.get("contrib-id-type", "orcid") == "orcid"] + [v for n in (*known, c) for k, v in n.items() if k.rpartition("}")[2] == "href"]
             rows.append({
                 "author_ord": i + 1, "position": i + 1, "last_name": last, "fore_name": _first(name, "given-names"), "orcid": next((t for t in ids_ if t), ""),
-                "inline": [t for n in _all(c, "aff") if (t := _text(n, ("label", "sup")))], "rids": [r for k, r in refs if k not in ("fn", "corresp")],
-                "labels": [_label(t) for n in _all(c, "xref") + _children(c, "sup") for t in _split(_text(n)) if _label(t)],
+                "inline": [t for n in own.get("aff", ()) if (t := _text(n, ("label", "sup")))], "rids": [r for k, r in refs if k not in ("fn", "corresp")],
+                "labels": [label for n in xrefs + (_children(c, "sup") if "sup" in own else []) for t in _split(_text(n)) if (label := _label(t))],
                 "note_rids": [r for k, r in refs if k in ("fn", "corresp") or r in notes], "has_xref": bool(refs),
             })
         pmcid = next((v for k in ("pmc", "pmcid", "pmcaid") if (v := ids.get(k))), "")
