@@ -324,14 +324,19 @@ def affiliation_note(note: Column) -> Column:
 def pmc_contributors(articles: DataFrame) -> DataFrame:
     """One row per contributor with blocks: its own affiliations and those its references name; labels only where no reference is known; notes that are affiliations only where nothing else is."""
     c = articles.select("pmcid", "affs_by_id", "affs_by_label", "notes", F.explode("contributors").alias("c"))
+    blocks = contributor_blocks(F.col("c"))
+    return c.select("pmcid", "c.author_ord", "c.position", "c.last_name", "c.fore_name", text.initials(F.col("c.fore_name"), upper=True).alias("initials"), text.orcid(F.col("c.orcid")).alias("orcid"), blocks.alias("blocks"), F.array_join(blocks, "; ").alias("affiliation"))
+
+
+def contributor_blocks(c: Column) -> Column:
+    """The blocks of a contributor, in a row with its article's tables."""
     look = lambda table, keys: F.filter(F.transform(keys, lambda k: F.try_element_at(F.col(table), k)), lambda v: v.isNotNull())
-    inline, ids = F.col("c.inline"), look("affs_by_id", F.col("c.rids"))
-    own = F.concat(inline, ids)
-    labels = F.when(F.size(ids) == 0, look("affs_by_label", F.col("c.labels"))).otherwise(F.array().cast("array<string>"))
+    ids = look("affs_by_id", c["rids"])
+    own = F.concat(c["inline"], ids)
+    labels = F.when(F.size(ids) == 0, look("affs_by_label", c["labels"])).otherwise(F.array().cast("array<string>"))
     direct = F.array_distinct(F.concat(own, labels))
-    by_note = F.filter(look("notes", F.col("c.note_rids")), affiliation_note)
-    blocks = F.when(F.size(direct) > 0, direct).otherwise(F.array_distinct(by_note))
-    return c.select("pmcid", "c.author_ord", "c.position", "c.last_name", "c.fore_name", text.initials(F.col("c.fore_name"), upper=True).alias("initials"), text.orcid(F.col("c.orcid")).alias("orcid"), blocks.alias("blocks"), F.array_join(blocks, "; ").alias("affiliation"))
+    by_note = F.filter(look("notes", c["note_rids"]), affiliation_note)
+    return F.when(F.size(direct) > 0, direct).otherwise(F.array_distinct(by_note))
 
 
 def pmc_notes(articles: DataFrame) -> DataFrame:

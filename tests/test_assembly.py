@@ -128,3 +128,16 @@ def test_names_and_blocks_are_judged_once_an_author(spark):
     plan = A.citations(none(CITE), none("pmid string, pmcid string, ord int"), none(ARTICLE))._jdf.queryExecution().analyzed().toString().lower()
     # inside lambdas every place is evaluated: the judgement of names stood in 16 places, the tidying of blocks in 12
     assert (plan.count("endswith"), plan.count("startswith"), plan.count("array_distinct")) == (1, 1, 4)
+
+
+def test_full_texts_are_read_in_their_own_row(spark):
+    """Contributors and notes went through shuffles of their own before, and a full text that came twice got its authors twice."""
+    person = lambda last: f"<contrib contrib-type='author'><name><surname>{last}</surname></name><xref ref-type='fn' rid='n m'/></contrib>"
+    article = f"<article><front><article-meta><article-id pub-id-type='pmc'>7</article-id><contrib-group>{person('One')}{person('Two')}<contrib><name><surname>Six</surname></name></contrib></contrib-group><author-notes><fn id='n'><p>Contributed  Equally</p></fn><fn id='m'><p>Division of Maps</p></fn></author-notes></article-meta></front></article>"
+    empty = "<article><front><article-meta><article-id pub-id-type='pmc'>8</article-id></article-meta></front></article>"
+    found = A.full_texts(X.pmc(spark.createDataFrame([(article,), (article,), (empty,)], "document string")))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan and plan.count("MapInArrow") == 1
+    rows = [(r.pmcid, [(a.position, a.last_name, a.blocks) for a in r.authors], r.co_first, r.co_senior) for r in found.collect()]
+    once = ("PMC7", [(1, "One", ["Division of Maps"]), (2, "Two", ["Division of Maps"]), (3, "Six", [])], [1, 2], [])
+    assert rows == [once, once, ("PMC8", [], [], [])]
